@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, substring_dedup
+from lodestone.llm import line_dedup, merkle, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup}
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(_documents(spark, sf_dir))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {"op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": r"""
