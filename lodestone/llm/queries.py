@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, merkle, simhash, substring_dedup
+from lodestone.llm import line_dedup, merkle, quality, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return done.select("doc_id", *quality.COUNTS, "base_failed", "kept", "good")
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(_documents(spark, sf_dir))
 
@@ -35,7 +40,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup}
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": r"""
