@@ -30,7 +30,6 @@ def _word_units(data: np.ndarray, offsets: np.ndarray):
 
 def factors(at: np.ndarray, width: int) -> list[tuple[int, int]]:
     """Greedy factors (first word, end word) from the sorted starts of held phrases: a gap in the starts ends a factor."""
-    at = np.unique(at)
     if not len(at):
         return []
     cut = np.flatnonzero(np.diff(at) > 1)

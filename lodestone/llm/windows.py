@@ -21,28 +21,70 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Order of a null document id: after all others.
 LAST = np.iinfo(np.int64).max
 
-_SENT = "part int, hash binary, owner binary, row_key binary, entries binary, at binary, found boolean"
-_HITS = "owner bigint, row_key bigint, at binary"
+_PACKED = "part int, hash binary, owner binary, row_key binary, entries binary, at binary, found boolean"
+_SCHEMA = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("hash", "owner", "row_key", "entries", "at")), ("found", pa.bool_())])
+_HITS = "owner bigint, row_key bigint, hits binary"
+#: What a window's entry keeps of its hash; the partition, which depends on all 64 bits, adds to it.
+_LOW = np.uint64((1 << 56) - 1)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``owner`` (the document id, null last) and ``row_key`` (tells rows of one id apart by their text)."""
-    return docs.withColumns({"owner": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))), "row_key": F.xxhash64("text")})
-
-
-def _packed(part: int, hashes, owner, key, counts, at, found: bool) -> dict:
-    return {"part": part, "hash": arrays.planes(hashes), "owner": arrays.planes(owner), "row_key": arrays.planes(key), "entries": arrays.planes(counts), "at": arrays.planes(at), "found": found}
-
-
-def _by_row(row: np.ndarray, owner: np.ndarray, key: np.ndarray):
-    """Owners, keys and lengths of runs of one row."""
-    edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
-    return owner[row[edge]], key[row[edge]], np.diff(np.append(edge, len(row))).astype(np.uint32)
+    return docs.withColumns({"owner": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))), "row_key": F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))})
+
+
+def _packed(part: int, hashes: np.ndarray, row: np.ndarray, at: np.ndarray, owner: np.ndarray, key: np.ndarray, found: bool) -> dict:
+    """Entries in order of ``row``, with each row's owner and key once; positions and owners as differences."""
+    edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    rows, counts = row[edge], np.diff(np.append(edge, len(row))).astype(np.uint32)
+    step = np.diff(at, prepend=np.uint32(0))
+    step[edge] = at[edge]
+    return {"part": part, "hash": arrays.planes(hashes)[: 7 * len(hashes)], "owner": arrays.planes(np.diff(owner[rows], prepend=0)), "row_key": arrays.planes(key[rows].astype(np.uint32)), "entries": arrays.planes(counts), "at": arrays.planes(step), "found": found}
+
+
+def _unpacked(group: list[dict]):
+    """Hashes, row, position of each entry, and each row's owner and key."""
+    counts = [arrays.from_planes(x["entries"], np.uint32) for x in group]
+    owner = np.concatenate([np.cumsum(arrays.from_planes(x["owner"], np.int64)) for x in group])
+    key = np.concatenate([arrays.from_planes(x["row_key"], np.uint32) for x in group])
+    hashes = np.concatenate([arrays.from_planes(x["hash"] + bytes(len(x["hash"]) // 7), np.uint64) for x in group])
+    at = []
+    for x, n in zip(group, counts):
+        total = np.cumsum(arrays.from_planes(x["at"], np.uint32), dtype=np.uint32)
+        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)[:-1]))
+        before = np.concatenate((np.zeros(1, np.uint32), total))[first]
+        at.append(total - np.repeat(before, n))
+    counts = np.concatenate(counts)
+    return hashes, np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.concatenate(at), owner, key
+
+
+def _by_part(part: np.ndarray, parts: int):
+    """Each partition with entries, and which they are, in their order."""
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edges)):
+        yield int(p), order[edges[p] : edges[p + 1]]
+
+
+def _home(owner: np.ndarray, key: np.ndarray, parts: int) -> np.ndarray:
+    """The partition that gathers a row's hits."""
+    return (arrays.mixed(owner.astype(np.uint64) ^ (key.astype(np.uint64) << np.uint64(32))) % np.uint64(parts)).astype(np.int32)
+
+
+def _late(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """An order by window, and for each entry in it whether it comes after the window's first one."""
+    order = np.lexsort((at, owner, hashes) if within else (owner, hashes))
+    h, o = hashes[order], owner[order]
+    leads = np.concatenate(([True], h[1:] != h[:-1]))
+    lead = np.flatnonzero(leads)[np.cumsum(leads) - 1]
+    late = o > o[lead]
+    if within:
+        late |= at[order] > at[order][lead]
+    return order, late
 
 
 def _send(units: Units, width: int, parts: int, within: bool):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("hash", "owner", "row_key", "entries", "at")), ("found", pa.bool_())])
         for batch, data, offsets in arrays.passes(batches, "text"):
             owner = batch.column("owner").to_numpy(zero_copy_only=False)
             key = batch.column("row_key").to_numpy(zero_copy_only=False)
@@ -52,80 +94,68 @@ def _send(units: Units, width: int, parts: int, within: bool):
                 continue
             row = np.searchsorted(first, start, side="right") - 1
             at = (start - first[row]).astype(np.uint32)
-            order = np.lexsort((at, owner[row], hashes) if within else (owner[row], hashes))
-            h, o = hashes[order], owner[row][order]
-            leads = np.concatenate(([True], h[1:] != h[:-1]))
-            lead = np.flatnonzero(leads)[np.cumsum(leads) - 1]
-            late = o > o[lead]
-            if within:
-                late |= at[order] > at[order][lead]
+            order, late = _late(hashes, owner[row], at, within)
             found, sent = np.sort(order[late]), np.sort(order[~late])
-            part = ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
-            out = []
-            by_part = sent[np.argsort(part[sent], kind="stable")]
-            edges = np.searchsorted(part[by_part], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                i = by_part[edges[p] : edges[p + 1]]
-                out.append(_packed(int(p), hashes[i], *_by_row(row[i], owner, key), at[i], False))
-            edges = np.flatnonzero(np.concatenate(([True], row[found][1:] != row[found][:-1]))) if len(found) else []
-            for a, b in zip(edges, np.append(edges[1:], len(found))) if len(found) else ():
-                i = found[a:b]
-                out.append(_packed(int(key[row[i[0]]] % parts), hashes[:0], *_by_row(row[i], owner, key), at[i], True))
-            yield pa.RecordBatch.from_pylist(out, schema)
+            part = (arrays.mixed(hashes[sent]) % np.uint64(parts)).astype(np.int32)
+            out = [_packed(p, hashes[sent[i]], row[sent[i]], at[sent[i]], owner, key, False) for p, i in _by_part(part, parts)]
+            home = _home(owner, key, parts)[row[found]]
+            out += [_packed(p, hashes[:0], row[found[i]], at[found[i]], owner, key, True) for p, i in _by_part(home, parts)]
+            yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
     return send
 
 
-def _resolve(within: bool):
+def _resolve(parts: int, within: bool):
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("owner", pa.int64()), ("row_key", pa.int64()), ("at", pa.binary())])
         held: dict[int, list] = {}
         for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                owner, key = (arrays.from_planes(x[n], np.int64) for n in ("owner", "row_key"))
-                if x["found"]:
-                    out.append({"owner": int(owner[0]), "row_key": int(key[0]), "at": x["at"]})
-                else:
-                    held.setdefault(x["part"], []).append((x["hash"], owner, key, x["entries"], x["at"]))
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+            passed = [x for x in batch.to_pylist() if x["found"] or held.setdefault(x["part"], []).append(x)]
+            if passed:
+                yield pa.RecordBatch.from_pylist(passed, _SCHEMA)
         for part in list(held):
-            group = held.pop(part)
-            counts = np.concatenate([arrays.from_planes(g[3], np.uint32) for g in group])
-            owners, keys = np.concatenate([g[1] for g in group]), np.concatenate([g[2] for g in group])
-            row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-            hashes = np.concatenate([arrays.from_planes(g[0], np.uint64) for g in group])
-            at = np.concatenate([arrays.from_planes(g[4], np.uint32) for g in group])
-            del group
-            order = np.argsort(hashes, kind="stable")
-            h = hashes[order]
-            same = h[1:] == h[:-1]
-            shared = np.zeros(len(h), bool)  # only what two entries share needs ordering
+            hashes, row, at, owner, key = _unpacked(held.pop(part))
+            order = np.argsort(hashes)
+            same = hashes[order][1:] == hashes[order][:-1]
+            shared = np.zeros(len(order), bool)  # only windows of two entries need the full order
             shared[1:] |= same
             shared[:-1] |= same
             i = order[shared]
+            del order, same, shared
             if not len(i):
                 continue
-            i = i[np.lexsort((at[i], owners[row[i]], hashes[i]))]
-            h, o = hashes[i], owners[row[i]]
-            leads = np.concatenate(([True], h[1:] != h[:-1]))
-            lead = np.flatnonzero(leads)[np.cumsum(leads) - 1]
-            late = o > o[lead]
-            if within:
-                late |= at[i] > at[i][lead]
-            i = i[late]
-            i = i[np.lexsort((at[i], keys[row[i]], owners[row[i]]))]
-            o, k = owners[row[i]], keys[row[i]]
-            edges = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])))) if len(i) else np.zeros(0, np.int64)
-            ends = np.append(edges[1:], len(i))
-            for a in range(0, len(edges), 10_000):
-                e, f = edges[a : a + 10_000], ends[a : a + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(o[e]), pa.array(k[e]), pa.array([arrays.planes(at[i[x:y]]) for x, y in zip(e, f)], pa.binary())], schema=schema)
+            order, late = _late(hashes[i], owner[row[i]], at[i], within)
+            i = i[order[late]]
+            i = i[np.lexsort((at[i], row[i]))]
+            home = _home(owner, key, parts)[row[i]]
+            out = [_packed(p, hashes[:0], row[i[j]], at[i[j]], owner, key, True) for p, j in _by_part(home, parts)]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
     return resolve
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document with hits."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for x in batch.to_pylist():
+            held.setdefault(x["part"], []).append(x)
+    for part in list(held):
+        group = held.pop(part)
+        for x in group:
+            x["hash"] = b""
+        _, row, at, owner, key = _unpacked(group)
+        owner, key = owner[row], key[row].astype(np.int64)
+        order = np.lexsort((at, key, owner))
+        owner, key, at = owner[order], key[order], at[order]
+        edge = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))))
+        ends = np.append(edge[1:], len(at))
+        for a in range(0, len(edge), 5000):
+            e = edge[a : a + 5000]
+            hits = pa.array([arrays.planes(np.diff(np.unique(at[x:y]), prepend=np.uint32(0))) for x, y in zip(e, ends[a : a + 5000])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(owner[e]), pa.array(key[e]), hits], ["owner", "row_key", "hits"])
+
+
 def repeats(docs: DataFrame, units: Units, width: int, within: bool, bytes_each: int = 24 << 20) -> DataFrame:
     """``docs`` with ``owner``, ``row_key`` and ``hits``: packed starts (units) of windows that an earlier document holds.
 
@@ -135,12 +165,12 @@ def repeats(docs: DataFrame, units: Units, width: int, within: bool, bytes_each:
     arrays.session_limits(docs)
     docs = keyed(docs)
     parts = arrays.shuffle_parts(docs, F.col("text"), bytes_each)
-    sent = docs.select("owner", "row_key", "text").mapInArrow(_send(units, width, parts, within), _SENT)
-    hits = sent.repartition(parts, "part").mapInArrow(_resolve(within), _HITS)
-    hits = hits.groupBy("owner", "row_key").agg(F.collect_set("at").alias("hits"))
+    sent = docs.select("owner", "row_key", "text").mapInArrow(_send(units, width, parts, within), _PACKED)
+    found = sent.repartition(parts, "part").mapInArrow(_resolve(parts, within), _PACKED)
+    hits = found.repartition(parts, "part").mapInArrow(_gather, _HITS)
     return docs.join(hits, ["owner", "row_key"], "left")
 
 
-def starts(hits: list[bytes] | None) -> np.ndarray:
-    """The window starts of one row, unpacked."""
-    return np.concatenate([arrays.from_planes(x, np.uint32) for x in hits]).astype(np.int64) if hits else np.zeros(0, np.int64)
+def starts(hits: bytes | None) -> np.ndarray:
+    """The window starts of one row, unpacked, ascending."""
+    return np.cumsum(arrays.from_planes(hits, np.uint32), dtype=np.int64) if hits else np.zeros(0, np.int64)
