@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, merkle, quality, simhash, substring_dedup
+from lodestone.llm import line_dedup, merkle, packing, quality, secrets, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +41,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir)).drop("found")
+
+
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op6_packing": op6_packing, "op10_secret_scan": op10_secret_scan}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": r"""
