@@ -9,6 +9,7 @@ Memory: the open windows (at most one window of ids for each of ``size`` levels,
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -27,44 +28,70 @@ END_ID = 1
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, with what comes between single spaces encoded once.
+#: Fixed value: how byte-level BPE of this family cuts a text before it merges bytes.
+_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _ranked(path: str):
+    """A merge-by-rank encoder of the same vocabulary and the strings it must not see, or None where ids do not rank merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model, pre = said["model"], said.get("pre_tokenizer") or {}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    ids = [model["vocab"].get(a + b) for a, b in pairs]
+    if model.get("type") != "BPE" or said.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or ids != sorted(set(ids)):
+        return None
+    # Byte-level files write bytes that do not print as the code points from 256 on, in order.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    added = [t["content"] for t in said.get("added_tokens", [])]
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    return tiktoken.Encoding("pieces", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={}), added
+
+
+class Encoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes; as a dictionary, those of pieces, each with a space before it.
 
     Byte-level BPE cuts a text before every space that a non-space follows, so a text that is cut at single spaces between
-    non-spaces has the ids of its pieces, each with its leading space, one after another.
+    non-spaces has the ids of its pieces, each with its leading space, one after another. Recent pieces are kept.
     """
 
     _odd = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
     _cut = re.compile(r"(?<=\S) (?=\S)")
-    _most = 250_000
+    _most, _longest = 200_000, 100
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.batch(pieces, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        heads, rests = [], []
-        for text in texts:
-            head, *rest = self._cut.split(text) if self._odd.search(text) else text.split(" ")
-            heads.append(head)
-            rests.append(rest)
-        new = {p for rest in rests for p in rest if p not in known}
-        if len(known) + len(new) > self._most:
-            known.clear()
-            new = {p for rest in rests for p in rest}
-        new = list(new)
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            known.update(zip(part, self._ids([" " + p for p in part])))
-        return [h + b"".join(map(known.__getitem__, rest)) for h, rest in zip(self._ids(heads), rests)]
+        self.ranked, self.added = _ranked(path) or (None, [])
+        self.before: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        if self.ranked and not any(t in text for t in self.added):
+            ids = self.ranked.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            found = self.ids(" " + piece)
+        if len(piece) <= self._longest:
+            if len(self) >= self._most:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        head, *rest = self._cut.split(text) if self._odd.search(text) else text.split(" ")
+        return self.ids(head) + b"".join(map(self.__getitem__, rest))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -151,8 +178,8 @@ def _pack(path: str, size: int, end_id: int):
         packer = Packer(size, TaskContext.get().partitionId() << 40)
         encode, end = encoder(path).encode, struct.pack("<I", end_id)
         for part, _, _ in arrays.passes(batches, "text", 1 << 20):
-            ids = encode([t or "" for t in part.column("text").to_pylist()])
-            placed = [p for d, i in zip(part.column("doc_id").to_pylist(), ids) for p in packer.add(d, i + end)]
+            rows = zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
+            placed = [p for d, t in rows for p in packer.add(d, encode(t or "") + end)]
             if placed:
                 yield batch(placed)
         placed = list(packer.finish())
