@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, merkle, packing, quality, secrets, simhash, substring_dedup
+from lodestone.llm import line_dedup, merkle, mixing, packing, quality, secrets, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +50,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir)).drop("found")
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op6_packing": op6_packing, "op10_secret_scan": op10_secret_scan}
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op6_packing": op6_packing, "op8_source_mixing": op8_source_mixing, "op10_secret_scan": op10_secret_scan}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": r"""
