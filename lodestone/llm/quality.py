@@ -113,3 +113,22 @@ def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, ke
     components.ensure_checkpoint_dir(docs)
     stats = statistics(docs).checkpoint()
     return judged(stats, train(stats, labels, train_rows), keep_at)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
+    """``docs``, all columns, less those that ``quality`` does not keep; the trees judge each batch as it passes, without a shuffle."""
+    arrays.session_limits(docs)
+    labelled = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    some = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    forest = train(statistics(slim.join(F.broadcast(some), "doc_id", "left_semi")), labels, train_rows)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in arrays.passes(batches, "text"):
+            slim = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], ["doc_id", "text"])
+            stats = next(_statistics(iter([slim])))
+            n, again = (stats.column(c).to_numpy() for c in ("n_words", "n_repeat_words"))
+            good = forest.probability(np.stack([stats.column(c).to_numpy() for c in FEATURES], axis=1)) >= keep_at
+            yield batch.filter(pa.array((n >= 20) & (100 * again <= 30 * n) & good))
+
+    return docs.mapInArrow(judge, docs.schema)

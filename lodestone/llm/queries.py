@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html_extract, line_dedup, merkle, mixing, packing, quality, secrets, simhash, substring_dedup
+from lodestone.llm import html_extract, line_dedup, merkle, mixing, ngrams, packing, quality, secrets, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +58,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op6_packing": op6_packing, "op7_html_extraction": op7_html_extraction, "op8_source_mixing": op8_source_mixing, "op10_secret_scan": op10_secret_scan}
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_html_extraction": op7_html_extraction, "op8_source_mixing": op8_source_mixing, "op10_secret_scan": op10_secret_scan}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": r"""
