@@ -13,6 +13,7 @@ histogram of bounded size (bucket by two rounded log ratios) come to the driver.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import arrays, components
@@ -33,6 +34,8 @@ SHARD_BYTES = 8 << 20
 #: Steps of the histogram in a log10 ratio, and the longest ratio it tells apart (as many steps).
 STEP, RANGE = 20, 400
 BUCKETS = 48
+#: A bigram is known by so many bits of its hash, a word by all 64.
+_PAIR_BITS = np.uint64(((1 << 56) - 1) << 8)
 _END = np.array([0x9E3779B97F4A7C15], np.uint64)
 _SHARDS = "shard bigint, docs binary, folds binary, lengths binary, words binary, tokens binary"
 _ASKED = "part int, shard bigint, keys binary, train binary, tuning binary"
@@ -50,21 +53,48 @@ def _unpack(blob: bytes, dtype, sorted_: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=dtype) if sorted_ else x
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Mostly small numbers: a byte each, by Huffman codes and runs; larger ones follow."""
+    large = x[x >= 255].astype(np.int64).tobytes()
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+    return len(large).to_bytes(8, "little") + large + coder.compress(np.minimum(x, 255).astype(np.uint8).tobytes()) + coder.flush()
+
+
+def _unpack_counts(blob: bytes) -> np.ndarray:
+    n = 8 + int.from_bytes(blob[:8], "little")
+    x = np.frombuffer(zlib.decompress(blob[n:], -15), np.uint8).astype(np.int64)
+    x[x == 255] = np.frombuffer(blob[8:n], np.int64)
+    return x
+
+
 def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pass, a shard of the tuning fold's rows, with an odd number, from which weights are learned, and one of the others."""
     number = TaskContext.get().partitionId() << 32
-    for batch, data, offsets in arrays.passes(batches, "text", SHARD_BYTES):
-        data = arrays.LOWER[data]
-        start, end, first = arrays.words(data, offsets)
-        lengths = np.diff(first) + 1
-        # Every row's words and then an end.
-        hashes = np.full(len(start) + batch.num_rows, _END[0])
-        hashes[np.arange(len(start)) + np.repeat(np.arange(batch.num_rows), np.diff(first))] = arrays.span_hashes(data, start, end)
-        words, tokens = np.unique(hashes, return_inverse=True)
-        ids = batch.column("doc_id")
-        known = np.asarray(ids.is_valid())
-        row = [number, _pack(np.stack((ids.fill_null(0).to_numpy(), known.astype(np.int64)))[:, :].reshape(-1)), _pack(batch.column("fold").to_numpy().astype(np.uint8)), _pack(lengths.astype(np.uint32)), _pack(words, True), _pack(tokens.astype(np.uint32))]
-        number += 1
-        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(row)], ["shard", "docs", "folds", "lengths", "words", "tokens"])
+    for batch, _, _ in arrays.passes(batches, "text", SHARD_BYTES):
+        tuning = batch.column("fold").to_numpy() == TUNING
+        for odd, some in enumerate((~tuning, tuning)):
+            if some.any():
+                yield _shard(number + odd, batch.filter(pa.array(some)))
+        number += 2
+
+
+def _shard(number: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    data, offsets = arrays.text_bytes(batch.column("text"))
+    data = arrays.LOWER[data]
+    start, end, first = arrays.words(data, offsets)
+    lengths = np.diff(first) + 1
+    # Every row's words and then an end.
+    hashes = np.full(len(start) + batch.num_rows, _END[0])
+    hashes[np.arange(len(start)) + np.repeat(np.arange(batch.num_rows), np.diff(first))] = arrays.span_hashes(data, start, end)
+    words, tokens, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    # Frequent words get small numbers; those of one power of two stay in order of their hash. Both keep the shard small.
+    order = np.argsort(-np.floor(np.log2(n)).astype(np.int64), kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    ids = batch.column("doc_id")
+    docs = np.concatenate((ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.int64)))
+    packed = (_pack(docs), _pack(batch.column("fold").to_numpy().astype(np.uint8)), _pack(lengths.astype(np.uint32)), _pack(words[order], True), _pack(place[tokens]))
+    return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in packed)], ["shard", "docs", "folds", "lengths", "words", "tokens"])
 
 
 @dataclass
@@ -90,9 +120,9 @@ class _Shard:
         lengths, words, token = _unpack(x["lengths"], np.uint32).astype(np.int64), _unpack(x["words"], np.uint64, True), _unpack(x["tokens"], np.uint32).astype(np.int64)
         context = np.empty_like(token)
         context[1:] = token[:-1]
-        context[np.cumsum(lengths) - lengths] = np.searchsorted(words, _END[0])  # a document starts after an end
+        context[np.cumsum(lengths) - lengths] = np.flatnonzero(words == _END[0])[0]  # a document starts after an end
         keys, pair = np.unique(context * len(words) + token, return_inverse=True)
-        pairs = arrays.mixed(words[keys // len(words)] * np.uint64(3) ^ arrays.mixed(words[keys % len(words)]))
+        pairs = arrays.mixed(words[keys // len(words)] * np.uint64(3) ^ arrays.mixed(words[keys % len(words)])) & _PAIR_BITS
         return cls(x["shard"], docs[0], docs[1].astype(bool), _unpack(x["folds"], np.uint8), lengths, words, np.argsort(words), token, pairs, np.argsort(pairs), pair, context)
 
     def fold_of_token(self) -> np.ndarray:
@@ -118,7 +148,7 @@ def _ask(parts: int):
                     edges = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
                     for p in np.flatnonzero(np.diff(edges)):
                         a, b = edges[p], edges[p + 1]
-                        out.append((offset + int(p), s.number, _pack(keys[a:b], True), _pack(train[a:b]), _pack(tuning[a:b])))
+                        out.append((offset + int(p), s.number, _pack(keys[a:b] >> np.uint64(8 if offset else 0), True), _pack_counts(train[a:b]), _pack_counts(tuning[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "shard", "keys", "train", "tuning"])
 
     return ask
@@ -141,12 +171,12 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del keys, order
         totals = []
         for name in ("train", "tuning"):
-            each = np.concatenate([_unpack(x[name], np.uint32) for x in group])
+            each = np.concatenate([_unpack_counts(x[name]) for x in group])
             totals.append(np.bincount(which, each, minlength=int(fresh.sum())).astype(np.int64))
         vocabulary = int((totals[0] > 0).sum())
         for i, (x, b) in enumerate(zip(group, ends)):
             own = which[(ends[i - 1] if i else 0) : b]
-            row = (x["shard"], part, _pack(totals[0][own]), _pack(totals[1][own]), vocabulary if i == 0 else 0)
+            row = (x["shard"], part, _pack_counts(totals[0][own]), _pack_counts(totals[1][own]), vocabulary if i == 0 else 0)
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["shard", "part", "train", "tuning", "vocabulary"])
 
 
@@ -158,7 +188,7 @@ def _counts(s: _Shard, told: list[dict], parts: int):
         own = [t for t in told if (t["part"] >= parts) == pairs]
         for name in ("train", "tuning"):
             x = np.empty(len(order), np.int64)
-            x[order] = np.concatenate([_unpack(t[name], np.int64) for t in own])
+            x[order] = np.concatenate([_unpack_counts(t[name]) for t in own])
             out.append(x)
     return out
 
@@ -190,10 +220,9 @@ def _histogram(parts: int, tokens: int, vocabulary: int):
             for x in batch.to_pylist():
                 s = _Shard.read(x)
                 word, word_out, pair, pair_out = _counts(s, x["told"], parts)
-                some = s.fold_of_token() == TUNING
-                context = (word - word_out)[s.context[some]]
-                own = (word - word_out)[s.token[some]] * ((vocabulary + 1) / max(tokens, 1))
-                both = (pair - pair_out)[s.pair[some]] / np.maximum(context, 1) * (vocabulary + 1)
+                context = (word - word_out)[s.context]
+                own = (word - word_out)[s.token] * ((vocabulary + 1) / max(tokens, 1))
+                both = (pair - pair_out)[s.pair] / np.maximum(context, 1) * (vocabulary + 1)
                 cell = (_bucket(context) * (2 * RANGE + 2) + step(own)) * (2 * RANGE + 2) + step(both)
                 cells, n = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], ["cell", "n"])
@@ -255,7 +284,7 @@ def score(docs: DataFrame, bytes_each: int = 24 << 20) -> DataFrame:
     no ``HELD_OUT`` on division by ``FOLDS`` (a null id counts as an empty text). ``base_score`` is add-one smoothing over the unigrams;
     ``score`` is the mixture's log10 probability of the text. Null and empty texts are an end alone. Repeated rows train and are
     scored each; other columns are ignored. Without training documents all estimates but the uniform one are zero. An empty
-    table gives an empty result. Words are compared by a 64-bit hash.
+    table gives an empty result. Words are compared by a 64-bit hash, bigrams by 56 bits of one.
     """
     components.ensure_checkpoint_dir(docs)
     arrays.session_limits(docs)
@@ -267,11 +296,14 @@ def score(docs: DataFrame, bytes_each: int = 24 << 20) -> DataFrame:
     vocabulary = told.filter(F.col("part") < parts).agg(F.sum("vocabulary")).first()[0] or 0
     tokens, tuning = shards.mapInArrow(_totals, "train bigint, tuning bigint").agg(F.sum("train"), F.sum("tuning")).first()
     tokens, tuning = tokens or 0, tuning or 0
-    by_shard = told.groupBy("shard").agg(F.collect_list(F.struct("part", "train", "tuning")).alias("told"))
-    joined = shards.join(by_shard, "shard")
-    cells = joined.mapInArrow(_histogram(parts, tokens - tuning, vocabulary), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
+
+    def answered(some: Column) -> DataFrame:
+        by_shard = told.filter(some).groupBy("shard").agg(F.collect_list(F.struct("part", "train", "tuning")).alias("told"))
+        return shards.filter(some).join(by_shard, "shard")
+
+    cells = answered(F.col("shard") % 2 == 1).mapInArrow(_histogram(parts, tokens - tuning, vocabulary), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()
     model = Model(tokens, vocabulary, learned(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)))
-    out = joined.mapInArrow(_score(parts, model), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = answered(F.lit(True)).mapInArrow(_score(parts, model), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
