@@ -145,10 +145,10 @@ def _ask(parts: int):
                     train = np.bincount(index[fold != HELD_OUT], minlength=len(keys))[order].astype(np.uint32)
                     tuning = np.bincount(index[fold == TUNING], minlength=len(keys))[order].astype(np.uint32)
                     keys = keys[order]
-                    edges = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
-                    for p in np.flatnonzero(np.diff(edges)):
-                        a, b = edges[p], edges[p + 1]
-                        out.append((offset + int(p), s.number, _pack(keys[a:b] >> np.uint64(8 if offset else 0), True), _pack_counts(train[a:b]), _pack_counts(tuning[a:b])))
+                    part = _part(keys, parts)
+                    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+                    for a, b in zip(edges[:-1], edges[1:]):
+                        out.append((offset + int(part[a]), s.number, _pack(keys[a:b] >> np.uint64(8 if offset else 0), True), _pack_counts(train[a:b]), _pack_counts(tuning[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "shard", "keys", "train", "tuning"])
 
     return ask

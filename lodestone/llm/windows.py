@@ -58,12 +58,11 @@ def _unpacked(group: list[dict]):
     return hashes, np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.concatenate(at), owner, key
 
 
-def _by_part(part: np.ndarray, parts: int):
+def _by_part(part: np.ndarray):
     """Each partition with entries, and which they are, in their order."""
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(edges)):
-        yield int(p), order[edges[p] : edges[p + 1]]
+    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+        yield int(part[some[0]]), some
 
 
 def _home(owner: np.ndarray, key: np.ndarray, parts: int) -> np.ndarray:
@@ -97,9 +96,9 @@ def _send(units: Units, width: int, parts: int, within: bool):
             order, late = _late(hashes, owner[row], at, within)
             found, sent = np.sort(order[late]), np.sort(order[~late])
             part = (arrays.mixed(hashes[sent]) % np.uint64(parts)).astype(np.int32)
-            out = [_packed(p, hashes[sent[i]], row[sent[i]], at[sent[i]], owner, key, False) for p, i in _by_part(part, parts)]
+            out = [_packed(p, hashes[sent[i]], row[sent[i]], at[sent[i]], owner, key, False) for p, i in _by_part(part)]
             home = _home(owner, key, parts)[row[found]]
-            out += [_packed(p, hashes[:0], row[found[i]], at[found[i]], owner, key, True) for p, i in _by_part(home, parts)]
+            out += [_packed(p, hashes[:0], row[found[i]], at[found[i]], owner, key, True) for p, i in _by_part(home)]
             yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
     return send
@@ -127,7 +126,7 @@ def _resolve(parts: int, within: bool):
             i = i[order[late]]
             i = i[np.lexsort((at[i], row[i]))]
             home = _home(owner, key, parts)[row[i]]
-            out = [_packed(p, hashes[:0], row[i[j]], at[i[j]], owner, key, True) for p, j in _by_part(home, parts)]
+            out = [_packed(p, hashes[:0], row[i[j]], at[i[j]], owner, key, True) for p, j in _by_part(home)]
             if out:
                 yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
