@@ -19,7 +19,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that one pass works on at a time (a longer document is a pass of its own).
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}

@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import arrays
+from lodestone.llm import arrays, components
 
 BLOCK = 64
 SHARD_SLOTS = 1 << 14
@@ -168,9 +168,12 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return each.withColumns({"first": first, "n": F.least((F.col("block") + 1) * block - F.col("at"), F.col("size")) - first})
 
 
-def _prepared(docs: DataFrame, block: int, weights: tuple[int, ...], *more: str):
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *more)
-    rows = sized(slim).withColumn("tie", F.xxhash64("text"))
+def _slim(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *more)
+
+
+def _prepared(docs: DataFrame, block: int, weights: tuple[int, ...], *more: Column) -> tuple[DataFrame, Plan]:
+    rows = sized(_slim(docs, *more)).withColumn("tie", F.xxhash64("text"))
     return rows, planned(rows, block, weights)
 
 
@@ -181,8 +184,11 @@ def taken(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHT
     order. Repeated rows count each; null ids come first in their source. Without words every target is 0. Columns besides
     ``doc_id, source, text`` are ignored. An empty table gives an empty result. Equal inputs give equal results.
     """
-    rows, plan = _prepared(docs, block, weights)
-    placed = located(rows.drop("text"), plan)
+    # Texts are read once, for their sizes.
+    components.ensure_checkpoint_dir(docs)
+    rows = sized(_slim(docs)).withColumn("tie", F.xxhash64("text")).drop("text").checkpoint()
+    plan = planned(rows, block, weights)
+    placed = located(rows, plan)
     times = slots(docs.sparkSession, plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
     found = pieces(placed, block).join(times, ["number", "block"], "left").groupBy("number", "at", "doc_id", "size").agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("n")).alias("taken"))
     sources = docs.sparkSession.createDataFrame([(i, int(w), float(t)) for i, (w, t) in enumerate(zip(plan.words, plan.targets))], "number int, source_size bigint, target double")

@@ -13,6 +13,7 @@ histogram of bounded size (bucket by two rounded log ratios) come to the driver.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -291,7 +292,7 @@ def score(docs: DataFrame, bytes_each: int = 24 << 20) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("fold", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int"))
     parts = arrays.shuffle_parts(docs, F.col("text"), bytes_each)
-    shards = docs.mapInArrow(_to_shards, _SHARDS).checkpoint()
+    shards = _stored(docs.mapInArrow(_to_shards, _SHARDS), parts)
     told = shards.mapInArrow(_ask(parts), _ASKED).repartition(parts, "part").mapInArrow(_tell, _TOLD).checkpoint()
     vocabulary = told.filter(F.col("part") < parts).agg(F.sum("vocabulary")).first()[0] or 0
     tokens, tuning = shards.mapInArrow(_totals, "train bigint, tuning bigint").agg(F.sum("train"), F.sum("tuning")).first()
@@ -307,6 +308,13 @@ def score(docs: DataFrame, bytes_each: int = 24 << 20) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+def _stored(shards: DataFrame, buckets: int) -> DataFrame:
+    """The shards as a table in the shared checkpoint folder, bucketed so that joins by shard do not move them."""
+    spark, name = shards.sparkSession, f"shards_{uuid.uuid4().hex}"
+    shards.write.format("parquet").bucketBy(buckets, "shard").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in zip(batch.column("folds").to_pylist(), batch.column("lengths").to_pylist()):

@@ -14,6 +14,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,15 +62,20 @@ class Encoder(dict):
 
     _odd = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
     _cut = re.compile(r"(?<=\S) (?=\S)")
-    _most, _longest = 200_000, 100
+    _most, _longest = 100_000, 100
 
     def __init__(self, path: str):
+        self.path = path
+        self.ranked, self.added = _ranked(path) or (None, [])
+        self.before: dict[str, bytes] = {}
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, for texts that merging by rank does not cover; it takes as much memory again."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ranked, self.added = _ranked(path) or (None, [])
-        self.before: dict[str, bytes] = {}
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> bytes:
         if self.ranked and not any(t in text for t in self.added):

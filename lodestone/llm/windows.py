@@ -21,6 +21,8 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Order of a null document id: after all others.
 LAST = np.iinfo(np.int64).max
 
+#: Bytes of text among which repeats are resolved before anything is sent.
+SENT_BYTES = 4 << 20
 _PACKED = "part int, hash binary, owner binary, row_key binary, entries binary, at binary, found boolean"
 _SCHEMA = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("hash", "owner", "row_key", "entries", "at")), ("found", pa.bool_())])
 _HITS = "owner bigint, row_key bigint, hits binary"
@@ -84,7 +86,7 @@ def _late(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray, within: bool) -
 
 def _send(units: Units, width: int, parts: int, within: bool):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in arrays.passes(batches, "text"):
+        for batch, data, offsets in arrays.passes(batches, "text", SENT_BYTES):
             owner = batch.column("owner").to_numpy(zero_copy_only=False)
             key = batch.column("row_key").to_numpy(zero_copy_only=False)
             unit, first = units(data, offsets)
