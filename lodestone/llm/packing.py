@@ -13,6 +13,8 @@ import json
 import os
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -60,13 +62,15 @@ class Encoder(dict):
     non-spaces has the ids of its pieces, each with its leading space, one after another. Recent pieces are kept.
     """
 
-    _odd = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
+    # A space beside white space or an end; one at the start is looked for apart, as patterns that begin with the space search faster.
+    _odd = re.compile(r" (?:(?=\s|\Z)|(?<=\s ))")
     _cut = re.compile(r"(?<=\S) (?=\S)")
-    _most, _longest = 100_000, 100
+    _most, _longest = 200_000, 100
 
     def __init__(self, path: str):
         self.path = path
-        self.ranked, self.added = _ranked(path) or (None, [])
+        self.ranked, added = _ranked(path) or (None, [])
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.before: dict[str, bytes] = {}
 
     @cached_property
@@ -78,11 +82,13 @@ class Encoder(dict):
         return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> bytes:
-        if self.ranked and not any(t in text for t in self.added):
-            ids = self.ranked.encode_ordinary(text)
+        if self.ranked and not self.added.search(text):
+            ids = array("I", self.ranked.encode_ordinary(text))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         found = self.before.get(piece)
@@ -96,7 +102,7 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        head, *rest = self._cut.split(text) if self._odd.search(text) else text.split(" ")
+        head, *rest = self._cut.split(text) if text[:1] == " " or self._odd.search(text) else text.split(" ")
         return self.ids(head) + b"".join(map(self.__getitem__, rest))
 
 
