@@ -25,9 +25,9 @@ _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def session_limits(df: DataFrame) -> None:
+def session_limits(df: DataFrame, batch_bytes: int = 2 * PASS_BYTES) -> None:
     """Arrow batches by bytes and not only by rows, so that long texts do not make huge batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 

@@ -288,7 +288,7 @@ def score(docs: DataFrame, bytes_each: int = 24 << 20) -> DataFrame:
     table gives an empty result. Words are compared by a 64-bit hash, bigrams by 56 bits of one.
     """
     components.ensure_checkpoint_dir(docs)
-    arrays.session_limits(docs)
+    arrays.session_limits(docs, SHARD_BYTES)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("fold", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int"))
     parts = arrays.shuffle_parts(docs, F.col("text"), bytes_each)

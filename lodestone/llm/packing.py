@@ -65,7 +65,7 @@ class Encoder(dict):
     # A space beside white space or an end; one at the start is looked for apart, as patterns that begin with the space search faster.
     _odd = re.compile(r" (?:(?=\s|\Z)|(?<=\s ))")
     _cut = re.compile(r"(?<=\S) (?=\S)")
-    _most, _longest = 200_000, 100
+    _most, _longest = 100_000, 100
 
     def __init__(self, path: str):
         self.path = path
@@ -106,16 +106,6 @@ class Encoder(dict):
         return self.ids(head) + b"".join(map(self.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The encoder of a tokenizer file, made once in each worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 class Packer:
     """Windows of one partition. A piece is (doc_id, start, ids, doc_tokens); placed, it also has a window and an offset there."""
 
@@ -188,7 +178,8 @@ def _pack(path: str, size: int, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip((doc_id, start, [len(i) // 4 for i in ids], ids, total, window, at), kinds)], schema=kinds)
 
         packer = Packer(size, TaskContext.get().partitionId() << 40)
-        encode, end = encoder(path).encode, struct.pack("<I", end_id)
+        # Made anew for each task: workers outlive it, and other stages' tasks would have to live beside its vocabulary.
+        encode, end = Encoder(path).encode, struct.pack("<I", end_id)
         for part, _, _ in arrays.passes(batches, "text", 1 << 20):
             rows = zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
             placed = [p for d, t in rows for p in packer.add(d, encode(t or "") + end)]

@@ -163,7 +163,7 @@ def repeats(docs: DataFrame, units: Units, width: int, within: bool, bytes_each:
     ``within``: a window also repeats if it stands earlier in the same document. A window of a document never repeats one of
     the same id in another row. ``hits`` is null where there are none.
     """
-    arrays.session_limits(docs)
+    arrays.session_limits(docs, 2 * SENT_BYTES)
     docs = keyed(docs)
     parts = arrays.shuffle_parts(docs, F.col("text"), bytes_each)
     sent = docs.select("owner", "row_key", "text").mapInArrow(_send(units, width, parts, within), _PACKED)
