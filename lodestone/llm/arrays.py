@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
@@ -31,6 +31,11 @@ def session_limits(df: DataFrame, batch_bytes: int = 2 * PASS_BYTES) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
+def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of the driver's, made through Arrow: rows of tuples would start Python workers of another kind in every executor."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def shuffle_parts(df: DataFrame, text: Column, bytes_each: int) -> int:
     """How many shuffle partitions hold about ``bytes_each`` of text each; never fewer than the session's setting."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -109,7 +109,8 @@ def draws(spark, plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -
     blocks = F.element_at(F.array(*(F.lit(int(b)) for b in plan.blocks)), F.col("number") + 1)
     left = F.least(F.col("count"), F.greatest(MOST * blocks - F.col("start"), F.lit(0)))
     drawn = drawn.withColumn("count", left).filter("count > 0")
-    return drawn.unionByName(spark.createDataFrame(more, "shard bigint, number int, count bigint, start bigint"))
+    shard, number, count, start = zip(*more) if more else ((), (), (), ())
+    return drawn.unionByName(arrays.small_table(spark, shard=pa.array(shard, pa.int64()), number=pa.array(number, pa.int32()), count=pa.array(count, pa.int64()), start=pa.array(start, pa.int64())))
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -141,6 +142,11 @@ def slots(spark, plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -
     return each.select("shard", "number", block("number", "nth").alias("block"))
 
 
+def _numbered(spark, plan: Plan, **columns: pa.Array) -> DataFrame:
+    """A row for each source: its ``number`` and these columns."""
+    return arrays.small_table(spark, number=pa.array(range(len(plan.names)), pa.int32()), **columns)
+
+
 def located(docs: DataFrame, plan: Plan, rows_each: int = 10_000) -> DataFrame:
     """``docs`` (with ``doc_id, source, size``) with ``number`` and ``at``: the source's number and the words of it before each row.
 
@@ -148,7 +154,7 @@ def located(docs: DataFrame, plan: Plan, rows_each: int = 10_000) -> DataFrame:
     small windows.
     """
     spark = docs.sparkSession
-    numbers = spark.createDataFrame([(i, n) for i, n in enumerate(plan.names)], "number int, name string")
+    numbers = _numbered(spark, plan, name=pa.array(plan.names, pa.string()))
     docs = docs.join(F.broadcast(numbers), docs["source"].eqNullSafe(numbers["name"])).drop("name")
     buckets = max(1, int(docs.count() // rows_each))
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
@@ -191,7 +197,7 @@ def taken(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHT
     placed = located(rows, plan)
     times = slots(docs.sparkSession, plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
     found = pieces(placed, block).join(times, ["number", "block"], "left").groupBy("number", "at", "doc_id", "size").agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("n")).alias("taken"))
-    sources = docs.sparkSession.createDataFrame([(i, int(w), float(t)) for i, (w, t) in enumerate(zip(plan.words, plan.targets))], "number int, source_size bigint, target double")
+    sources = _numbered(docs.sparkSession, plan, source_size=pa.array(plan.words, pa.int64()), target=pa.array(plan.targets, pa.float64()))
     none = placed.filter("size = 0").select("number", "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
     every = found.select("number", "doc_id", "size", F.col("taken").cast("bigint").alias("taken")).unionByName(none)
     return every.join(F.broadcast(sources), "number").select("doc_id", "size", "source_size", "target", "taken")
@@ -203,7 +209,7 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] =
     each = pieces(located(rows, plan), block).select("number", "block", "at", "first", "n", "text")
     cut = _cut_words(each, "number int, block bigint, at bigint")
     texts = cut.groupBy("number", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"))
-    names = docs.sparkSession.createDataFrame([(i, n) for i, n in enumerate(plan.names)], "number int, source string")
+    names = _numbered(docs.sparkSession, plan, source=pa.array(plan.names, pa.string()))
     return slots(docs.sparkSession, plan, seed=seed).join(texts, ["number", "block"]).join(F.broadcast(names), "number").select("shard", "source", "block", "text")
 
 

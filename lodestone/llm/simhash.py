@@ -152,7 +152,8 @@ def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     found = []
     while True:
         # A bounded table: what each bucket's mask grows to, four for each mask in use.
-        grown = spark.createDataFrame([(_signed(m), _signed(m | b)) for m, bs in masks.items() for b in bs], "mask bigint, next bigint")
+        pairs = [(_signed(m), _signed(m | b)) for m, bs in masks.items() for b in bs]
+        grown = arrays.small_table(spark, mask=pa.array([m for m, _ in pairs], pa.int64()), next=pa.array([n for _, n in pairs], pa.int64()))
         rows = rows.join(F.broadcast(grown), "mask").select("bits", F.col("next").alias("mask"), F.col("bits").bitwiseAND(F.col("next")).alias("value"))
         sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         small = rows.join(sizes.filter(F.col("n") <= most), ["mask", "value"]).groupBy("mask", "value").agg(F.collect_list("bits").alias("members"))

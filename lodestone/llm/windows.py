@@ -84,9 +84,9 @@ def _late(hashes: np.ndarray, owner: np.ndarray, at: np.ndarray, within: bool) -
     return order, late
 
 
-def _send(units: Units, width: int, parts: int, within: bool):
+def _send(units: Units, width: int, parts: int, within: bool, sent_bytes: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in arrays.passes(batches, "text", SENT_BYTES):
+        for batch, data, offsets in arrays.passes(batches, "text", sent_bytes):
             owner = batch.column("owner").to_numpy(zero_copy_only=False)
             key = batch.column("row_key").to_numpy(zero_copy_only=False)
             unit, first = units(data, offsets)
@@ -157,16 +157,16 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(owner[e]), pa.array(key[e]), hits], ["owner", "row_key", "hits"])
 
 
-def repeats(docs: DataFrame, units: Units, width: int, within: bool, bytes_each: int = 24 << 20) -> DataFrame:
+def repeats(docs: DataFrame, units: Units, width: int, within: bool, bytes_each: int = 24 << 20, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``docs`` with ``owner``, ``row_key`` and ``hits``: packed starts (units) of windows that an earlier document holds.
 
     ``within``: a window also repeats if it stands earlier in the same document. A window of a document never repeats one of
     the same id in another row. ``hits`` is null where there are none.
     """
-    arrays.session_limits(docs, 2 * SENT_BYTES)
+    arrays.session_limits(docs, 2 * sent_bytes)
     docs = keyed(docs)
     parts = arrays.shuffle_parts(docs, F.col("text"), bytes_each)
-    sent = docs.select("owner", "row_key", "text").mapInArrow(_send(units, width, parts, within), _PACKED)
+    sent = docs.select("owner", "row_key", "text").mapInArrow(_send(units, width, parts, within, sent_bytes), _PACKED)
     found = sent.repartition(parts, "part").mapInArrow(_resolve(parts, within), _PACKED)
     hits = found.repartition(parts, "part").mapInArrow(_gather, _HITS)
     return docs.join(hits, ["owner", "row_key"], "left")
