@@ -139,6 +139,7 @@ def slots(spark, plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -
         return pd.Series(permuted(nth % size, size, (number * MOST + nth // size) + np.int64(seed) * 1_000_003))
 
     each = draws(spark, plan, shard_slots, seed).withColumn("nth", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)))
+    # Slots grow with the corpus, but the planner can't tell what a draw explodes to: joins with them need a hint not to broadcast them.
     return each.select("shard", "number", block("number", "nth").alias("block"))
 
 
@@ -195,7 +196,7 @@ def taken(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHT
     rows = sized(_slim(docs)).withColumn("tie", F.xxhash64("text")).drop("text").checkpoint()
     plan = planned(rows, block, weights)
     placed = located(rows, plan)
-    times = slots(docs.sparkSession, plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = slots(docs.sparkSession, plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     found = pieces(placed, block).join(times, ["number", "block"], "left").groupBy("number", "at", "doc_id", "size").agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("n")).alias("taken"))
     sources = _numbered(docs.sparkSession, plan, source_size=pa.array(plan.words, pa.int64()), target=pa.array(plan.targets, pa.float64()))
     none = placed.filter("size = 0").select("number", "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
@@ -210,7 +211,7 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] =
     cut = _cut_words(each, "number int, block bigint, at bigint")
     texts = cut.groupBy("number", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"))
     names = _numbered(docs.sparkSession, plan, source=pa.array(plan.names, pa.string()))
-    return slots(docs.sparkSession, plan, seed=seed).join(texts, ["number", "block"]).join(F.broadcast(names), "number").select("shard", "source", "block", "text")
+    return slots(docs.sparkSession, plan, seed=seed).hint("merge").join(texts, ["number", "block"]).join(F.broadcast(names), "number").select("shard", "source", "block", "text")
 
 
 def _cut_words(each: DataFrame, keys: str) -> DataFrame:
@@ -240,7 +241,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...
     carried = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.lit(0).alias("pad")).alias("carried")
     rows, plan = _prepared(docs, block, weights, carried)
     placed = located(rows, plan)
-    times = slots(docs.sparkSession, plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    times = slots(docs.sparkSession, plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).cast("int").alias("times")).hint("merge")
     spans = pieces(placed.drop("text", "carried", "tie"), block).join(times, ["number", "block"])
     spans = spans.groupBy("number", "at").agg(F.collect_list(F.struct(F.col("first").cast("bigint").alias("first"), F.col("n").cast("bigint").alias("n"), "times")).alias("spans"))
     found = placed.join(spans, ["number", "at"]).filter("size > 0").select("doc_id", "source", "text", "carried", "spans")
