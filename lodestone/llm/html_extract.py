@@ -23,7 +23,11 @@ from lodestone.llm import arrays
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^'">])*+|[^>]*)>""", re.DOTALL)
 _HINT = re.compile(r"""(?:\A|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_SILENT = frozenset("script style noscript template svg math iframe object canvas title textarea select option button audio video datalist".split())
+_SILENT = frozenset("script style noscript template svg iframe object canvas title textarea select option button audio video datalist".split())
+#: What of these is read as text only, up to their end or that of the page.
+_RAW = frozenset("script style title textarea".split())
+#: Of these a second one closes the first.
+_SINGLE = frozenset("select option button".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split()
 )
@@ -40,26 +44,26 @@ START, PER_WORD, MOST_WORDS, LINKS, SENTENCE, TITLE, HEADING, ITEM, INSIDE, OUTS
 #: Smoothness: between neighbours with the same parent, less with each step apart in the tree, and along one parent.
 NEAR, PARENT = 0.8, 0.4
 _UNIT = 1000
-#: Distances in the tree look at so many of the innermost open elements.
-_DEEPEST = 64
 
 
 @dataclass
-class Block:
-    """``path``: the open elements' numbers from the outside in."""
-
-    text: str
-    linked: int
+class _Open:
     tag: str
-    path: tuple[int, ...]
+    number: int
     bad: bool
     good: bool
+    outer: _Open | None = None
+    depth: int = 1
 
 
 @dataclass
-class _Open:
+class Block:
+    """``inner``: the innermost open element."""
+
+    text: str
+    linked: int
     tag: str
-    number: int
+    inner: _Open
     bad: bool
     good: bool
 
@@ -68,12 +72,54 @@ def _hints(attributes: str) -> set[str]:
     return {t.lower() for m in _HINT.finditer(attributes) for t in _TOKEN.findall(m[1] or m[2] or m[3] or "")}
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _closed(page: str) -> dict[int, int]:
+    """From where a silent element starts to its end, for those that are closed before an element around them is.
+
+    Others are not closed at all: what follows them is the page's text.
+    """
+    ends: dict[int, int] = {}
+    stack: list[list] = []  # tag, start, whether it is still open
+    count: dict[str, int] = {}
+    at = 0
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag in _RAW:
+            if not m[1] and not m[3].endswith("/"):
+                at = _raw_end(page, tag, at)
+        elif tag in _SILENT or (tag in _BLOCK and tag not in _VOID):
+            if m[1]:
+                while count.get(tag):
+                    last, start, live = stack.pop()
+                    count[last] -= live
+                    if live and last == tag:
+                        if tag in _SILENT:
+                            ends[start] = at
+                        break
+            elif tag in _BLOCK or not m[3].endswith("/"):
+                if tag in _SINGLE and count.get(tag):
+                    for one in reversed(stack):
+                        if one[0] == tag and one[2]:
+                            one[2] = 0
+                            count[tag] -= 1
+                            break
+                stack.append([tag, m.start(), 1])
+                count[tag] = count.get(tag, 0) + 1
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order: references decoded, white space single, empty ones left out."""
     out: list[Block] = []
     stack: list[_Open] = [_Open("", 0, False, False)]
     run: list[str] = []
     linked, in_link, number, at = 0, 0, 0, 0
+    ends: dict[int, int] | None = None
 
     def close() -> None:
         nonlocal linked
@@ -81,7 +127,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
                 top = stack[-1]
-                out.append(Block(text, linked, top.tag, tuple(o.number for o in stack[-_DEEPEST:]), top.bad, top.good))
+                out.append(Block(text, linked, top.tag, top, top.bad, top.good))
             run.clear()
         linked = 0
 
@@ -103,8 +149,11 @@ def blocks(page: str) -> list[Block]:
         closing, tag = m[1], m[2].lower()
         if tag in _SILENT:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page) if tag in ("script", "style", "title", "textarea") else at
+                if tag in _RAW:
+                    at = _raw_end(page, tag, at)
+                else:
+                    ends = _closed(page) if ends is None else ends
+                    at = ends.get(m.start(), at)
             run.append(" ")
         elif tag == "a":
             in_link = 0 if closing else 1
@@ -126,7 +175,7 @@ def blocks(page: str) -> list[Block]:
                 if said & _BAD_WORD and not said & _GOOD_WORD and tag not in ("html", "body", "article", "main") and not (outer.good and said <= {"header", "entry", "post", "article"}):
                     bad = True
                 good = tag in _GOOD_TAG or bool(said & _GOOD_WORD and not said & _BAD_WORD and tag not in ("html", "body"))
-                stack.append(_Open(tag, number, outer.bad or bad, outer.good or good))
+                stack.append(_Open(tag, number, outer.bad or bad, outer.good or good, outer, outer.depth + 1))
     close()
     return out
 
@@ -144,12 +193,14 @@ def score(block: Block) -> float:
 
 def _apart(a: Block, b: Block) -> int:
     """Steps in the element tree between two blocks' parents."""
-    same = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        same += 1
-    return len(a.path) + len(b.path) - 2 * same
+    x, y, steps = a.inner, b.inner, 0
+    while x is not y:
+        if x.depth >= y.depth:
+            x = x.outer
+        else:
+            y = y.outer
+        steps += 1
+    return steps
 
 
 def labels(found: list[Block]) -> list[bool]:
@@ -159,7 +210,7 @@ def labels(found: list[Block]) -> list[bool]:
     for i, b in enumerate(found):
         if i:
             edges[i - 1, i] = NEAR / (1 + _apart(found[i - 1], b) / 2)
-        parent = b.path[-2] if len(b.path) > 1 else 0
+        parent = b.inner.outer.number if b.inner.outer else 0
         if parent in last:
             key = (last[parent], i)
             edges[key] = edges.get(key, 0) + PARENT
