@@ -1,7 +1,7 @@
 """Secret scans with structural confirmation (list item 10).
 
-Base patterns find assignments, access keys and long hex runs. Besides, runs of base64 or hex (over line breaks too inside PEM
-armour) are decoded and parsed before they are reported: as a private key, whose nested lengths must add up to the byte, or as a signed
+Base patterns find assignments, access keys and long hex runs. Besides, runs of base64 or hex (over line breaks too), from wherever
+in them a key may begin to the end that its outer length tells, are decoded and parsed before they are reported: as a private key, whose nested lengths must add up to the byte, or as a signed
 token, whose header and claims must be JSON objects that name an algorithm.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -26,7 +27,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Runs that are long enough are the matches of the open-ended patterns that are not dropped: both take a run from its start.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: A run, and those of the lines after it (breaks may be escaped) that hold nothing before theirs.
+_ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*[A-Za-z0-9+/_-]+)*={0,2}")
+_PIECE = re.compile(r"(?:\A|(?<=\n)[\x20\t>]*|(?:\\r)?\\n[\x20\t>]*)([A-Za-z0-9+/_-]+)")
+# Only what begins like a key is worth decoding: a DER sequence, or the OpenSSH magic.
+_BASE64_START = re.compile(r"(?=M[B-I]|b3BlbnNzaC1rZXkt)")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]{80,}")
+_HEX_START = re.compile(r"(?=30)")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]*)-----END \1PRIVATE KEY-----")
 _TOKEN = re.compile(r"e[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 
@@ -111,6 +118,63 @@ def is_token(run: str) -> bool:
     return head["alg"].lower() == "none" or (len(signature) >= 16 and _decoded(signature) is not None)
 
 
+def _length(head: bytes) -> int:
+    """How many bytes the DER sequence takes that begins so, if what stands first in it can be a key's; else 0."""
+    if len(head) < 8 or head[0] != 0x30:
+        return 0
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4 or head[1] == 0x80:
+        return 0
+    inner = head[2 + k :]
+    if not inner.startswith((b"\x30", b"\x02\x01\x00"[: len(inner)], b"\x02\x01\x01"[: len(inner)])):
+        return 0
+    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def _openssh_length(data: bytes) -> int:
+    """How many bytes the OpenSSH key takes: cipher, derivation, its options, the number of keys, those, and the private part."""
+    at, left, fields = 15, 3, 0
+    while left:
+        n = int.from_bytes(data[at : at + 4], "big")
+        at, left, fields = at + 4 + n, left - 1, fields + 1
+        if at > len(data):
+            return 0
+        if fields == 3:
+            left = int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+    return at
+
+
+def _keys(run: str) -> list[tuple[int, int]]:
+    """Start and end of private keys in a run of base64 or hex; none begins inside another."""
+    found, to = [], 0
+    for m in _BASE64_START.finditer(run):
+        a = m.start()
+        if a < to:
+            continue
+        if run[a] == "b":
+            whole = run[a : len(run) - (len(run) - a) % 4] if (len(run) - a) % 4 == 1 else run[a:]
+            data = _decoded(whole) or b""
+            n = _openssh_length(data) if data.startswith(b"openssh-key-v1\0") else 0
+        else:
+            n = _length(_decoded(run[a : a + 12]) or b"")
+            data = b""
+        b = a - (-n * 8 // 6)
+        if n and b <= len(run) and is_key((data or _decoded(run[a:b]) or b"")[:n]):
+            found.append((a, b))
+            to = b
+    for h in _HEX_RUN.finditer(run):
+        to = 0
+        for m in _HEX_START.finditer(h[0]):
+            a = m.start()
+            head = h[0][a : a + 18]
+            n = _length(bytes.fromhex(head[: len(head) // 2 * 2])) if a >= to else 0
+            if n and a + 2 * n <= len(h[0]) and is_key(bytes.fromhex(h[0][a : a + 2 * n])):
+                to = a + 2 * n
+                found.append((h.start() + a, h.start() + to))
+    return found
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of runs that decode to a private key or a signed token."""
     found = []
@@ -118,14 +182,22 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "key") for m in _ARMOUR.finditer(text) if is_key(_decoded(m[2]) or b"")]
     inside = list(found)
     for m in _ENCODED.finditer(text):
-        run, data = m[0], None
-        # Only what begins like a key is worth decoding: a DER sequence, or the OpenSSH magic.
-        if run.startswith(("MI", "MF", "MH", "MC", "MG", "MD", "ME", "MB", "b3BlbnNzaC1rZXkt")):
-            data = _decoded(run)
-        elif run.startswith("30") and len(run) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", run):
-            data = bytes.fromhex(run)
-        if data and is_key(data) and not any(a <= m.start() < b for a, b, _ in inside):
-            found.append((m.start(), m.end(), "key"))
+        pieces = [(x.start(1), x[1]) for x in _PIECE.finditer(m[0])]
+        joined = "".join(x for _, x in pieces)
+        starts = [0]
+        for _, x in pieces:
+            starts.append(starts[-1] + len(x))
+
+        def place(i: int) -> int:
+            k = bisect.bisect_right(starts, i) - 1
+            return m.start() + pieces[k][0] + i - starts[k]
+
+        for a, b in sorted(_keys(joined)):
+            start, end = place(a), place(b - 1) + 1
+            if b == len(joined):
+                end += len(m[0]) - len(m[0].rstrip("="))
+            if not any(x <= start < y for x, y, _ in inside):
+                found.append((start, end, "key"))
     return found + [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_token(m[0])]
 
 
