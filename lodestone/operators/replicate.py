@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +32,30 @@ def synced(cloud: DataFrame, local: DataFrame, key: str = "id", version: str | N
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def _joined_md5(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """md5 of each source's values joined by ``|``, from rows sorted by source and value; holds one source's state only."""
+    source, digest = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([digest.hexdigest()], pa.string())], ["source", "hash"])
+    for batch in batches:
+        for name, value in zip(batch.column("source").to_pylist(), batch.column("h").to_pylist()):
+            if digest is not None and name == source:
+                digest.update(b"|")
+            else:
+                if digest is not None:
+                    yield row()
+                source, digest = name, hashlib.md5()
+            digest.update(value.encode())
+    if digest is not None:
+        yield row()
+
+
 def source_hashes(chunks: DataFrame) -> DataFrame:
-    """``source, hash``: md5 over the sorted md5 values of a source's contents."""
-    return chunks.filter("source IS NOT NULL AND source <> ''").groupBy("source").agg(sorted_hash(F.md5(F.coalesce("content", F.lit(""))), "|").alias("hash"))
+    """``source, hash``: md5 over the sorted md5 values of a source's contents.
+
+    A source's values are streamed in order and never gathered, as those of a large source would pass the size of a row.
+    """
+    each = chunks.filter("source IS NOT NULL AND source <> ''").select("source", F.md5(F.coalesce("content", F.lit(""))).alias("h"))
+    return each.repartition("source").sortWithinPartitions("source", "h").mapInArrow(_joined_md5, "source string, hash string")
 
 
 def fingerprint(points: DataFrame, key: str = "id") -> DataFrame:
