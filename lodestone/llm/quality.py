@@ -70,7 +70,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, c, size = np.maximum(n, 1), np.maximum(chars, 1), np.maximum(n_lines, 1)
         marks, capitals, digits = (_per_row(t[data], offsets) for t in (_MARKS, _CAPITALS, _DIGITS))
         beyond = _per_row(data >= 0xC0, offsets)
-        shares = [np.minimum(n, 10_000), chars / w, symbols / w, dup / size, repeats / w, (n - known) / np.minimum(w, 10_000), digits / c, capitals / c, marks / c, beyond / c, np.minimum(n / size, 1000)]
+        shares = [n, chars / w, symbols / w, dup / size, repeats / w, (n - known) / w, digits / c, capitals / c, marks / c, beyond / c, n / size]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (n, chars, symbols, dup, repeats)), *(pa.array(x.astype(np.float64)) for x in shares)], ["doc_id", *COUNTS, *FEATURES])
 
 
