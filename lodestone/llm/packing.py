@@ -4,7 +4,7 @@ Each task packs the documents of its partition one after another. The windows it
 ids go to the level (or to a new window) that makes the sum of squared counts smallest, which keeps levels of every
 size in stock. Full windows' worth of a long document are cut off first. When the partition ends, what the open windows hold is
 moved together, cut where a window is full, and the rest is cut into pieces whose sizes are powers of two, so nothing is padded.
-Memory: the open windows (at most one window of ids for each of ``size`` levels, in practice a few) and one pass of text.
+Memory: the open windows (a few a level, as filling up the most common level lowers the sum most) and one pass of text.
 """
 
 from __future__ import annotations
@@ -65,6 +65,8 @@ class Encoder(dict):
     # A space beside white space or an end; one at the start is looked for apart, as patterns that begin with the space search faster.
     _odd = re.compile(r" (?:(?=\s|\Z)|(?<=\s ))")
     _cut = re.compile(r"(?<=\S) (?=\S)")
+    # The pattern engine of the encoder by rank recurses over white space; long runs go to the tokenizer itself.
+    _blank = re.compile(r"\s{1000}")
     _most, _longest = 100_000, 100
 
     def __init__(self, path: str):
@@ -82,7 +84,7 @@ class Encoder(dict):
         return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> bytes:
-        if self.ranked and not self.added.search(text):
+        if self.ranked and not self.added.search(text) and not self._blank.search(text):
             ids = array("I", self.ranked.encode_ordinary(text))
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
