@@ -31,11 +31,16 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*[A-Za-z0-9+/_-]+)*={0,2}")
 _PIECE = re.compile(r"(?:\A|(?<=\n)[\x20\t>]*|(?:\\r)?\\n[\x20\t>]*)([A-Za-z0-9+/_-]+)")
 # Only what begins like a key is worth decoding: a DER sequence, or the OpenSSH magic.
-_BASE64_START = re.compile(r"(?=M[B-I]|b3BlbnNzaC1rZXkt)")
+_BASE64_START = re.compile(r"(?=M[B-I]|b3BlbnNzaC1rZXktdjEA)")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{80,}")
 _HEX_START = re.compile(r"(?=30)")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]*)-----END \1PRIVATE KEY-----")
-_TOKEN = re.compile(r"e[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:\s|\\[nr])*(?:[A-Za-z-]++:[^\n\\]*(?:\n|\\n)(?:[\x20\t\r]|\\r)*)*)([A-Za-z0-9+/=\s\\]*)-----END \1PRIVATE KEY-----")
+#: Whole segments only are tried, each from where its run begins, so a text is read once whatever it holds.
+_SEGMENT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)\.(?=([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*+))")
+#: What a JSON object begins with, in base64.
+_JSON_START = re.compile(r"(?=e[wy])")
+#: A token's header is looked for among so many characters before its point; real ones have a few hundred.
+LONGEST_HEADER = 8192
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -106,6 +111,21 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
+def _tokens(text: str) -> list[tuple[int, int]]:
+    """Start and end of signed tokens; a header may follow other characters of its run."""
+    found, to = [], 0
+    for m in _SEGMENT.finditer(text):
+        low = max(m.end(1) - LONGEST_HEADER, m.start(1), to)
+        for s in _JSON_START.finditer(text, low, m.end(1)):
+            # The first bytes tell most starts apart from a JSON object's.
+            head = _decoded(text[s.start() : min(s.start() + 8, m.end(1))])
+            if head and head.lstrip(b"{").lstrip()[:1] == b'"' and is_token(f"{text[s.start() : m.end(1)]}.{m[2]}.{m[3]}"):
+                to = m.end(1) + 2 + len(m[2]) + len(m[3])
+                found.append((s.start(), to))
+                break
+    return found
+
+
 def is_token(run: str) -> bool:
     """Whether the run is a signed token: a JSON header that names an algorithm, JSON claims, and a signature if one is due."""
     header, claims, signature = run.split(".")
@@ -131,18 +151,36 @@ def _length(head: bytes) -> int:
     return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
 
 
-def _openssh_length(data: bytes) -> int:
-    """How many bytes the OpenSSH key takes: cipher, derivation, its options, the number of keys, those, and the private part."""
+def _openssh_length(data: bytes, room: int) -> tuple[int, bool]:
+    """How many bytes the OpenSSH key takes, of ``room`` at most (0: it can't), and whether ``data`` is enough to tell.
+
+    Cipher, derivation, its options, the number of keys, those, and the private part.
+    """
     at, left, fields = 15, 3, 0
     while left:
-        n = int.from_bytes(data[at : at + 4], "big")
-        at, left, fields = at + 4 + n, left - 1, fields + 1
-        if at > len(data):
-            return 0
+        if at + 8 > len(data):
+            return 0, len(data) >= room
+        at, left, fields = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1, fields + 1
         if fields == 3:
-            left = int.from_bytes(data[at : at + 4], "big") + 1
+            left = int.from_bytes(data[at : at + 4], "big") + 1 if at + 4 <= len(data) else 1
             at += 4
-    return at
+        if at > room:
+            return 0, True
+    return at, True
+
+
+def _openssh(run: str, a: int) -> tuple[bytes, int]:
+    """The bytes from ``a`` on, as many as the lengths of its fields ask for, and how many the key takes."""
+    size, room = 96, (len(run) - a) * 3 // 4
+    while True:
+        b = min(len(run), a + size)
+        data = _decoded(run[a : b - ((b - a) % 4 == 1)]) or b""
+        n, known = _openssh_length(data, room)
+        if known and n <= len(data):
+            return data, n
+        if b == len(run):
+            return data, 0
+        size *= 4
 
 
 def _keys(run: str) -> list[tuple[int, int]]:
@@ -153,9 +191,7 @@ def _keys(run: str) -> list[tuple[int, int]]:
         if a < to:
             continue
         if run[a] == "b":
-            whole = run[a : len(run) - (len(run) - a) % 4] if (len(run) - a) % 4 == 1 else run[a:]
-            data = _decoded(whole) or b""
-            n = _openssh_length(data) if data.startswith(b"openssh-key-v1\0") else 0
+            data, n = _openssh(run, a)
         else:
             n = _length(_decoded(run[a : a + 12]) or b"")
             data = b""
@@ -175,11 +211,16 @@ def _keys(run: str) -> list[tuple[int, int]]:
     return found
 
 
+def _in_armour(headers: str, data: bytes) -> bool:
+    """A key, or, where headers say that it is encrypted, whole blocks of a cipher's."""
+    return is_key(data) or ("ENCRYPTED" in headers and len(data) >= 64 and len(data) % 8 == 0)
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of runs that decode to a private key or a signed token."""
     found = []
     if "PRIVATE KEY-----" in text:
-        found += [(m.start(), m.end(), "key") for m in _ARMOUR.finditer(text) if is_key(_decoded(m[2]) or b"")]
+        found += [(m.start(), m.end(), "key") for m in _ARMOUR.finditer(text) if _in_armour(m[2], _decoded(m[3]) or b"")]
     inside = list(found)
     for m in _ENCODED.finditer(text):
         pieces = [(x.start(1), x[1]) for x in _PIECE.finditer(m[0])]
@@ -198,7 +239,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
                 end += len(m[0]) - len(m[0].rstrip("="))
             if not any(x <= start < y for x, y, _ in inside):
                 found.append((start, end, "key"))
-    return found + [(m.start(), m.end(), "token") for m in _TOKEN.finditer(text) if is_token(m[0])]
+    return found + [(a, b, "token") for a, b in _tokens(text)]
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:

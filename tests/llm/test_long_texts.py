@@ -1,0 +1,62 @@
+"""Very long texts of one kind of character, and what may be glued to a secret."""
+
+import base64
+import json
+import time
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+
+from lodestone.llm import packing, quality, secrets
+
+KINDS = {"letter": "a", "space": " ", "newline": "\n", "token start": "ey", "words": "ab ", "magic": "b3BlbnNzaC1rZXktdjEA", "header": 'eyJhIjp7', "dots": "eyJ.", "key word": "password "}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_secrets_take_time_in_proportion(kind):
+    text = KINDS[kind] * (2_000_000 // len(KINDS[kind]))
+    began = time.perf_counter()
+    secrets.base_spans(text), secrets.confirmed_spans(text)
+    assert time.perf_counter() - began < 15
+
+
+@pytest.mark.parametrize("kind", ["letter", "space", "newline", "token start"])
+def test_encoder_on_long_runs(kind):
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (KINDS[kind] * (2_000_000 // len(KINDS[kind])), "x" + KINDS[kind] * 3000 + "y"):
+        ids = np.frombuffer(encoder.encode(text), "<u4")
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_features_do_not_change_their_meaning_with_length():
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (1000, 20_000, 40_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    found = pa.Table.from_batches(quality._statistics(iter([batch])))
+    assert found.column("distinct").to_pylist() == [1.0, 1.0, 1.0] and found.column("line_words").to_pylist() == [1000.0, 20_000.0, 40_000.0]
+
+
+def token(head, claims=None):
+    code = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    return f"{code(head)}.{code(claims or {'sub': 'a'})}.{'s' * 43}"
+
+
+@pytest.mark.parametrize("before", ["", "id_", "x-", "\\n", "a.b.", "bearer=", "keyeyJ"])
+def test_tokens_behind_other_characters(before):
+    code = token({"alg": "HS256", "typ": "JWT"})
+    text = f"see {before}{code} end"
+    assert [(a, b) for a, b, k in secrets.confirmed_spans(text) if k == "token"] == [(4 + len(before), 4 + len(before) + len(code))]
+
+
+def test_two_tokens_and_none():
+    code = token({"typ": "JWT", "alg": "none"})
+    assert len(secrets.confirmed_spans(f"{code} {code}")) == 2
+    assert secrets.confirmed_spans(token({"typ": "JWT"})) == []
+
+
+def test_encrypted_armour():
+    body = base64.b64encode(bytes(range(256)) * 2).decode()
+    text = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert secrets.confirmed_spans(f"a {text} b") == [(2, 2 + len(text), "key")]
+    assert secrets.confirmed_spans(text.replace("Proc-Type: 4,ENCRYPTED\n", "")) == []
