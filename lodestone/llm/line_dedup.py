@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import arrays, windows
 
 WIDTH = 3
-#: Lines are few beside bytes, so that little is lost by resolving repeats among less text at a time.
-SENT_BYTES = 1 << 20
+#: Lines are few beside bytes, so that an index partition may stand for more text than one of words.
+BYTES_EACH = 96 << 20
 
 
 def lines(data: np.ndarray, offsets: np.ndarray):
@@ -46,24 +46,21 @@ def _cut(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in arrays.passes(batches, "text"):
             start, end, first, solid = lines(data, offsets)
-            texts, total, gone = [], [], []
-            for row, hits in enumerate(batch.column("hits").to_pylist()):
-                a, b = first[row], first[row + 1]
-                text = data[offsets[row] : offsets[row + 1]].tobytes()
-                total.append(int(b - a))
-                if hits:
+            gone = np.zeros(batch.num_rows, np.int64)
+            hits, column = batch.column("hits"), batch.column("text")
+            some = np.flatnonzero(np.asarray(hits.is_valid())).tolist()
+            if some:
+                texts = column.to_pylist()
+                for row in some:
+                    a, b = first[row], first[row + 1]
                     keep = np.ones(b - a, bool)
                     own = np.flatnonzero(solid[a:b])
-                    keep[own[arrays.covered(len(own), windows.starts(hits), width)]] = False
-                    gone.append(int((~keep).sum()))
-                    s, e = start[a:b][keep] - offsets[row], end[a:b][keep] - offsets[row]
-                    text = b"\n".join(text[x:y] for x, y in zip(s.tolist(), e.tolist()))
-                else:
-                    gone.append(0)
-                texts.append(text)
-            null = batch.column("text").is_null()
-            column = pa.array([None if n else t for n, t in zip(null.to_pylist(), texts)], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("ref"), column, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["ref", "text", "n_lines", "n_removed"])
+                    keep[own[arrays.covered(len(own), windows.starts(hits[row].as_py()), width)]] = False
+                    gone[row] = (~keep).sum()
+                    s, e = start[a:b][keep], end[a:b][keep]
+                    texts[row] = b"\n".join(data[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist())).decode()
+                column = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("ref"), column, pa.array(np.diff(first)), pa.array(gone)], ["ref", "text", "n_lines", "n_removed"])
 
     return cut
 
@@ -72,14 +69,15 @@ def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with ``text`` less repeated lines, and ``n_lines, n_removed``.
 
     Null text stays null and has one empty line, as has an empty text. Texts of fewer than ``width`` lines with a word stay.
-    Null ``doc_id`` comes after all others. Of rows with one ``doc_id`` none is later than another, so repeated rows stay.
+    Null ``doc_id`` comes after all others. Of rows with one ``doc_id`` (null too) none is later than another, so they keep what they share;
+    what repeats within one of them goes.
     Other columns pass through, but for input columns named ``n_lines`` or ``n_removed``, which the results replace.
     An empty table gives an empty one.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
     ref = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)))
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), ref.alias("ref"))
-    marked = windows.repeats(slim, _line_units, width, within=True, sent_bytes=SENT_BYTES).select("ref", "text", "hits")
+    marked = windows.repeats(slim, _line_units, width, within=True, bytes_each=BYTES_EACH).select("ref", "text", "hits")
     kind = slim.schema["ref"].dataType.simpleString()
     out = marked.mapInArrow(_cut(width), f"ref {kind}, text string, n_lines bigint, n_removed bigint")
     return out.select(F.col("ref.doc_id").alias("doc_id"), "text", *(F.col(f"ref.c{i}").alias(c) for i, c in enumerate(rest)), "n_lines", "n_removed")

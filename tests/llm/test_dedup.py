@@ -40,8 +40,24 @@ def test_substring_edges(nulls, empty):
 
 
 def test_factors():
-    assert substring_dedup.factors(np.array([0, 1, 2, 9]), 3) == [(0, 5), (9, 12)]
-    assert substring_dedup.factors(np.zeros(0, int), 3) == []
+    at = np.array([0, 1, 2, 9])
+    assert substring_dedup.spans(at, 3) == [(0, 5), (9, 12)]
+    assert substring_dedup.spans(np.zeros(0, int), 3) == []
+    one = np.zeros(4, np.int64)
+    assert substring_dedup.factors(at, one, one, np.array([4, 5, 6, 7]), 3) == [(0, 5, 0, 4), (9, 12, 0, 7)]
+    assert substring_dedup.factors(at, np.array([1, 2, 2, 2]), one, np.array([4, 5, 6, 7]), 3) == [(0, 3, 1, 4), (1, 5, 2, 5), (9, 12, 2, 7)]
+    assert substring_dedup.factors(at[:0], one[:0], one[:0], one[:0], 3) == []
+
+
+def test_factors_stand_in_their_sources(docs, rows):
+    words, n = {i: WORD.findall(t or "") for i, t in rows}, 0
+    for r in substring_dedup.remove_repeats(docs).collect():
+        for f in r.factors:
+            assert f.source < r.doc_id and f.end - f.start >= 13
+            assert words[r.doc_id][f.start : f.end] == words[f.source][f.at : f.at + f.end - f.start]
+            n += f.end - f.start > 13
+        assert {k for s in r.spans for k in range(s.start, s.end)} == {k for f in r.factors for k in range(f.start, f.end)}
+    assert n > 0
 
 
 def brute_lines(rows, width=3):
@@ -70,11 +86,62 @@ def test_lines_edges(nulls, empty):
     assert line_dedup.remove_repeated_lines(nulls).filter("n_removed = 0").count() == 5
 
 
+def brute_by_row(rows, width, units, joined, within):
+    """Texts of the rows that are left, in any order: a unit goes if a window over it stands in a row of a smaller id, or earlier in its row."""
+    order = lambda i: (i is None, i or 0)
+    first = {}
+    for i, t in rows:
+        u = units(t)
+        for k in range(len(u) - width + 1):
+            key = tuple(u[k : k + width])
+            first[key] = min(first.get(key, order(i)), order(i))
+    out = []
+    for i, t in rows:
+        u, gone, seen = units(t), set(), set()
+        for k in range(len(u) - width + 1):
+            key = tuple(u[k : k + width])
+            if first[key] < order(i) or (within and key in seen):
+                gone.update(range(k, k + width))
+            seen.add(key)
+        out.append((i, joined.join(x for k, x in enumerate(u) if k not in gone)))
+    return sorted(out, key=str)
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows of one id whose shared lines and words stand at different places, repeated rows, and a document before them."""
+    a, b, c = (f"alpha line {x}\nbeta line {x}\ngamma line {x}\ndelta line {x}" for x in "abc")
+    rows = [(None, a), (None, "in front\n" + a), (5, b), (5, "one more\n" + b), (5, b), (None, b), (9, c + "\n" + c), (None, "x\n" + c), (None, "x\n" + c), (7, c), (7, "y\n" + c + "\n" + c)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        got = sorted([(r.doc_id, r.text) for r in line_dedup.remove_repeated_lines(df).collect()], key=str)
+        assert got == brute_by_row(rows, 3, lambda t: t.split("\n"), "\n", True)
+        got = sorted([(r.doc_id, r.text) for r in substring_dedup.remove_repeats(df, 4).collect()], key=str)
+        assert got == brute_by_row(rows, 4, WORD.findall, " ", False)
+
+
+def test_windows_remembered_between_passes(docs, rows, monkeypatch):
+    """With passes of one document each, and an index partition a few documents large, nothing changes."""
+    parts = windows.repeats
+    for n in (1 << 18, 5):
+        monkeypatch.setattr(windows, "REMEMBERED", n)
+        monkeypatch.setattr(windows, "repeats", lambda *a, **k: parts(*a, **k | {"bytes_each": 2000, "sent_bytes": 1}))
+        got = substring_dedup.remove_repeats(docs).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == brute_substring(rows)
+        assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.remove_repeated_lines(docs).collect()} == brute_lines(rows)
+
+
+def test_a_full_filter_loses_nothing(docs, rows, monkeypatch):
+    monkeypatch.setattr(windows, "FILTER_BITS", 64)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.remove_repeats(docs).collect()} == brute_substring(rows)
+
+
 def test_packed_hits():
     at = np.array([3, 4, 900, 2, 70000], np.uint32)
     row, owner, key = np.array([0, 0, 0, 1, 1]), np.array([5, windows.LAST]), np.array([1, 2])
-    x = windows._packed(0, np.arange(5, dtype=np.uint64), row, at, owner, key, False)
-    hashes, r, a, o, k = windows._unpacked([x, x])
+    source = (np.arange(5), np.arange(5, dtype=np.uint32), at)
+    x = windows._packed(0, np.arange(5, dtype=np.uint64), row, at, owner, key, False, source)
+    hashes, r, a, s, o, k = windows._unpacked([x, x])
+    assert [v.tolist() for v in s] == [v.tolist() * 2 for v in source]
     assert a.tolist() == at.tolist() * 2 and o.tolist() == owner.tolist() * 2 and r.tolist() == [0, 0, 0, 1, 1, 2, 2, 2, 3, 3] and hashes.tolist() == [0, 1, 2, 3, 4] * 2 and k.tolist() == [1, 2, 1, 2]
 
 
