@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HOT = 1000
+
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Uses the folder that ``spark.checkpoint.dir`` names; sets one only where there is none (single-machine tests)."""
+    """Uses the folder that ``spark.checkpoint.dir`` names. Where there is none, a local session gets one of its own; a cluster must name one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -31,3 +38,15 @@ def connected(edges: DataFrame) -> DataFrame:
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
+
+
+def of_class(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of their class; ``classes`` has one row a ``key``, with ``copies``, its number of rows.
+
+    Classes of over a ``HOT``-th of all rows, of which there are fewer than ``HOT``, are broadcast, so that no class's rows meet in one task.
+    """
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    large = F.col("copies") * HOT > total
+    hot = F.broadcast(classes.filter(large).drop("copies"))
+    others = rows.join(hot.select(key), key, "left_anti").join(classes.filter(~large).drop("copies"), key)
+    return rows.join(hot, key).unionByName(others)

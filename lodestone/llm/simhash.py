@@ -178,12 +178,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
     components.ensure_checkpoint_dir(docs)
     marked = fingerprints(docs, width).checkpoint()
-    classes = marked.groupBy("bits").agg(F.min("doc_id").alias("least")).checkpoint()
+    classes = marked.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).checkpoint()
     roots = components.connected(links(classes))
-    placed = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    placed = classes.join(roots, classes["bits"] == roots["node"], "left").select("bits", "least", "copies", F.coalesce("root", "bits").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = placed.join(least, "root").select("bits", "component_id")
-    return marked.join(by_class, "bits").select("doc_id", "bits", "component_id")
+    by_class = placed.join(least, "root").select("bits", "copies", "component_id")
+    return components.of_class(marked, by_class, "bits").select("doc_id", "bits", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
