@@ -1,10 +1,11 @@
 """Mixing sources to target weights (list item 8).
 
 Each source's words, document after document, are cut into blocks of ``BLOCK`` words. The mix is a row of slots, dealt to output
-shards: a shard draws how many of its slots each source fills (a multinomial draw over the fractions that whole shares leave,
-seeded by the shard's number), and a source's slots, numbered over all shards, are mapped to its blocks by a pseudorandom permutation
-for each pass over them. A block is so taken once more only when all of its source's are, and three times at most. Slots and blocks
-meet by a join on source and block number. Only counts by source (one row each) come to the driver.
+shards. How many slots a source has in the whole mix follows from its target; how many of them lie in each shard is drawn: a multinomial
+draw over the shards, made as binomial splits down a tree of shards, each seeded by its place, so that any part of the tree can be made
+by any task. A source's slots, numbered over all shards, are mapped to its blocks by a pseudorandom permutation for each pass over them. A block is so
+taken once more only when all of its source's are, and three times at most. Slots and blocks meet by a join on source and
+block number. The plan is a table with a row a source; only sums over it come to the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ from lodestone.llm import arrays, components
 
 BLOCK = 64
 SHARD_SLOTS = 1 << 14
+#: Shards whose slots of one source are made by one task at a time.
+RANGE = 16
 SEED = 7
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -31,28 +33,11 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Plan:
-    """By source, in order of code points, null last: name, words, target words, blocks; and of the mix, its slots and odds."""
+    """``sources``: ``name, source, number, copies`` (documents), ``words, target, blocks, slots``; and sums of rows and slots."""
 
-    names: list[str | None]
-    words: np.ndarray
-    targets: np.ndarray
-    blocks: np.ndarray
+    sources: DataFrame
+    rows: int
     slots: int
-    odds: np.ndarray
-
-
-def targets(words: np.ndarray, weights: np.ndarray, most: int = MOST) -> np.ndarray:
-    """Shares of all words by weight; none above ``most`` times its source's words, what is over going to the others by weight."""
-    out, free, left = np.zeros(len(words)), np.ones(len(words), bool), float(words.sum())
-    while free.any():
-        out[free] = left * weights[free] / weights[free].sum()
-        over = free & (out > most * words)
-        if not over.any():
-            break
-        out[over] = most * words[over]
-        left -= out[over].sum()
-        free &= ~over
-    return out
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -60,57 +45,48 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint"))
 
 
-def planned(sizes: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS) -> Plan:
-    """The plan for ``source, size`` rows; ``weights`` repeat over the sources in order."""
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("words")).collect()
-    rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
-    words = np.array([r["words"] for r in rows], np.int64)
-    weight = np.array([weights[i % len(weights)] for i in range(len(rows))], float)
-    target = targets(words, weight)
-    blocks = -(-words // block)
-    # A source's last block may be short: the slots that its target needs are by its blocks' mean length.
-    need = target * blocks / np.maximum(words, 1)
-    slots = int(round(need.sum()))
-    return Plan([r["source"] for r in rows], words, target, blocks, slots, need / need.sum() if slots else need)
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``name``, a key of the source that is never null and sorts as sources do, null last."""
+    return docs.withColumn("name", F.when(F.col("source").isNull(), "t").otherwise(F.concat(F.lit("s"), "source")))
 
 
-def draws(spark, plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """``shard, number, count, start``: how many slots of each shard a source fills, and the first one's number in the source."""
-    shards = max(1, -(-plan.slots // shard_slots))
-    odds, total = plan.odds, plan.slots
-
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for shard in part["id"]:
-                n = min(shard_slots, total - shard * shard_slots)
-                whole = np.floor(n * odds + 1e-9).astype(np.int64)
-                rest = np.maximum(n * odds - whole, 0)
-                left = n - whole.sum()
-                if left > 0 and rest.sum() > 0:
-                    whole = whole + np.random.default_rng([seed, int(shard)]).multinomial(left, rest / rest.sum())
-                some = np.flatnonzero(whole)
-                yield pd.DataFrame({"shard": np.int64(shard), "number": some.astype(np.int32), "count": whole[some]})
-
-    drawn = spark.range(shards if total else 0).mapInPandas(draw, "shard bigint, number int, count bigint")
-    before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("bigint"))
-    # Draws may exceed what a capped source can give; a last shard makes up for such slots from sources with room.
-    got = np.zeros(len(odds), np.int64)
-    for r in drawn.groupBy("number").agg(F.sum("count").alias("n")).collect():
-        got[r["number"]] = r["n"]
-    room = MOST * plan.blocks - got
-    over = int(np.maximum(-room, 0).sum())
-    more = []
-    for i in np.argsort(-np.maximum(room, 0) * odds, kind="stable"):
-        take = int(min(max(room[i], 0), over))
-        if take:
-            more.append((shards, int(i), take, int(got[i])))
-            over -= take
-    blocks = F.element_at(F.array(*(F.lit(int(b)) for b in plan.blocks)), F.col("number") + 1)
-    left = F.least(F.col("count"), F.greatest(MOST * blocks - F.col("start"), F.lit(0)))
-    drawn = drawn.withColumn("count", left).filter("count > 0")
-    shard, number, count, start = zip(*more) if more else ((), (), (), ())
-    return drawn.unionByName(arrays.small_table(spark, shard=pa.array(shard, pa.int64()), number=pa.array(number, pa.int32()), count=pa.array(count, pa.int64()), start=pa.array(start, pa.int64())))
+def _numbered(own: DataFrame) -> DataFrame:
+    """``own`` with ``number``, from 0 in order of ``name``: a range sort, then each partition's rows after those before it."""
+    placed = own.repartitionByRange("name").sortWithinPartitions("name").withColumn("place", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    # As many rows as the sort has partitions.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(heads), "part").withColumn("number", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "place", "before")
+
+
+def level(sources: DataFrame, most: int = MOST) -> float:
+    """Words for each unit of ``weight`` such that all ``words`` are shared out though no source has above ``most`` times its own.
+
+    Each pass shares what sources at their most leave among the others, until no more reach it: one aggregate over the sources a pass.
+    """
+    out, before = 0.0, None
+    while True:
+        over = F.col("words") * most < F.col("weight") * out
+        n, total, held, free = sources.agg(F.count(F.when(over, 1)), F.sum("words"), F.sum(F.when(over, F.col("words") * most)), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == before or not free:
+            return out
+        before, out = n, (total - (held or 0)) / free
+
+
+def planned(sizes: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS) -> Plan:
+    """The plan for ``name, source, size`` rows; ``weights`` repeat over the sources in order of code points, null last."""
+    own = sizes.groupBy("name").agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    sources = _numbered(own).withColumn("weight", weight).checkpoint()
+    target = F.least(F.col("words") * float(MOST), F.col("weight") * level(sources))
+    # A source's last block may be short: the slots that its target needs are by its blocks' mean length.
+    need = F.col("target") * F.col("blocks") / F.greatest("words", F.lit(1))
+    # A part of a slot is one by its odds, or many small sources' would all be lost or all be won.
+    chance = F.pmod(F.xxhash64("number"), F.lit(1 << 20)) / F.lit(1 << 20)
+    sources = sources.withColumns({"target": target, "blocks": F.ceil(F.col("words") / block)}).withColumn("slots", F.floor(need + chance)).drop("weight")
+    rows, slots = sources.agg(F.sum("copies"), F.sum("slots")).first()
+    return Plan(sources, rows or 0, slots or 0)
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -128,37 +104,66 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return x.astype(np.int64)
 
 
-def slots(spark, plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """``shard, number, block``: every slot of the mix, with the source and the block that fill it."""
-    sizes = plan.blocks
+def _ranges(shards: int, seed: int):
+    """Of each source the ranges of shards with slots: how many, and the number in the source of the first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["number", "blocks", "first", "shards", "count", "start"]
+        for batch in batches:
+            for number, blocks, n in zip(*(batch.column(c).to_pylist() for c in ("number", "blocks", "slots"))):
+                out, todo = [], [(0, shards, n, 0)]
+                while todo:
+                    low, high, count, start = todo.pop()
+                    if high - low <= RANGE:
+                        out.append((number, blocks, low, high - low, count, start))
+                    else:
+                        middle = (low + high + 1) // 2
+                        left = int(np.random.default_rng([seed, number, low, high]).binomial(count, (middle - low) / (high - low)))
+                        todo += [(a, b, c, s) for a, b, c, s in ((low, middle, left, start), (middle, high, count - left, start + left)) if c]
+                    if len(out) >= 10_000 or (out and not todo):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
+                        out = []
+
+    return run
 
-    @F.pandas_udf("bigint")
-    def block(number: pd.Series, nth: pd.Series) -> pd.Series:
-        number, nth = number.to_numpy(np.int64), nth.to_numpy(np.int64)
-        size = sizes[number]
-        return pd.Series(permuted(nth % size, size, (number * MOST + nth // size) + np.int64(seed) * 1_000_003))
 
-    each = draws(spark, plan, shard_slots, seed).withColumn("nth", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)))
-    # Slots grow with the corpus, but the planner can't tell what a draw explodes to: joins with them need a hint not to broadcast them.
-    return each.select("shard", "number", block("number", "nth").alias("block"))
+def _slots(seed: int, rows: int = 1 << 16):
+    """The slots of each range: its multinomial draw over its shards, and the blocks that fill them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blocks, first, shards, count, start in zip(*(c.to_pylist() for c in batch.columns)):
+                drawn = np.random.default_rng([seed, number, first]).multinomial(count, np.full(shards, 1 / shards))
+                shard = np.repeat(np.arange(first, first + shards), drawn)
+                for a in range(0, count, rows):
+                    nth = start + np.arange(a, min(a + rows, count), dtype=np.int64)
+                    size, own = np.full(len(nth), blocks, np.int64), np.full(len(nth), number, np.int64)
+                    block = permuted(nth % size, size, own * MOST + nth // size + np.int64(seed) * 1_000_003)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + rows]), pa.array(own), pa.array(block)], ["shard", "number", "block"])
 
-def _numbered(spark, plan: Plan, **columns: pa.Array) -> DataFrame:
-    """A row for each source: its ``number`` and these columns."""
-    return arrays.small_table(spark, number=pa.array(range(len(plan.names)), pa.int32()), **columns)
+    return run
 
 
-def located(docs: DataFrame, plan: Plan, rows_each: int = 10_000) -> DataFrame:
-    """``docs`` (with ``doc_id, source, size``) with ``number`` and ``at``: the source's number and the words of it before each row.
+def slots(plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """``shard, number, block``: every slot of the mix, with the source and the block that fill it.
+
+    Slots grow with the corpus, but the planner can't tell what a draw makes of a row: joins with them need a hint not to broadcast them.
+    """
+    shards = max(1, -(-plan.slots // shard_slots))
+    each = plan.sources.filter("slots > 0").select("number", "blocks", "slots").repartition("number")
+    ranges = each.mapInArrow(_ranges(shards, seed), "number bigint, blocks bigint, first bigint, shards bigint, count bigint, start bigint")
+    return ranges.repartition("number", "first").mapInArrow(_slots(seed), "shard bigint, number bigint, block bigint")
+
+
+def located(docs: DataFrame, plan: Plan, rows_each: int = 2_000) -> DataFrame:
+    """``docs`` (with ``doc_id, name, size``) with ``number, source_size, target`` of the source, and ``at``, its words before each row.
 
     Order within a source is by bucket of the id's hash, then ``doc_id``; a window sums each bucket, so a large source is many
     small windows.
     """
-    spark = docs.sparkSession
-    numbers = _numbered(spark, plan, name=pa.array(plan.names, pa.string()))
-    docs = docs.join(F.broadcast(numbers), docs["source"].eqNullSafe(numbers["name"])).drop("name")
-    buckets = max(1, int(docs.count() // rows_each))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    docs = components.of_class(docs, plan.sources.select("name", "copies", "number", F.col("words").alias("source_size"), "target"), "name").drop("name")
+    buckets = max(1, plan.rows // rows_each)
+    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
     own = docs.groupBy("number", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     own = own.select("number", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -180,10 +185,16 @@ def _slim(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, block: int, weights: tuple[int, ...], *more: Column) -> tuple[DataFrame, Plan]:
-    rows = sized(_slim(docs, *more)).withColumn("tie", F.xxhash64("text"))
+    components.ensure_checkpoint_dir(docs)
+    rows = _named(sized(_slim(docs, *more)).withColumn("tie", F.xxhash64("text")))
     return rows, planned(rows, block, weights)
 
 
+def _times(plan: Plan, seed: int) -> DataFrame:
+    """``number, block, times`` of the blocks that slots take."""
+    return slots(plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).cast("int").alias("times")).hint("merge")
+
+
 def taken(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken`` (words the mix takes, repeats counted).
 
@@ -193,25 +204,23 @@ def taken(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHT
     """
     # Texts are read once, for their sizes.
     components.ensure_checkpoint_dir(docs)
-    rows = sized(_slim(docs)).withColumn("tie", F.xxhash64("text")).drop("text").checkpoint()
+    rows = _named(sized(_slim(docs)).withColumn("tie", F.xxhash64("text")).drop("text")).checkpoint()
     plan = planned(rows, block, weights)
-    placed = located(rows, plan)
-    times = slots(docs.sparkSession, plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
-    found = pieces(placed, block).join(times, ["number", "block"], "left").groupBy("number", "at", "doc_id", "size").agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("n")).alias("taken"))
-    sources = _numbered(docs.sparkSession, plan, source_size=pa.array(plan.words, pa.int64()), target=pa.array(plan.targets, pa.float64()))
-    none = placed.filter("size = 0").select("number", "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
-    every = found.select("number", "doc_id", "size", F.col("taken").cast("bigint").alias("taken")).unionByName(none)
-    return every.join(F.broadcast(sources), "number").select("doc_id", "size", "source_size", "target", "taken")
+    placed = located(rows, plan).checkpoint()
+    keys = ["number", "at", "doc_id", "size", "source_size", "target"]
+    found = pieces(placed, block).join(_times(plan, seed), ["number", "block"], "left").groupBy(keys).agg(F.sum(F.coalesce("times", F.lit(0)) * F.col("n")).alias("taken"))
+    none = placed.filter("size = 0").select(*keys, F.lit(0).cast("bigint").alias("taken"))
+    return found.unionByName(none).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """The mix itself, one row per slot: ``shard, source, block, text`` (the block's words, joined by a space)."""
     rows, plan = _prepared(docs, block, weights)
     each = pieces(located(rows, plan), block).select("number", "block", "at", "first", "n", "text")
-    cut = _cut_words(each, "number int, block bigint, at bigint")
+    cut = _cut_words(each, "number bigint, block bigint, at bigint")
     texts = cut.groupBy("number", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"))
-    names = _numbered(docs.sparkSession, plan, source=pa.array(plan.names, pa.string()))
-    return slots(docs.sparkSession, plan, seed=seed).hint("merge").join(texts, ["number", "block"]).join(F.broadcast(names), "number").select("shard", "source", "block", "text")
+    filled = slots(plan, seed=seed).hint("merge").join(texts, ["number", "block"])
+    return components.of_class(filled, plan.sources.select("number", "source", F.col("slots").alias("copies")), "number").select("shard", "source", "block", "text")
 
 
 def _cut_words(each: DataFrame, keys: str) -> DataFrame:
@@ -240,9 +249,9 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
     carried = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.lit(0).alias("pad")).alias("carried")
     rows, plan = _prepared(docs, block, weights, carried)
-    placed = located(rows, plan)
-    times = slots(docs.sparkSession, plan, seed=seed).groupBy("number", "block").agg(F.count(F.lit(1)).cast("int").alias("times")).hint("merge")
-    spans = pieces(placed.drop("text", "carried", "tie"), block).join(times, ["number", "block"])
+    placed = located(rows, plan).drop("source_size", "target")
+    # Where words stand does not depend on the texts themselves, so that these are counted again rather than kept.
+    spans = pieces(placed.select("number", "at", "size"), block).join(_times(plan, seed), ["number", "block"])
     spans = spans.groupBy("number", "at").agg(F.collect_list(F.struct(F.col("first").cast("bigint").alias("first"), F.col("n").cast("bigint").alias("n"), "times")).alias("spans"))
     found = placed.join(spans, ["number", "at"]).filter("size > 0").select("doc_id", "source", "text", "carried", "spans")
     arrays.session_limits(docs)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import math
+import random
 import re
 import struct
 import zlib
@@ -174,11 +175,57 @@ def test_packing_edges(nulls, empty):
     assert packing.pack(nulls, PATH).count() >= 5
 
 
-def test_targets():
-    assert mixing.targets(np.array([100, 10, 10]), np.array([1.0, 2.0, 3.0])).tolist() == [60, 30, 30]
-    assert mixing.targets(np.array([0, 0]), np.array([1.0, 2.0])).tolist() == [0, 0]
-    t = mixing.targets(np.array([100, 200, 300]), np.array([1.0, 2.0, 3.0]))
-    assert np.allclose(t, [100, 200, 300])
+def brute_targets(words, weights, most=3):
+    """Shares of all words by weight; what is over ``most`` times a source's words goes to the others, again and again."""
+    out, free, left = np.zeros(len(words)), np.ones(len(words), bool), float(words.sum())
+    while free.any():
+        out[free] = left * weights[free] / weights[free].sum()
+        over = free & (out > most * words)
+        if not over.any():
+            break
+        out[over] = most * words[over]
+        left -= out[over].sum()
+        free &= ~over
+    return out
+
+
+def plan_of(spark, words, **more):
+    table = [(f"s{i:05}", f"{i:05}", w) for i, w in enumerate(words)]
+    return mixing.planned(spark.createDataFrame(table, "name string, source string, size bigint"), **more)
+
+
+def test_targets(spark):
+    draw = random.Random(2)
+    for words in ([100, 10, 10], [0, 0], [100, 200, 300], [draw.choice([0, 1, 5, 100, 10_000]) for _ in range(200)]):
+        rows = plan_of(spark, words).sources.orderBy("number").collect()
+        assert [r.number for r in rows] == list(range(len(words))) and [r.words for r in rows] == words
+        expected = brute_targets(np.array(words), np.array([[1.0, 2.0, 3.0][i % 3] for i in range(len(words))]))
+        assert np.allclose([r.target for r in rows], expected, atol=1e-9)
+
+
+def test_draws_by_shard_are_multinomial(spark):
+    """Every source keeps its number of slots; over shards, counts have the mean and the spread of throws, and do not follow each other."""
+    plan = plan_of(spark, [40_000, 20_000, 10_000], block=1)
+    totals = {r.number: r.slots for r in plan.sources.collect()}
+    counts = np.zeros((3, 700))
+    for r in mixing.slots(plan, shard_slots=100).groupBy("number", "shard").count().collect():
+        counts[r.number, r.shard] = r["count"]
+    assert counts.sum(axis=1).tolist() == [totals[i] for i in range(3)]
+    for row in counts:
+        mean = row.mean()
+        assert abs(row.var() / (mean * (1 - 1 / 700)) - 1) < 0.2  # five standard errors
+    assert np.abs(np.corrcoef(counts) - np.eye(3)).max() < 0.2
+    odds = counts.sum(axis=1) / counts.sum()
+    sizes = counts.sum(axis=0)
+    chi = ((counts - sizes * odds[:, None]) ** 2 / (sizes * odds[:, None])).sum()
+    assert abs(chi / (2 * 699) - 1) < 0.2  # given a shard's size, its sources are a multinomial draw
+
+
+def test_many_sources(spark):
+    """A source a document, and far more than what is broadcast, next to one of a third of all rows."""
+    table = [(i, "one two three", f"host{i}.example") for i in range(3000)] + [(5000 + i, "a b c", "large.example") for i in range(1500)]
+    got = mixing.taken(spark.createDataFrame(table, "doc_id bigint, text string, source string"), block=2).collect()
+    assert len(got) == 4500 and all(r.taken <= 9 for r in got) and abs(sum(r.taken for r in got) - 13_500) < 300
 
 
 def test_permutations():
@@ -195,7 +242,7 @@ def test_mixing(docs, rows):
     source = {i: None if i % 7 == 6 else f"src{i % 5}" for i in size}
     names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
     words = np.array([sum(size[i] for i in size if source[i] == s) for s in names])
-    targets = dict(zip(names, mixing.targets(words, np.array([[1, 2, 3][k % 3] for k in range(len(names))], float))))
+    targets = dict(zip(names, brute_targets(words, np.array([[1, 2, 3][k % 3] for k in range(len(names))], float))))
     taken = Counter()
     for i, r in got.items():
         assert r["size"] == size[i] and r.source_size == words[names.index(source[i])] and math.isclose(r.target, targets[source[i]])
