@@ -1,9 +1,13 @@
 """HTML main-text extraction by minimum-cut labelling (list item 7).
 
-A page is cut to blocks of text at block-level tags. A linear classifier over text and markup (weights below, set by hand) gives
-each block log odds of being content: these are the capacities from the source (content) or to the sink (boilerplate). Smoothness edges
+A page is cut to blocks of text at block-level tags. A logistic classifier over text and markup gives each block log odds of being
+content: these are the capacities from the source (content) or to the sink (boilerplate). Smoothness edges
 tie each block to the next one, more strongly the closer they stand in the element tree, and to the next one of the same parent.
 The minimum cut, found by maximum flow, labels all blocks of the page together.
+
+The classifier's weights are learned from pages that mark their article by its element: blocks inside are content, blocks outside are not. The
+element itself is held out from learning; where a page has one, it adds ``MARKED``. A prior around weights set by hand keeps features that
+the sample lacks, and is all there is for a corpus without such pages.
 """
 
 from __future__ import annotations
@@ -11,9 +15,10 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +44,17 @@ _BAD_WORD = frozenset(
     "nav navbar navigation menu sidebar footer header masthead ad ads advert adverts advertisement banner promo promotion sponsor sponsored comment comments disqus respond cookie cookies consent notice alert popup modal overlay share sharing social breadcrumb breadcrumbs related recommended widget login signup subscribe newsletter form search toolbar pagination pager complementary contentinfo".split()
 )
 _GOOD_WORD = frozenset("article content main post entry story body text".split())
-#: Log odds of the classifier.
-START, PER_WORD, MOST_WORDS, LINKS, SENTENCE, TITLE, HEADING, ITEM, INSIDE, OUTSIDE = -1.0, 0.06, 40, -3.0, 0.8, 1.5, 0.6, -0.3, 2.5, -6.0
-#: Smoothness: between neighbours with the same parent, less with each step apart in the tree, and along one parent.
-NEAR, PARENT = 0.8, 0.4
+#: The classifier's features with the weights that learning starts from.
+PRIOR = {"start": -1.0, "words": 2.4, "links": -3.0, "sentence": 0.8, "title": 1.5, "heading": 0.6, "item": -0.3, "kin": 1.0, "good name": 1.5, "bad name": -4.0}
+#: Words of a block, and of all blocks of one parent, from which more make no difference.
+_WORDS, _KIN = 40, 150
+#: Log odds that the article's own element adds.
+MARKED = 2.0
+#: Pages that mark their article, and blocks of theirs, that weights are learned from at most; and the prior's weight against the mean loss.
+TRAIN_PAGES, TRAIN_BLOCKS, PULL = 2_000, 20_000, 0.002
+#: Smoothness: between neighbours of one parent, and along one parent; and its share with each step that neighbours are further apart in the
+#: tree, and across the border of an element whose name tells boilerplate.
+NEAR, PARENT, FAR, BORDER = 0.3, 0.3, 0.25, 0.25
 _UNIT = 1000
 
 
@@ -52,13 +64,14 @@ class _Open:
     number: int
     bad: bool
     good: bool
+    marked: bool = False
     outer: _Open | None = None
     depth: int = 1
 
 
 @dataclass
 class Block:
-    """``inner``: the innermost open element."""
+    """``inner``: the innermost open element; ``bad``, ``good``: what names around the block tell; ``marked``: whether it is in an article's element."""
 
     text: str
     linked: int
@@ -66,6 +79,7 @@ class Block:
     inner: _Open
     bad: bool
     good: bool
+    marked: bool
 
 
 def _hints(attributes: str) -> set[str]:
@@ -127,7 +141,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
                 top = stack[-1]
-                out.append(Block(text, linked, top.tag, top, top.bad, top.good))
+                out.append(Block(text, linked, top.tag, top, top.bad, top.good, top.marked))
             run.clear()
         linked = 0
 
@@ -171,24 +185,53 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()
                 number += 1
                 outer, said = stack[-1], _hints(m[3]) if m[3] else set()
-                bad = tag in _BAD_TAG or (tag == "header" and not outer.good)
-                if said & _BAD_WORD and not said & _GOOD_WORD and tag not in ("html", "body", "article", "main") and not (outer.good and said <= {"header", "entry", "post", "article"}):
+                within = outer.good or outer.marked
+                bad = tag in _BAD_TAG or (tag == "header" and not within)
+                if said & _BAD_WORD and not said & _GOOD_WORD and tag not in ("html", "body", "article", "main") and not (within and said <= {"header", "entry", "post", "article"}):
                     bad = True
-                good = tag in _GOOD_TAG or bool(said & _GOOD_WORD and not said & _BAD_WORD and tag not in ("html", "body"))
-                stack.append(_Open(tag, number, outer.bad or bad, outer.good or good, outer, outer.depth + 1))
+                good = bool(said & _GOOD_WORD and not said & _BAD_WORD and tag not in ("html", "body"))
+                stack.append(_Open(tag, number, outer.bad or bad, outer.good or good, outer.marked or tag in _GOOD_TAG, outer, outer.depth + 1))
     close()
     return out
 
 
-def score(block: Block) -> float:
-    """The classifier's log odds that a block is content."""
-    n = len(block.text)
-    words = block.text.count(" ") + 1
-    s = START + PER_WORD * min(words, MOST_WORDS) + LINKS * min(1.0, block.linked / n)
-    if block.text[-1] in ".!?…:;\"”»)" or block.text.endswith("。"):
-        s += SENTENCE
-    s += TITLE if block.tag == "h1" else HEADING if block.tag in ("h2", "h3", "h4", "h5", "h6") else ITEM if block.tag == "li" else 0
-    return s + (OUTSIDE if block.bad else INSIDE if block.good else 0)
+def _parent(block: Block) -> int:
+    return block.inner.outer.number if block.inner.outer else 0
+
+
+def features(found: list[Block]) -> list[list[float]]:
+    """Of each block of a page, in the order of ``PRIOR``."""
+    words = [b.text.count(" ") + 1 for b in found]
+    kin: dict[int, int] = {}
+    for b, n in zip(found, words):
+        kin[_parent(b)] = kin.get(_parent(b), 0) + n * (not b.linked)
+    out = []
+    for b, n in zip(found, words):
+        sentence = b.text[-1] in ".!?…:;\"”»)。"
+        heading = b.tag in ("h2", "h3", "h4", "h5", "h6")
+        mass = min(kin[_parent(b)], _KIN) / _KIN
+        out.append([1.0, min(n, _WORDS) / _WORDS, min(1.0, b.linked / len(b.text)), sentence, b.tag == "h1", heading, b.tag == "li", mass, b.good and not b.bad, b.bad])
+    return out
+
+
+def scores(found: list[Block], weights: Sequence[float] = tuple(PRIOR.values())) -> list[float]:
+    """The classifier's log odds that each block of a page is content."""
+    return [sum(w * x for w, x in zip(weights, row)) + MARKED * b.marked for b, row in zip(found, features(found))]
+
+
+def fitted(x: np.ndarray, y: np.ndarray, pull: float = PULL) -> list[float]:
+    """Weights of the logistic regression of ``y`` on the columns of ``x``, drawn to ``PRIOR``, by Newton's method."""
+    prior = np.array(list(PRIOR.values()))
+    w = prior.copy()
+    for _ in range(50 if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) / len(y) + pull * (w - prior)
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(y) + pull * np.eye(len(w))
+        move = np.linalg.solve(curve, slope)
+        w = w - move * min(1.0, 2 / max(np.abs(move).max(), 1e-9))
+        if np.abs(move).max() < 1e-8:
+            break
+    return w.tolist()
 
 
 def _apart(a: Block, b: Block) -> int:
@@ -203,19 +246,23 @@ def _apart(a: Block, b: Block) -> int:
     return steps
 
 
-def labels(found: list[Block]) -> list[bool]:
+def _tie(strength: float, a: Block, b: Block) -> float:
+    return strength if a.bad == b.bad else strength * BORDER
+
+
+def labels(found: list[Block], weights: Sequence[float] = tuple(PRIOR.values())) -> list[bool]:
     """Which blocks are content: the source's side of the minimum cut."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            edges[i - 1, i] = NEAR / (1 + _apart(found[i - 1], b) / 2)
-        parent = b.inner.outer.number if b.inner.outer else 0
+            edges[i - 1, i] = _tie(NEAR * FAR ** max(0, _apart(found[i - 1], b) - 2), found[i - 1], b)
+        parent = _parent(b)
         if parent in last:
             key = (last[parent], i)
-            edges[key] = edges.get(key, 0) + PARENT
+            edges[key] = edges.get(key, 0) + _tie(PARENT, found[last[parent]], b)
         last[parent] = i
-    return minimum_cut([round(score(b) * _UNIT) for b in found], {k: round(w * _UNIT) for k, w in edges.items()})
+    return minimum_cut([round(x * _UNIT) for x in scores(found, weights)], {k: round(w * _UNIT) for k, w in edges.items()})
 
 
 def minimum_cut(gain: list[int], edges: dict[tuple[int, int], int]) -> list[bool]:
@@ -277,25 +324,51 @@ def _again(first: int, rest: Iterator[int]) -> Iterator[int]:
     yield from rest
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: Sequence[float] = tuple(PRIOR.values())) -> str:
     """The page's content blocks, joined by an empty line."""
     found = blocks(page or "")
-    return "\n\n".join(b.text for b, keep in zip(found, labels(found)) if keep)
+    return "\n\n".join(b.text for b, keep in zip(found, labels(found, weights)) if keep)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of pages' blocks and whether they are content. Of an article's blocks those with a name of boilerplate are left out: they may be either."""
+    names = ["page", "place", "content", "x"]
     for batch, _, _ in arrays.passes(batches, "html"):
-        texts = [main_text(page) for page in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        rows = []
+        for key, page in zip(*(batch.column(c).to_pylist() for c in ("page", "html"))):
+            found = blocks(page)
+            rows += [(key, i, b.marked, [float(v) for v in x]) for i, (b, x) in enumerate(zip(found, features(found))) if not (b.marked and b.bad)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64())))], names)
+
+
+def train(pages: DataFrame, most_pages: int = TRAIN_PAGES, most_blocks: int = TRAIN_BLOCKS) -> list[float]:
+    """The classifier's weights, from at most ``most_pages`` pages that mark their article (those of least hash) and ``most_blocks`` of their blocks."""
+    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64("html").alias("page"), "html")
+    some = marked.select("page").distinct().orderBy("page").limit(most_pages)
+    sample = marked.join(F.broadcast(some), "page", "left_semi").mapInArrow(_labelled, "page bigint, place bigint, content boolean, x array<double>").dropDuplicates(["page", "place"])
+    rows = sample.orderBy(F.xxhash64("page", "place"), "page", "place").limit(most_blocks).toArrow()
+    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(PRIOR))
+    return fitted(x, rows.column("content").to_numpy().astype(float))
+
+
+def _extract(weights: Sequence[float]):
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in arrays.passes(batches, "html"):
+            texts = [main_text(page, weights) for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return extract
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:
     """One row per input row: ``page_id, url, text`` (empty if nothing is content, for null html too) and ``n_chars``.
 
-    The whole page is read; broken markup (unclosed elements, stray brackets, cut references) is taken as browsers would, as far
-    as text goes. Null ids and urls stay null, repeated rows are extracted each, other columns are ignored, and an empty table
-    gives an empty result. Equal pages have equal texts, also where scores tie (a tie is boilerplate).
+    ``weights`` default to what ``train`` learns from the pages themselves. The whole page is read; broken markup (unclosed elements, stray
+    brackets, cut references) is taken as browsers would, as far as text goes. Null ids and urls stay null, repeated rows are extracted
+    each, other columns are ignored, and an empty table gives an empty result. Equal pages have equal texts, also where scores tie (a tie
+    is boilerplate).
     """
     arrays.session_limits(pages)
     slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return slim.mapInArrow(_extract, "page_id bigint, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    found = slim.mapInArrow(_extract(train(slim) if weights is None else weights), "page_id bigint, url string, text string")
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
