@@ -2,8 +2,9 @@
 
 Paragraphs are the text between newlines (the newline belongs to the one it ends); a section is a run of paragraphs that ends
 with one whose digest is divisible by ``SECTION`` (or with the text), so that an edit moves no section boundary beyond its own. Below a paragraph,
-leaves are runs of words that end where a word's hash is divisible by ``LEAF``: they tell how much of a changed paragraph is
-still the same. All bytes of the text, white space too, lie in exactly one leaf.
+leaves are runs of words that end with a sentence or with a word whose hash is less than those of the ``REACH`` words on either side: they tell how much of a changed paragraph is
+still the same. Words of over ``LONG_WORD`` bytes (scripts without spaces) are cut within, where the bytes before a character have a hash
+divisible by ``INNER``. All bytes of the text, white space too, lie in exactly one leaf.
 
 A fingerprint is ``root/section;section;...``, a section ``digest:paragraph,paragraph,...``, a paragraph its digest and its
 leaves (8 hex digits of digest, 4 of length in bytes each). Equal texts have equal fingerprints. Where two roots differ,
@@ -12,6 +13,7 @@ sections with equal digests are skipped, then paragraphs, so a comparison descen
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,8 +29,11 @@ from lodestone.llm import arrays
 from lodestone.llm.windows import LAST
 
 SECTION = 4
-LEAF = 16
+REACH = 2
+LONG_WORD, INNER, LEAST_INNER = 48, 16, 24
 LONGEST_LEAF = 0xFFFF
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".!?")] = True
 
 
 @dataclass(frozen=True)
@@ -53,16 +58,40 @@ def _digest(data: bytes, size: int = 4) -> str:
     return hashlib.blake2b(data, digest_size=size).hexdigest()
 
 
+def _least(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which words have a lesser hash than those before and none greater than those after, ``REACH`` either way, in their row."""
+    out = np.ones(len(hashes), bool)
+    for k in range(1, REACH + 1):
+        apart = row[k:] != row[:-k]
+        out[k:] &= (hashes[k:] < hashes[:-k]) | apart
+        out[:-k] &= (hashes[:-k] <= hashes[k:]) | apart
+    return out
+
+
+def _inner_cuts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where long words are cut: before a character whose eight bytes ahead say so, ``LEAST_INNER`` bytes from the last cut at least."""
+    long = end - start > LONG_WORD
+    out = []
+    for a, b in zip(start[long].tolist(), end[long].tolist()):
+        for c in range(a + 8, b, arrays.PASS_BYTES):
+            d = min(c + arrays.PASS_BYTES, b)
+            ahead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data[c - 8 : d - 1], 8)).view(np.uint64).reshape(-1)
+            for p in (c + np.flatnonzero((arrays.mixed(ahead) % np.uint64(INNER) == 0) & ((data[c:d] & 0xC0) != 0x80))).tolist():
+                if p - (out[-1] if out and out[-1] > a else a) >= LEAST_INNER:
+                    out.append(p)
+    return np.array(out, np.int64)
+
+
 def trees(texts: list[bytes]) -> list[Tree]:
     """A tree for each UTF-8 text."""
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     start, end, first = arrays.words(data, offsets)
-    closes = arrays.span_hashes(data, start, end) % np.uint64(LEAF) == 0
+    closes = _least(arrays.span_hashes(data, start, end), np.repeat(np.arange(len(texts)), np.diff(first))) | _STOPS[data[end - 1]]
     closes[first[1:][np.diff(first) > 0] - 1] = False
     newline = np.flatnonzero(data == 0x0A) + 1
-    # A leaf starts at a row's start, after a newline, after a closing word, and after LONGEST_LEAF bytes without any.
-    cuts = np.unique(np.concatenate((offsets[:-1][np.diff(offsets) > 0], newline[newline < len(data)], end[closes][end[closes] < len(data)])))
+    # A leaf starts at a row's start, after a newline, after a closing word, within long words, and after LONGEST_LEAF bytes without any.
+    cuts = np.unique(np.concatenate((offsets[:-1][np.diff(offsets) > 0], newline[newline < len(data)], end[closes][end[closes] < len(data)], _inner_cuts(data, start, end))))
     sizes = np.diff(np.append(cuts, len(data)))
     if len(sizes) and sizes.max() > LONGEST_LEAF:
         cuts = np.concatenate([np.arange(a, a + n, LONGEST_LEAF) for a, n in zip(cuts, sizes)])
@@ -173,6 +202,19 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
 
 
+def _bounds(docs: DataFrame, rows: int, parts: int, each: int = 32) -> tuple[tuple[int, int] | None, list[tuple[int, int]]]:
+    """The first document's key, and keys of documents at which ranges of about equal numbers start.
+
+    Like the ranges of a sort, they come from a sample: about ``each`` keys a partition, picked by their hash.
+    """
+    key = F.struct("rank", "tie")
+    first = docs.agg(F.min(key).alias("k")).select("k.*").first()
+    some = docs.filter(F.pmod(F.xxhash64("rank", "tie"), F.lit(max(1, rows // (each * parts)))) == 0).select("rank", "tie").distinct().toArrow()
+    keys = sorted(zip(some.column("rank").to_pylist(), some.column("tie").to_pylist()))
+    first = tuple(first) if first and first[0] is not None else None
+    return first, sorted({k for k in keys[:: max(1, -(-len(keys) // parts))] if k != first})
+
+
 def compare_with_next(docs: DataFrame, bytes_each: int = 12 << 20) -> DataFrame:
     """Fingerprints each document and its edited text (its last half replaced from the next document) and compares them.
 
@@ -181,36 +223,27 @@ def compare_with_next(docs: DataFrame, bytes_each: int = 12 << 20) -> DataFrame:
     single one by itself. Null text is empty; an empty text is edited to an empty one. Columns besides ``doc_id`` and
     ``text`` are ignored. An empty table gives an empty result.
 
-    Documents are dealt to ranges of ``doc_id`` in one shuffle; the first document of each range also goes to the range before, so each
-    range can be walked in order alone.
+    Documents are dealt to ranges of (``doc_id``, hash) in one shuffle; the first document of each range also goes to the range before, so each
+    range can be walked in order alone. As ranges start at keys of documents, it is known by its key. The driver holds a key a range.
     """
     arrays.session_limits(docs)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumns({"rank": F.coalesce("doc_id", F.lit(int(LAST))), "tie": F.xxhash64("text")})
-    parts = arrays.shuffle_parts(docs, F.col("text"), bytes_each)
-    bounds = docs.agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts)).alias("b")).first()["b"]
-    bounds = np.unique(np.array(bounds or [], np.int64))
-    to_bucket = _bucket_of(bounds)
-    docs = docs.withColumn("bucket", to_bucket("rank"))
-    firsts = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.min(F.struct("rank", "tie")).alias("f")).select("bucket", "f.rank", "f.tie").collect())
-    before = {(rank, tie): firsts[i - 1][0] for i, (_, rank, tie) in enumerate(firsts)}
-    places = F.concat(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest"))), F.transform(_guest_of(before)("rank", "tie"), lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("guest"))))
-    dealt = docs.withColumn("place", F.explode(places)).select("doc_id", "text", "rank", "tie", "place.bucket", "place.guest")
-    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "rank", "tie")
+    docs = docs.withColumns({"rank": F.coalesce("doc_id", F.lit(int(LAST))), "tie": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    rows, total = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((total or 0) // bytes_each) + 1)
+    dealt = docs.withColumn("place", F.explode(_places(*_bounds(docs, rows, parts))("rank", "tie")))
+    dealt = dealt.select("doc_id", "text", "rank", "tie", F.shiftright("place", 1).alias("bucket"), (F.col("place") % 2 == 1).alias("guest"))
+    ordered = dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "guest", "rank", "tie")
     return ordered.select("bucket", "guest", "doc_id", "text").mapInArrow(_with_next, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _bucket_of(bounds: np.ndarray):
-    @F.pandas_udf("int")
-    def bucket(rank: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, rank.to_numpy(), side="right").astype(np.int32))
-
-    return bucket
-
+def _places(first: tuple[int, int] | None, bounds: list[tuple[int, int]]):
+    """Of each key its range, doubled, and, one more than double, that in which its document is the guest."""
+    guests = {k: i for i, k in enumerate(bounds)} | {first: len(bounds)}
 
-def _guest_of(before: dict[tuple[int, int], int]):
     @F.pandas_udf("array<int>")
-    def guest(rank: pd.Series, tie: pd.Series) -> pd.Series:
-        return pd.Series([[before[k]] if k in before else [] for k in zip(rank.tolist(), tie.tolist())])
+    def places(rank: pd.Series, tie: pd.Series) -> pd.Series:
+        keys = list(zip(rank.tolist(), tie.tolist()))
+        return pd.Series([[2 * bisect.bisect_right(bounds, k), 2 * guests[k] + 1] if k in guests else [2 * bisect.bisect_right(bounds, k)] for k in keys])
 
-    return guest
+    return places

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from lodestone.llm import arrays, components, line_dedup, merkle, simhash, substring_dedup, windows
 from pyspark.sql import functions as F
@@ -233,6 +234,23 @@ def test_merkle_edges(nulls, empty, spark):
     assert merkle.parse(str(long)) == long
 
 
+def test_merkle_ranges_of_one_id(spark):
+    """Many rows without an id, and many of one id, are split into ranges like others."""
+    rows = [(None, f"none {i}") for i in range(60)] + [(3, f"three {i}") for i in range(60)] + [(i, f"own {i}") for i in range(10, 20)] + [(3, None)] * 3
+    got = merkle.compare_with_next(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), bytes_each=40).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 60
+    after = [hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip([f"own {i}" for i in range(10, 19)], [f"own {i}" for i in range(11, 20)])]
+    assert [r.edited_sha256 for r in sorted((r for r in got if 10 <= (r.doc_id or 0) < 19), key=lambda r: r.doc_id)] == after
+
+
+@pytest.mark.parametrize("text", ["one two three four five six seven eight nine ten. " * 3, "no stops here but many plain words that differ from each other all along the line", "日本語の文章には空白がないので長い一語になりますがそれでも半分が同じなら似ているはずです。" * 3, "".join(chr(97 + i * i % 23) for i in range(800))])
+def test_merkle_sees_half_of_a_short_text(text):
+    text = text.strip()
+    half = text[: len(text) // 2] + "".join(chr(0x500 + i % 90) + " " * (i % 6 == 5) for i in range(len(text) - len(text) // 2))
+    a, b = merkle.trees([text.encode(), half.encode()])
+    assert 0.1 < merkle.likeness(a, b) < 0.8
+
+
 def test_hashes_do_not_depend_on_place():
     data = np.frombuffer(b"abc def abc  abcd", np.uint8)
     start, end, _ = arrays.words(data, np.array([0, len(data)]))
