@@ -9,6 +9,7 @@ from lodestone.functions.text import or_else, strip
 
 CONTEXT_LIMIT = 6000
 LEAST_CONFIDENCE = 0.1
+QUESTION_LENGTH = 2000
 
 
 def header() -> Column:
@@ -64,6 +65,16 @@ def prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question)
 
 
+def general_prompt(question: Column) -> Column:
+    """The prompt where no passage answers."""
+    return F.concat(F.lit("No passage of the collection answers this. Answer from general knowledge, and say that you do.\n\nQuestion: "), question)
+
+
+def valid_questions(queries: DataFrame, longest: int = QUESTION_LENGTH) -> DataFrame:
+    """``queries`` (``query_id, text``) whose text has 1 to ``longest`` characters besides white space around it."""
+    return queries.filter(F.length(strip(F.col("text"))).between(1, longest))
+
+
 def cards(ranked: DataFrame) -> DataFrame:
     """Passages as the offline answer shows them: ten fields, under their query and rank."""
     text = or_else(F.col("parent_content"), F.col("content"))

@@ -1,4 +1,7 @@
-"""Exact cosine top-k of a query set against all vectors, in blocks."""
+"""Exact cosine top-k of a query set against all vectors, in blocks.
+
+A query set of bounded size goes to every task, and points stream past it where they are read. A larger one meets the points in a join of blocks.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import ranking
+
 QUERY_BLOCK, POINT_BLOCK = 1024, 4096
+#: Queries that every task may hold (their vectors, in double precision, are some 3 MB a thousand at 384 dimensions).
+MOST_QUERIES = 4096
+#: Scores made at a time.
+SCORES = 1 << 22
 
 
 def _blocks(df: DataFrame, key: str, vector: str, name: str, each: int) -> tuple[DataFrame, int]:
@@ -20,39 +29,54 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str, each: int) -> tuple
     return rows, n
 
 
-def _matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    values = rows.values
-    ids = values.field("id").to_numpy(zero_copy_only=False)
-    flat = values.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+def _unit(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and vectors scaled to length 1 as rows; one without length stays."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
     size = np.linalg.norm(flat, axis=1, keepdims=True)
-    return ids, np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
+    return ids.to_numpy(zero_copy_only=False), np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
 
 
-def _best(k: int):
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(k: int):
+    """The best of pairs of blocks."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                query, q = _matrix(batch.column("q_rows")[i])
-                point, p = _matrix(batch.column("p_rows")[i])
-                score = q @ p.T
-                # Ties at the cut are broken by id, as in the final ranking.
-                order = np.lexsort((np.broadcast_to(point, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(query)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(query[rows]), pa.array(point[order.ravel()]), pa.array(score[rows, order.ravel()])], ["query", "point", "score"])
+                (query, q), (point, p) = (_unit(rows.field("id"), rows.field("v")) for rows in (batch.column(c)[i].values for c in ("q_rows", "p_rows")))
+                yield ranking.Best(query, k).candidates(point, q @ p.T)
+
+    return met
+
+
+def _passed(query: np.ndarray, q: np.ndarray, k: int):
+    """The best of the points that pass by."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, each = ranking.Best(query, k), max(1, SCORES // len(query))
+        for batch in batches:
+            point, p = _unit(batch.column("id"), batch.column("v"))
+            for a in range(0, len(point), each):
+                yield best.candidates(point[a : a + each], q @ p[a : a + each].T)
 
-    return best
+    return passed
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str | None = None) -> DataFrame:
+def top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str | None = None, most_queries: int = MOST_QUERIES) -> DataFrame:
     """``query_id, vec_id, score, rank``: each query's ``k`` points of highest cosine, ties by id.
 
-    Filter ``points`` beforehand for a filtered search. Blocks of queries meet blocks of points in one matrix product each, which
-    returns ``k`` candidates a query; rows without a vector are no candidates.
+    Filter ``points`` beforehand for a filtered search. Up to ``most_queries`` queries are sent to all tasks, which return the candidates of
+    their points; more are dealt to blocks that meet blocks of points in one matrix product each. Rows without a vector are no candidates.
     """
-    asked, n = _blocks(queries, query_key or key, vector, "q", QUERY_BLOCK)
-    held, _ = _blocks(points, key, vector, "p", POINT_BLOCK)
-    pairs = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, "q").select("q_rows", "p_rows")
-    found = pairs.mapInArrow(_best(k), "query bigint, point bigint, score double")
-    order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "point")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), F.col("point").alias(key), F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    plain = lambda df, id_: df.filter(F.col(vector).isNotNull()).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    asked = plain(queries, query_key or key).limit(most_queries + 1).toArrow().combine_chunks()
+    if asked.num_rows <= most_queries:
+        if not asked.num_rows:
+            return ranking.ranked(points.sparkSession.createDataFrame([], ranking.CANDIDATES), k, "query_id", key)
+        query, q = _unit(*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (asked.column("id"), asked.column("v"))))
+        found = plain(points, key).mapInArrow(_passed(query, q, k), ranking.CANDIDATES)
+    else:
+        blocks, n = _blocks(queries, query_key or key, vector, "q", QUERY_BLOCK)
+        held, _ = _blocks(points, key, vector, "p", POINT_BLOCK)
+        pairs = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "q").select("q_rows", "p_rows")
+        found = pairs.mapInArrow(_met(k), ranking.CANDIDATES)
+    return ranking.ranked(found, k, "query_id", key)

@@ -1,13 +1,77 @@
-"""BM25 over a table of texts: derived statistics and top passages for a table of queries."""
+"""BM25 over a table of texts: an index, derived statistics and top passages for a table of queries.
+
+The index holds each document's tokens with their counts, made where the document is read, and the vocabulary. It is stored once; a search
+reads nothing else. The terms of a query set of bounded size go to every task and documents stream past them; those of a larger one meet the
+postings in a join, in which a token that very many documents hold is split.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.operators import ranking
+from lodestone.operators.stages import stored
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Query terms that every task may hold.
+MOST_TERMS = 200_000
+#: Scores made at a time, and postings of a token in one part of the join.
+SCORES, HOT = 1 << 22, 100_000
+
+
+@dataclass(frozen=True)
+class Index:
+    """``terms``: ``doc, dl, terms`` (token, tf); ``vocabulary``: ``token, df, idf``; the number of documents and their mean length."""
+
+    terms: DataFrame
+    vocabulary: DataFrame
+    n_docs: int
+    avgdl: float
+
+    def save(self, path: str) -> None:
+        """Writes the index to ``path``, which must not exist; readers of an older one go on with theirs."""
+        self.terms.write.parquet(f"{path}/terms")
+        self.vocabulary.write.parquet(f"{path}/vocabulary")
+        self.terms.sparkSession.createDataFrame([(self.n_docs, self.avgdl)], "n_docs bigint, avgdl double").coalesce(1).write.parquet(f"{path}/size")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/vocabulary"), *spark.read.parquet(f"{path}/size").first())
+
+
+def counted(docs: DataFrame, key: str, content: str) -> DataFrame:
+    """``doc, dl, terms``: each document's tokens with their counts, by sorting them within the row."""
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.array_sort(text.tokenize(F.col(content))).alias("s")).withColumn("dl", F.size("s"))
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.withColumn("a", starts)
+    ends = F.concat(F.slice("a", 2, F.greatest(F.size("a"), F.lit(1))), F.array("dl"))
+    terms = F.when(F.col("dl") > 0, F.zip_with("a", ends, lambda a, b: F.struct(F.get("s", a).alias("token"), (b - a).alias("tf")))).otherwise(F.array().cast("array<struct<token:string,tf:int>>"))
+    return rows.select("doc", "dl", terms.alias("terms"))
+
+
+def build(docs: DataFrame, key: str = "doc_id", content: str = "text") -> Index:
+    """Tokenises ``docs`` once."""
+    terms = stored(counted(docs, key, content))
+    n, total = terms.agg(F.count(F.lit(1)), F.sum("dl")).first()
+    df = terms.select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return Index(terms, stored(_with_idf(df, n)), n, (total or 0) / n if n else 0.0)
+
+
+def _with_idf(df: DataFrame, n: int) -> DataFrame:
+    """``token, df, idf``: a negative idf is replaced by a share of the mean idf of all tokens."""
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg((FLOOR * F.avg("raw")).alias("floor"))
+    # One row, so the broadcast does not grow.
+    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
 def postings(docs: DataFrame, key: str, content: str) -> DataFrame:
@@ -22,14 +86,9 @@ def corpus_stats(docs: DataFrame, content: str) -> DataFrame:
 
 
 def term_stats(docs: DataFrame, content: str) -> DataFrame:
-    """``token, df, idf``: a negative idf is replaced by a share of the mean idf of all tokens."""
+    """``token, df, idf`` of a table of texts."""
     each = docs.select(F.explode(F.array_distinct(text.tokenize(F.col(content)))).alias("token"))
-    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    # One row, so the broadcast does not grow.
-    raw = counted.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg((FLOOR * F.avg("raw")).alias("floor"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return _with_idf(stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))), docs.count())
 
 
 def query_terms(queries: DataFrame, key: str, content: str) -> DataFrame:
@@ -39,18 +98,63 @@ def query_terms(queries: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", content: str = "text") -> DataFrame:
-    """``query_key, doc_key, score, rank``: for each query the ``k`` best documents of positive score, ties by document.
-
-    Only documents that share a token with a query are scored: the query tokens cut the postings before anything is grouped.
-    """
-    asked = query_terms(queries, query_key, content)
-    tokens = docs.select(F.col(doc_key), text.tokenize(F.col(content)).alias("tokens"))
-    held = tokens.select(doc_key, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    held = held.join(asked.select("token").distinct(), "token", "left_semi").groupBy(doc_key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    idf = term_stats(docs, content).join(asked.select("token").distinct(), "token", "left_semi")
-    weighed = held.join(idf, "token").crossJoin(F.broadcast(corpus_stats(docs, content)))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.select(doc_key, "token", part.alias("part")).join(asked, "token").groupBy(query_key, doc_key).agg(F.sum(F.col("times") * F.col("part")).alias("score"))
-    order = Window.partitionBy(query_key).orderBy(F.round("score", 9).desc(), F.col(doc_key))
-    ranked = scored.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(query_key, doc_key, F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    """``query_key, doc_key, score, rank``: for each query the ``k`` best documents of positive score, ties by document."""
+    return search(build(docs, doc_key, content), queries, k, doc_key, query_key, content)
+
+
+def search(index: Index, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", content: str = "text", most_terms: int = MOST_TERMS) -> DataFrame:
+    """``query_key, doc_key, score, rank`` from an index. Only documents that share a token with a query are scored."""
+    asked = query_terms(queries, query_key, content).join(index.vocabulary, "token")
+    asked = asked.select(F.col(query_key).cast("bigint").alias("query"), "token", "df", (F.col("times") * F.col("idf")).alias("weight"))
+    held = asked.limit(most_terms + 1).toArrow()
+    if held.num_rows <= most_terms:
+        found = index.terms.mapInArrow(_passed(held, index.avgdl, k), ranking.CANDIDATES)
+    else:
+        found = _joined(index, asked)
+    return ranking.ranked(found.filter("score > 0"), k, query_key, doc_key)
+
+
+def _saturated(tf, dl, avgdl: float):
+    """How much a token counts in a document, as numbers or as columns."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _passed(asked: pa.Table, avgdl: float, k: int):
+    """Scores of the documents that pass by."""
+    tokens = pc.unique(asked.column("token"))
+    token = pc.index_in(asked.column("token"), value_set=tokens).to_numpy()
+    queries, query = np.unique(asked.column("query").to_numpy(), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    query, weight = query[order], asked.column("weight").to_numpy()[order]
+    first = np.searchsorted(token[order], np.arange(len(tokens) + 1))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, each = ranking.Best(queries, k, 0.0), max(1, SCORES // max(1, len(queries)))
+        for batch in batches:
+            for a in range(0, batch.num_rows if len(queries) else 0, each):
+                part = batch.slice(a, each)
+                lists, dl = part.column("terms"), part.column("dl").to_numpy()
+                flat = lists.flatten()
+                doc = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                at = pc.fill_null(pc.index_in(flat.field("token"), value_set=tokens), -1).to_numpy()
+                some = np.flatnonzero(at >= 0)
+                at, doc, tf = at[some], doc[some], flat.field("tf").to_numpy()[some]
+                value = _saturated(tf, dl[doc], avgdl)
+                n = first[at + 1] - first[at]
+                entry = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                cell = query[entry] * part.num_rows + np.repeat(doc, n)
+                scores = np.bincount(cell, np.repeat(value, n) * weight[entry], minlength=len(queries) * part.num_rows).astype(float).reshape(len(queries), part.num_rows)
+                yield best.candidates(part.column("doc").to_numpy(), scores)
+
+    return passed
+
+
+def _joined(index: Index, asked: DataFrame) -> DataFrame:
+    """Scores by a join of postings with query terms. Both sides of a token of many documents are dealt to parts by document."""
+    parts = lambda: F.ceil(F.col("df") / HOT)
+    terms = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts() - 1)))
+    hot = F.broadcast(asked.filter(F.col("df") > HOT).select("token", "df").distinct())  # at most tokens of the whole corpus over HOT
+    each = index.terms.select("doc", "dl", F.explode("terms").alias("t")).select("doc", "dl", "t.token", "t.tf").join(hot, "token", "left")
+    each = each.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), parts()), F.lit(0)))
+    value = _saturated(F.col("tf"), F.col("dl"), index.avgdl)
+    return each.select("doc", "token", "part", value.alias("value")).join(terms.drop("df"), ["token", "part"]).groupBy("query", F.col("doc").alias("point")).agg(F.sum(F.col("value") * F.col("weight")).alias("score"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.models import overlap
+from lodestone.functions.models import generate, overlap
 from lodestone.operators import context, dense, fusion, lexical
+from lodestone.operators.stages import stored
 
 
 @dataclass(frozen=True)
@@ -16,27 +18,37 @@ class Settings:
     """Sizes and thresholds of the plan."""
 
     top_k: int = 20
-    fetch: int = 60
     rerank_k: int = 5
     rrf_k: int = 60
     weights: tuple[float, float] = (1.0, 1.0)
     like: float = 0.70
     least_score: float = 0.0
 
+    @property
+    def fetch(self) -> int:
+        """Candidates of each leg."""
+        return max(3 * self.top_k, 20)
 
-def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), pin: Column | None = None, pin_scope: str = "both") -> DataFrame:
-    """Ranked chunks for a batch of queries.
+
+def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), pin: Column | None = None, pin_scope: str = "both", index: lexical.Index | None = None) -> DataFrame:
+    """Ranked chunks for a batch of queries; chunks of equal content are one, that of the smallest id.
 
     ``chunks``: ``id bigint, content, vector`` and metadata; ``queries``: ``query_id bigint, text, vector``. ``pin`` filters the
-    chunks of both legs, or, with ``pin_scope="dense"``, of the dense leg only.
+    chunks of both legs, or, with ``pin_scope="dense"``, of the dense leg only. Both tables are stored first, as vectors may have to be made;
+    a stored ``index`` of the chunks spares making one. It can't serve a pin of both legs.
     """
+    chunks, queries = stored(chunks), stored(queries)
     seen = chunks if pin is None else chunks.filter(pin)
-    leg = dense.top_k(seen.select("id", "vector"), queries.select("query_id", "vector"), settings.fetch, "id", "vector", "query_id")
-    texts = (chunks if pin_scope == "dense" else seen).select("id", F.col("content").alias("text"))
-    words = lexical.bm25(texts, queries.select("query_id", "text"), settings.fetch, "id", "query_id")
-    fused = fusion.above(fusion.rrf(leg, words, "id", settings.rrf_k, settings.weights), "rrf_score", settings.least_score)
-    held = fused.join(chunks.select("id", "vector"), "id")
-    thinned = fusion.diverse(held, "id", "vector", settings.top_k, settings.like)
+    near = dense.top_k(seen, queries, settings.fetch, "id", "vector", "query_id")
+    if index is None or not (pin is None or pin_scope == "dense"):
+        index = lexical.build(chunks if pin_scope == "dense" else seen, "id", "content")
+    words = lexical.search(index, queries, settings.fetch, "id", "query_id")
+    # What the legs found meets its content; a content that a leg found more than once counts by its best rank.
+    content = chunks.join(near.select("id").unionByName(words.select("id")).distinct(), "id", "left_semi").select("id", F.xxhash64(F.coalesce("content", F.lit(""))).alias("said"), "vector")
+    content = stored(content.withColumn("one", F.min("id").over(Window.partitionBy("said"))))
+    legs = [fusion.renumbered(fusion.best_of(leg.join(content.select("id", "one"), "id").select("query_id", F.col("one").alias("id"), "rank"), "id")) for leg in (near, words)]
+    fused = stored(fusion.above(fusion.rrf(*legs, "id", settings.rrf_k, settings.weights), "rrf_score", settings.least_score))
+    thinned = fusion.diverse(fused.join(content.select("id", "vector"), "id"), "id", "vector", settings.top_k, settings.like)
     scored = thinned.join(fused.select("query_id", "id", F.col("rrf_score").alias("score")), ["query_id", "id"])
     return scored.join(chunks.drop("vector", "score"), "id")
 
@@ -50,10 +62,23 @@ def answer_passages(chunks: DataFrame, queries: DataFrame, settings: Settings =
     return fusion.rerank(again, overlap(F.col("question"), F.col("content")), settings.rerank_k)
 
 
-def prompts(passages: DataFrame, queries: DataFrame, limit: int = context.CONTEXT_LIMIT) -> DataFrame:
-    """``query_id, mode, prompt`` of every query, also of those without a passage."""
+def prompts(passages: DataFrame, queries: DataFrame, limit: int = context.CONTEXT_LIMIT, general: Callable[[Column], Column] = lambda question: question) -> DataFrame:
+    """``query_id, mode, prompt`` of every query, also of those without a passage; ``general`` makes theirs of the question."""
     packed = context.packed(context.within_limit(context.blocks(passages), limit))
     best = context.best_score(passages.withColumn("score", F.col("rerank_score")), queries)
     each = queries.select("query_id", "text").join(packed, "query_id", "left").join(best, "query_id", "left")
     mode = context.mode(F.col("context"), F.col("best"))
-    return each.select("query_id", mode.alias("mode"), F.when(mode == "grounded", context.prompt(F.col("text"), F.col("context"))).otherwise(F.col("text")).alias("prompt"))
+    return each.select("query_id", mode.alias("mode"), F.when(mode == "grounded", context.prompt(F.col("text"), F.col("context"))).otherwise(general(F.col("text"))).alias("prompt"))
+
+
+def ask(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), generator: str = "echo_stand_in") -> DataFrame:
+    """``query_id, mode, prompt, answer, citations`` (numbered, as text) of every query, by a registered generator.
+
+    Questions that are blank or longer than ``context.QUESTION_LENGTH`` are left out, as the service refuses them.
+    """
+    asked = stored(context.valid_questions(queries))
+    passages = stored(answer_passages(chunks, asked, settings))
+    cited = context.citations(passages).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "citation"))).alias("c"))
+    said = prompts(passages, asked, general=context.general_prompt).withColumn("answer", generate(F.col("prompt"), generator)).join(cited, "query_id", "left")
+    none = F.array().cast("array<string>")
+    return said.select("query_id", "mode", "prompt", "answer", F.when(F.col("mode") == "grounded", F.coalesce(F.col("c.citation"), none)).otherwise(none).alias("citations"))
