@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import keys
 from lodestone.functions.splitting import split_column
 from lodestone.functions.text import has_bullet, strip
+from lodestone.operators.stages import stored
 
 ATOMIC = ("table", "image")
 #: How much larger than body text a heading's font is, for any heading and for levels 1 and 2.
@@ -41,30 +44,51 @@ def heading_level(ratio: Column) -> Column:
     return F.when(ratio >= LEVEL_RATIOS[0], 1).when(ratio >= LEVEL_RATIOS[1], 2).otherwise(3)
 
 
+def _ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` in ranges of (source, order), each numbered in ``_part``, so that a large source is many ranges and no task's alone."""
+    return stored(rows.repartitionByRange("source", *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _carried(ranged: DataFrame, columns: dict[str, Column], over: Callable[[str], Column]) -> DataFrame:
+    """``ranged`` with each of ``columns`` (aggregates of a range) taken over the source's ranges before a row's own, by ``over``."""
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tails = ranged.groupBy("source", "_part").agg(*(c.alias(n) for n, c in columns.items()))
+    tails = tails.select(F.col("source").alias("_source"), F.col("_part").alias("_of"), *(over(n).over(before).alias(n) for n in columns))
+    return ranged.join(tails, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_of")), "left").drop("_source", "_of")
+
+
 def breadcrumbs(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` (``source, level, content``) with ``heading`` and ``section_path``, the headings that hold at each row.
 
-    A heading holds until one of its level or a higher one follows; pages do not end it.
+    A heading holds until one of its level or a higher one follows; pages do not end it. Each range of a source is walked alone; what holds
+    at its start comes from a row for each range before it.
     """
-    so_far = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
-    last = {k: F.max(F.when(F.col("level") == k, F.struct("_at", F.col("content").alias("said")))).over(so_far) for k in (1, 2, 3)}
-    rows = rows.withColumns({f"_h{k}": c for k, c in last.items()})
-    place = lambda k: F.coalesce(F.col(f"_h{k}._at"), F.lit(0))
-    holds = {1: F.col("_h1").isNotNull(), 2: place(2) > place(1), 3: (place(3) > place(1)) & (place(3) > place(2))}
+    so_far = Window.partitionBy("source", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = {f"_h{k}": F.max(F.when(F.col("level") == k, F.struct(F.struct(*order).alias("at"), F.col("content").alias("said")))) for k in (1, 2, 3)}
+    rows = _carried(_ranged(rows, *order), last, F.max)
+    rows = rows.withColumns({n: F.coalesce(c.over(so_far), F.col(n)) for n, c in last.items()})
+    later = lambda k, j: F.col(f"_h{j}").isNull() | (F.col(f"_h{k}.at") > F.col(f"_h{j}.at"))
+    holds = {k: F.col(f"_h{k}").isNotNull() & reduce(and_, (later(k, j) for j in range(1, k)), F.lit(True)) for k in (1, 2, 3)}
     parts = F.array(*(F.when(holds[k], F.col(f"_h{k}.said")) for k in (1, 2, 3)))
     shown = F.filter(parts, lambda x: x.isNotNull())
     heading = F.coalesce(F.try_element_at(shown, F.lit(-1)), F.lit(""))
-    return rows.withColumns({"section_path": F.array_join(shown, " > "), "heading": heading}).drop("_at", "_h1", "_h2", "_h3")
+    return rows.withColumns({"section_path": F.array_join(shown, " > "), "heading": heading}).drop("_part", *last)
 
 
 def sections(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``section``, numbered from 0: a heading, another path or another page begins one."""
-    over = Window.partitionBy("source").orderBy(*order)
-    changed = lambda c: ~F.col(c).eqNullSafe(F.lag(c).over(over))
-    first = F.row_number().over(over) == 1
-    begins = (F.col("type") == "heading") | changed("section_path") | changed("page")
-    return rows.withColumn("_begins", F.when(first, 0).otherwise(begins.cast("int"))).withColumn("section", F.sum("_begins").over(over.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_begins")
+    """``rows`` with ``section``, numbered from 0: a heading, another path or another page begins one.
+
+    Each range of a source is walked alone: its first row is compared with the last one of the range before, and its sections follow those.
+    """
+    over = Window.partitionBy("source", "_part").orderBy(*order)
+    ranged = _carried(_ranged(rows, *order), {"_last": F.max(F.struct(F.struct(*order).alias("at"), "section_path", "page"))}, F.max)
+    before = lambda c: F.when(F.row_number().over(over) == 1, F.col(f"_last.{c}")).otherwise(F.lag(c).over(over))
+    first = (F.row_number().over(over) == 1) & F.col("_last").isNull()
+    begins = (F.col("type") == "heading") | ~F.col("section_path").eqNullSafe(before("section_path")) | ~F.col("page").eqNullSafe(before("page"))
+    ranged = ranged.withColumn("_begins", F.when(first, 0).otherwise(begins.cast("int"))).drop("_last")
+    counted = _carried(ranged, {"_earlier": F.sum("_begins")}, F.sum)
+    section = F.coalesce("_earlier", F.lit(0)) + F.sum("_begins").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("section", section.cast("bigint")).drop("_begins", "_earlier", "_part")
 
 
 def _atomic(rows: DataFrame, strategy: str, *order: str) -> DataFrame:

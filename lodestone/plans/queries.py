@@ -60,10 +60,10 @@ def _tokens_sql(column: str) -> str:
     return rf"[x FOR x IN regexp_split_to_array(regexp_replace(lower({column}), '[^\p{{L}}\p{{N}}_\s.\-°/%]', ' ', 'g'), '\s+') IF length(x) >= 2 AND x NOT IN ({_STOP})]"
 
 
-_TERMS = f"""d AS (SELECT doc_id, {_tokens_sql('text')} AS tokens FROM documents),
-    t AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS token FROM d) GROUP BY ALL),
-    raw AS (SELECT token, count(*) AS df, ln((SELECT count(*) FROM d) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM t GROUP BY token),
-    idf AS (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+_TERMS = f"""d AS MATERIALIZED (SELECT doc_id, {_tokens_sql('text')} AS tokens FROM documents),
+    t AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS token FROM d) GROUP BY ALL),
+    raw AS MATERIALIZED (SELECT token, count(*) AS df, ln((SELECT count(*) FROM d) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM t GROUP BY token),
+    idf AS MATERIALIZED (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
 def _bm25_sql(k: int) -> str:
@@ -208,29 +208,36 @@ def kb_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two collections that overlap: the embeddings without each third, and those of even id."""
-    points = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return points.filter("id % 3 <> 0"), points.filter("id % 2 = 0")
+    """Two collections: all embeddings, and a client's copy, from which some rows are missing, some are of an older version and some have another id."""
+    points = _table(spark, sf_dir, "embeddings")
+    cloud = points.select(F.col("vec_id").alias("id"), "label", F.lit(1).alias("version"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    renamed = F.when(F.col("label") == 7, F.col("id") + 1_000_000_000).otherwise(F.col("id"))
+    local = cloud.filter("label <> 3").select(renamed.alias("id"), "label", F.when(F.col("label") == 5, 0).otherwise(F.col("version")).alias("version"), "first")
+    return cloud, local
+
+
+_REPLICAS = """cloud AS (SELECT vec_id AS id, label, 1 AS version, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings),
+    local AS (SELECT CASE WHEN label = 7 THEN id + 1000000000 ELSE id END AS id, label, CASE WHEN label = 5 THEN 0 ELSE version END AS version, first FROM cloud WHERE label <> 3)"""
 
 
-@_query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0")
+@_query(f"WITH {_REPLICAS} SELECT * FROM cloud c WHERE NOT EXISTS (SELECT 1 FROM local l WHERE l.id = c.id AND l.version = c.version)")
 def sync_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicate.to_pull(*_replicas(spark, sf_dir))
+    return replicate.to_pull(*_replicas(spark, sf_dir), version="version")
 
 
-@_query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 = 0")
+@_query(f"WITH {_REPLICAS} SELECT * FROM local l WHERE NOT EXISTS (SELECT 1 FROM cloud c WHERE l.id = c.id)")
 def sync_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate.stale(*_replicas(spark, sf_dir))
 
 
-@_query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 <> 0")
+@_query(f"WITH {_REPLICAS} SELECT * FROM cloud")
 def sync_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicate.synced(*_replicas(spark, sf_dir))
+    return replicate.synced(*_replicas(spark, sf_dir), version="version")
 
 
-@_query("SELECT count(*) AS pending FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0")
+@_query(f"WITH {_REPLICAS} SELECT count(*) AS pending FROM cloud c WHERE NOT EXISTS (SELECT 1 FROM local l WHERE l.id = c.id AND l.version = c.version)")
 def sync_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replicate.to_pull(*_replicas(spark, sf_dir)).agg(F.count(F.lit(1)).alias("pending"))
+    return replicate.to_pull(*_replicas(spark, sf_dir), version="version").agg(F.count(F.lit(1)).alias("pending"))
 
 
 @_query("SELECT doc_id, source, (SELECT count(*) FROM documents) AS total, 150 < (SELECT count(*) FROM documents) AS has_more FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
@@ -277,13 +284,19 @@ def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as blocks of their source: each fifth is a heading, of a level that its id tells."""
-    head = F.col("doc_id") % 5 == 0
-    docs = _table(spark, sf_dir, "documents")
-    return docs.select("source", F.col("doc_id").alias("ord"), F.floor(F.col("doc_id") / 50).cast("int").alias("page"), F.when(head, "heading").otherwise("text").alias("type"), F.when(head, (F.col("doc_id") % 3 + 1).cast("int")).alias("level"), F.when(head, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("content"))
-
-
-_BLOCK_SQL = """b AS (SELECT source, doc_id AS ord, doc_id // 50 AS page, doc_id % 5 = 0 AS head, CASE WHEN doc_id % 5 = 0 THEN doc_id % 3 + 1 END AS level, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 20) ELSE text END AS content FROM documents),
+    """Documents as blocks of their source: a first line that others follow and that is short enough is a heading, of a level that the id tells; all else is text."""
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.substring_index("text", "\n", 1).alias("line"))
+    head = F.coalesce((F.instr("text", "\n") > 0) & (F.length("line") < chunking.HEADING_LENGTH), F.lit(False))
+    own = F.struct((F.col("doc_id") * 2).alias("ord"), F.lit("heading").alias("type"), (F.col("doc_id") % 3 + 1).cast("int").alias("level"), F.col("line").alias("content"))
+    rest = F.when(head, F.expr("substring(text, length(line) + 2)")).otherwise(F.col("text"))
+    text_ = F.struct((F.col("doc_id") * 2 + 1).alias("ord"), F.lit("text").alias("type"), F.lit(None).cast("int").alias("level"), rest.alias("content"))
+    each = docs.select("source", F.floor(F.col("doc_id") / 50).cast("int").alias("page"), F.explode(F.when(head, F.array(own, text_)).otherwise(F.array(text_))).alias("b"))
+    return each.select("source", "b.ord", "page", "b.type", "b.level", "b.content")
+
+
+_BLOCK_SQL = """d AS (SELECT *, split_part(text, chr(10), 1) AS line, coalesce(strpos(text, chr(10)) > 0 AND length(split_part(text, chr(10), 1)) < 200, false) AS has_head FROM documents),
+    b AS (SELECT source, doc_id * 2 AS ord, doc_id // 50 AS page, true AS head, doc_id % 3 + 1 AS level, line AS content FROM d WHERE has_head
+        UNION ALL SELECT source, doc_id * 2 + 1, doc_id // 50, false, NULL, CASE WHEN has_head THEN substr(text, length(line) + 2) ELSE text END FROM d),
     l AS (SELECT *, max(CASE WHEN level = 1 THEN ord END) OVER o AS a1, max(CASE WHEN level = 2 THEN ord END) OVER o AS a2, max(CASE WHEN level = 3 THEN ord END) OVER o AS a3 FROM b WINDOW o AS (PARTITION BY source ORDER BY ord)),
     p AS (SELECT l.*, concat_ws(' > ', h1.content, h2.content, h3.content) AS section_path, coalesce(h3.content, h2.content, h1.content, '') AS heading
         FROM l LEFT JOIN b h1 ON h1.ord = l.a1 LEFT JOIN b h2 ON h2.ord = l.a2 AND l.a2 > coalesce(l.a1, -1) LEFT JOIN b h3 ON h3.ord = l.a3 AND l.a3 > coalesce(l.a1, -1) AND l.a3 > coalesce(l.a2, -1)),
@@ -301,7 +314,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sections(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord"), "ord").select("source", "ord", "section")
 
 
-@_query("SELECT CASE WHEN doc_id % 5 = 0 THEN 'heading' ELSE 'text' END AS type, count(*) AS n FROM documents GROUP BY 1")
+@_query(f"WITH {_BLOCK_SQL} SELECT CASE WHEN head THEN 'heading' ELSE 'text' END AS type, count(*) AS n FROM b GROUP BY 1")
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.type_counts(_blocks(spark, sf_dir))
 
@@ -363,14 +376,28 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir)[0].select("id", "vector")
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_dense_sql('vec_id % 20 = 0', 'true', 60)}, c AS MATERIALIZED (SELECT query_id, vec_id, rank, e FROM dense JOIN v USING (vec_id)),
+    near AS MATERIALIZED (SELECT a.query_id, a.rank, list(b.rank) AS likes FROM c a JOIN c b ON a.query_id = b.query_id AND b.rank < a.rank AND list_cosine_similarity(a.e, b.e) >= 0.7 GROUP BY ALL),
+    n AS MATERIALIZED (SELECT query_id, rank, vec_id, coalesce(likes, []) AS likes FROM c LEFT JOIN near USING (query_id, rank)),
+    walk AS (SELECT query_id, 0::BIGINT AS step, []::BIGINT[] AS taken FROM n GROUP BY query_id
+        UNION ALL SELECT w.query_id, n.rank, CASE WHEN len(taken) < 20 AND NOT list_has_any(taken, likes) THEN list_append(taken, n.rank) ELSE taken END
+        FROM walk w JOIN n ON n.query_id = w.query_id AND n.rank = w.step + 1),
+    final AS (SELECT query_id, taken FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step DESC) = 1)
+    SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT list_contains(taken, n.rank), n.rank) AS rank FROM n JOIN final USING (query_id)) WHERE rank <= 20"""
+)
 def diversity_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _table(spark, sf_dir, "embeddings")
     found = dense.top_k(points, points.filter("vec_id % 20 = 0"), 60)
     return fusion.diverse(found.join(points.select("vec_id", "embedding"), "vec_id"), "vec_id", "embedding", 20)
 
 
-@_query()
+@_query(
+    f"""WITH {_bm25_sql(20)}, o AS (SELECT item_id, list_distinct({_tokens_sql('text')}) AS asked FROM benchmark),
+    r AS (SELECT item_id AS query_id, doc_id, round(score, 4) AS retrieval_score, rank AS old,
+        CASE WHEN len(asked) > 0 THEN round(len(list_intersect(asked, tokens))::DOUBLE / len(asked), 4) ELSE 0 END AS rerank_score FROM bm25 JOIN o USING (item_id) JOIN d USING (doc_id))
+    SELECT * EXCLUDE (old) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, old) AS rank FROM r) WHERE rank <= 5"""
+)
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     found = lexical.bm25(docs, asked, 20).withColumnRenamed("item_id", "query_id").join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
