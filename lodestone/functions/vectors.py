@@ -29,3 +29,13 @@ def normalised(a: Column) -> Column:
 def highlight_box(bbox: Column, width: Column, height: Column) -> Column:
     """A box in points (top-left origin) as shares of the page."""
     return F.array(*(F.round(bbox[i] / (width if i % 2 == 0 else height), 4) for i in range(4)))
+
+
+def box_text(bbox: Column) -> Column:
+    """A box as JSON, as payloads keep it; null stays."""
+    return F.to_json(bbox)
+
+
+def box(text: Column) -> Column:
+    """A box from JSON; what is none is null."""
+    return F.from_json(text, "array<double>")

@@ -9,7 +9,7 @@ from lodestone.functions.text import or_else, strip
 
 CONTEXT_LIMIT = 6000
 LEAST_CONFIDENCE = 0.1
-QUESTION_LENGTH = 2000
+QUESTION_LENGTH, SESSION_LENGTH = 2000, 64
 
 
 def header() -> Column:
@@ -71,8 +71,12 @@ def general_prompt(question: Column) -> Column:
 
 
 def valid_questions(queries: DataFrame, longest: int = QUESTION_LENGTH) -> DataFrame:
-    """``queries`` (``query_id, text``) whose text has 1 to ``longest`` characters besides white space around it."""
-    return queries.filter(F.length(strip(F.col("text"))).between(1, longest))
+    """``queries`` (``query_id, text``) whose text has 1 to ``longest`` characters besides white space around it, and whose ``session_id``, where
+    there is one, at most ``SESSION_LENGTH``."""
+    fits = F.length(strip(F.col("text"))).between(1, longest)
+    if "session_id" in queries.columns:
+        fits &= F.coalesce(F.length("session_id"), F.lit(0)) <= SESSION_LENGTH
+    return queries.filter(fits)
 
 
 def cards(ranked: DataFrame) -> DataFrame:

@@ -58,19 +58,36 @@ def source_hashes(chunks: DataFrame) -> DataFrame:
     return each.repartition("source").sortWithinPartitions("source", "h").mapInArrow(_joined_md5, "source string, hash string")
 
 
-def fingerprint(points: DataFrame, key: str = "id") -> DataFrame:
+def fingerprint(points: DataFrame, key: str = "id", leaf: int = 1000) -> DataFrame:
     """One row ``etag``, whatever the order of rows: md5 of the sorted ids of each of 4096 buckets, then of those.
 
-    A single list of all ids would gather the table in one task; buckets do not.
+    A bucket of more than about ``leaf`` ids (as the number of all ids tells) is a tree itself, of 16 children a node, so that no task
+    ever gathers more than a leaf.
     """
-    bucket = F.substring(F.md5(F.col(key).cast("string")), 1, 3)
-    each = points.groupBy(bucket.alias("b")).agg(sorted_hash(F.col(key).cast("string"), ",").alias("h"))
-    return each.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",")).alias("etag"))
+    name = F.md5(F.col(key).cast("string"))
+    depth, n = 3, points.count()
+    while 16**depth * leaf < n:
+        depth += 1
+    each = points.groupBy(F.substring(name, 1, depth).alias("b")).agg(sorted_hash(F.col(key).cast("string"), ",").alias("h"))
+    joined = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ","))
+    while depth > 3:
+        depth -= 1
+        each = each.groupBy(F.substring("b", 1, depth).alias("p")).agg(joined.alias("h")).withColumnRenamed("p", "b")
+    return each.agg(joined.alias("etag"))
+
+
+def exact_fingerprint(points: DataFrame, key: str = "id", most: int = 1_000_000) -> DataFrame:
+    """The etag over one sorted list of all ids, for collections of at most ``most`` that are compared with clients of that form."""
+    if points.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} ids; fingerprint() has no limit")
+    return points.agg(sorted_hash(F.col(key).cast("string"), ",").alias("etag"))
 
 
-def exact_fingerprint(points: DataFrame, key: str = "id") -> DataFrame:
-    """The etag over one sorted list of all ids, for small collections that are compared with clients of that form."""
-    return points.agg(sorted_hash(F.col(key).cast("string"), ",").alias("etag"))
+def overlap(chunks: DataFrame, points: DataFrame) -> DataFrame:
+    """One row: distinct content keys of ``chunks``, of ``points`` (both ``source, page, content``), and of both."""
+    keys = lambda df: df.select(content_hash(F.col("source"), F.col("page"), F.col("content")).alias("k")).distinct()
+    both = keys(chunks).withColumn("c", F.lit(1)).join(keys(points).withColumn("p", F.lit(1)), "k", "full_outer")
+    return both.agg(F.count("c").alias("n_chunks"), F.count("p").alias("n_points"), F.count(F.col("c") + F.col("p")).alias("n_both"))
 
 
 def diff(server: DataFrame, client: DataFrame) -> DataFrame:
@@ -95,6 +112,11 @@ def page_of(rows: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(order).offset(offset).limit(limit).crossJoin(F.broadcast(total)).withColumn("has_more", F.lit(offset + limit) < F.col("total"))
 
 
+def export_page(rows: DataFrame, order: str, key: str, offset: int, limit: int) -> DataFrame:
+    """``page_of``, less rows whose ``key`` an earlier row of the page has; ``total`` and ``has_more`` are of all rows."""
+    return first_of(page_of(rows, order, offset, limit), order, key)
+
+
 def first_of(rows: DataFrame, order: str, *by: str) -> DataFrame:
     """The first row in ``order`` for each ``by``: dedup of files by hash, of chunks by key."""
     over = Window.partitionBy(*by).orderBy(order)

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import extension, file_name
+from lodestone.functions.text import extension, file_name, markdown
 
 #: bytes -> dictionaries with the columns of the schema that goes with the parser.
 Parser = Callable[[bytes], Iterable[dict]]
@@ -73,6 +74,31 @@ def ocr_chunks(texts: DataFrame) -> DataFrame:
     return texts.filter(F.length(F.trim("content")) >= MIN_OCR_CHARS)
 
 
+def table_blocks(tables: DataFrame) -> DataFrame:
+    """Blocks of tables (``source, page, n, rows``, an array of arrays of cells), each under its number and page."""
+    head = F.concat(F.lit("[TABLE "), F.col("n").cast("string"), F.lit(" — Page "), F.col("page").cast("string"), F.lit("]\n"))
+    return tables.select("source", "page", F.concat(head, markdown(F.col("rows"))).alias("content"), F.lit("table").alias("type"))
+
+
+def recognised(words: DataFrame) -> DataFrame:
+    """``image_path, text, words, confidences, avg_confidence`` of recognised words (``image_path, ord, word, confidence``).
+
+    Blank words and those without confidence are left out; an image without any has an empty text and a mean of 0.
+    """
+    kept = F.when((F.trim("word") != "") & (F.col("confidence").cast("int") > 0), F.struct("ord", F.trim("word").alias("word"), F.col("confidence").cast("double").alias("c")))
+    each = words.groupBy("image_path").agg(F.array_sort(F.collect_list(kept)).alias("w"), F.bround(F.avg(kept["c"]), 2).alias("mean"))
+    return each.select("image_path", F.array_join("w.word", " ").alias("text"), F.col("w.word").alias("words"), F.col("w.c").alias("confidences"), F.coalesce("mean", F.lit(0.0)).alias("avg_confidence"))
+
+
+def shown_images(ranked: DataFrame, present: DataFrame, folder: str) -> DataFrame:
+    """``query_id, rank, image_path`` of image passages whose file is ``present`` (``path``), at its own path or by its name in ``folder``."""
+    images = ranked.filter((F.col("type") == "image") & (F.coalesce("image_path", F.lit("")) != "")).select("query_id", "rank", "image_path")
+    other = F.concat(F.lit(folder.rstrip("/") + "/"), file_name(F.col("image_path")))
+    either = images.withColumn("path", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.col("image_path").alias("p")), F.struct(F.lit(1).alias("n"), other.alias("p")))))
+    found = either.select("query_id", "rank", "path.n", F.col("path.p").alias("path")).join(present.select("path").distinct(), "path", "left_semi")
+    return found.groupBy("query_id", "rank").agg(F.min_by("path", "n").alias("image_path"))
+
+
 def csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header; types are inferred. Missing files raise."""
     return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
@@ -84,6 +110,36 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.posexplode("docs").alias("ord", "d")).select("ord", "d.*")
 
 
+REGISTRY = "sha256 string, source string"
+LOG = "timestamp string, vectors_added bigint, vectors_deleted bigint, pdfs_downloaded bigint, duration_s double, errors array<string>"
+
+
+def save_registry(hashes: DataFrame, path: str) -> None:
+    """Writes ``sha256, source`` to ``path``, a new one for each version, so that what is read meanwhile is not overwritten."""
+    hashes.select("sha256", "source").write.json(path)
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """A registry that ``save_registry`` wrote."""
+    return spark.read.schema(REGISTRY).json(path)
+
+
+def without_file(hashes: DataFrame, name: str) -> DataFrame:
+    """A registry less a file."""
+    return hashes.filter(~F.col("source").eqNullSafe(F.lit(name)))
+
+
+def append_log(spark: SparkSession, path: str, result: dict) -> None:
+    """Adds a run's result, with the time in UTC, to the log."""
+    row = {"timestamp": datetime.now(UTC).isoformat(), "vectors_added": 0, "vectors_deleted": 0, "pdfs_downloaded": 0, "duration_s": 0.0, "errors": []} | result
+    names = [c.split()[0] for c in LOG.split(", ")]
+    spark.createDataFrame([tuple(row[n] for n in names)], LOG).coalesce(1).write.mode("append").json(path)
+
+
+def log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOG).json(path)
+
+
 def hashes(spark: SparkSession, path: str) -> DataFrame:
     """``sha256, source`` of a registry that maps one to the other."""
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("sha256", "source"))
