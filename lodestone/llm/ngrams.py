@@ -33,7 +33,7 @@ HELD_OUT = 2
 TUNING = 3
 SHARD_BYTES = 8 << 20
 #: Steps of the histogram in a log10 ratio, and the longest ratio it tells apart (as many steps).
-STEP, RANGE = 20, 400
+STEP, RANGE = 50, 1000
 BUCKETS = 48
 #: A bigram is known by so many bits of its hash, a word by all 64.
 _PAIR_BITS = np.uint64(((1 << 56) - 1) << 8)
@@ -309,10 +309,16 @@ def score(docs: DataFrame, bytes_each: int = 24 << 20) -> DataFrame:
 
 
 def _stored(shards: DataFrame, buckets: int) -> DataFrame:
-    """The shards as a table in the shared checkpoint folder, bucketed so that joins by shard do not move them."""
+    """The shards as files in the shared checkpoint folder, bucketed so that joins by shard do not move them.
+
+    Only a named table can be bucketed; the name goes once the plan knows the files and their buckets.
+    """
     spark, name = shards.sparkSession, f"shards_{uuid.uuid4().hex}"
     shards.write.format("parquet").bucketBy(buckets, "shard").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # resolves the name
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
