@@ -62,7 +62,22 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_html_extraction": op7_html_extraction, "op8_source_mixing": op8_source_mixing, "op10_secret_scan": op10_secret_scan}
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op1_quality_rules``."""
+    return op1_quality_rules(spark, sf_dir).select("doc_id", *quality.COUNTS, "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op8_source_mixing``: sizes, and targets to six places."""
+    return op8_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op10_secret_scan``."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_html_extraction": op7_html_extraction, "op8_source_mixing": op8_source_mixing, "op10_secret_scan": op10_secret_scan, "quality_counts": quality_counts, "mixing_targets": mixing_targets, "secret_counts": secret_counts}
 
 SQL: dict[str, str] = {
     "op3_line_dedup": r"""
@@ -86,4 +101,24 @@ SQL: dict[str, str] = {
               FROM t LEFT JOIN gone g ON t.doc_id = g.doc_id AND t.pos = g.pos GROUP BY t.doc_id)
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "quality_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+        win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d))),
+        r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, i + unnest(range(0, 8)) AS pos FROM win WHERE n > 1) GROUP BY doc_id),
+        c AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+              FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c""",
+    "mixing_targets": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+        o AS (SELECT *, 3.0::DOUBLE * source_size / weight AS most, row_number() OVER w AS n, sum(3 * source_size) OVER w - 3 * source_size AS held, sum(weight) OVER () - sum(weight) OVER w + weight AS free
+              FROM s WINDOW w AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+        v AS (SELECT arg_min(level, n) AS level FROM (SELECT n, most, ((SELECT sum(source_size) FROM s) - held)::DOUBLE / free AS level FROM o) WHERE level <= most * 1.000000001 + 1e-9)
+        SELECT doc_id, size, source_size, round(least(3.0::DOUBLE * source_size, weight * level), 6) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, v""",
+    "secret_counts": r"""
+        SELECT doc_id, len([x FOR x IN regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) IF length(x) >= 6]) AS n_assign,
+               len(regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}')) AS n_access, len(regexp_extract_all(t, '[0-9a-f]{24,}')) AS n_hex
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
 }
