@@ -6,7 +6,9 @@ and a whole batch of documents is segmented and hashed by a few numpy passes wit
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,22 @@ def session_limits(df: DataFrame, batch_bytes: int = 2 * PASS_BYTES) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
+def tidy(run):
+    """``run``, a function of batches, after which a task's worker gives freed memory back: idle workers stay beside those of later stages."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
     """A table of the driver's, made through Arrow: rows of tuples would start Python workers of another kind in every executor."""
     return spark.createDataFrame(pa.table(columns))

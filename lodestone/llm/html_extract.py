@@ -330,6 +330,7 @@ def main_text(page: str | None, weights: Sequence[float] = tuple(PRIOR.values())
     return "\n\n".join(b.text for b, keep in zip(found, labels(found, weights)) if keep)
 
 
+@arrays.tidy
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of pages' blocks and whether they are content. Of an article's blocks those with a name of boilerplate are left out: they may be either."""
     names = ["page", "place", "content", "x"]
@@ -357,7 +358,7 @@ def _extract(weights: Sequence[float]):
             texts = [main_text(page, weights) for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return extract
+    return arrays.tidy(extract)
 
 
 def extract(pages: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:

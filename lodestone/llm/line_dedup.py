@@ -19,6 +19,8 @@ from lodestone.llm import arrays, windows
 WIDTH = 3
 #: Lines are few beside bytes, so that an index partition may stand for more text than one of words.
 BYTES_EACH = 96 << 20
+#: Windows that repeat are remembered from pass to pass, so little is lost by resolving repeats among less text at a time.
+SENT_BYTES = 1 << 20
 
 
 def lines(data: np.ndarray, offsets: np.ndarray):
@@ -62,7 +64,7 @@ def _cut(width: int):
                 column = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("ref"), column, pa.array(np.diff(first)), pa.array(gone)], ["ref", "text", "n_lines", "n_removed"])
 
-    return cut
+    return arrays.tidy(cut)
 
 
 def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -77,7 +79,7 @@ def remove_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
     ref = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)))
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), ref.alias("ref"))
-    marked = windows.repeats(slim, _line_units, width, within=True, bytes_each=BYTES_EACH).select("ref", "text", "hits")
+    marked = windows.repeats(slim, _line_units, width, within=True, bytes_each=BYTES_EACH, sent_bytes=SENT_BYTES).select("ref", "text", "hits")
     kind = slim.schema["ref"].dataType.simpleString()
     out = marked.mapInArrow(_cut(width), f"ref {kind}, text string, n_lines bigint, n_removed bigint")
     return out.select(F.col("ref.doc_id").alias("doc_id"), "text", *(F.col(f"ref.c{i}").alias(c) for i, c in enumerate(rest)), "n_lines", "n_removed")

@@ -177,6 +177,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fingerprint", written(F.col("text").cast("string")))
 
 
+@arrays.tidy
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come ordered within each bucket and end with a guest, the document after the bucket's last one."""
     held = None

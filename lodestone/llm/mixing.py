@@ -124,7 +124,7 @@ def _ranges(shards: int, seed: int):
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names)
                         out = []
 
-    return run
+    return arrays.tidy(run)
 
 
 def _slots(seed: int, rows: int = 1 << 16):
@@ -141,7 +141,7 @@ def _slots(seed: int, rows: int = 1 << 16):
                     block = permuted(nth % size, size, own * MOST + nth // size + np.int64(seed) * 1_000_003)
                     yield pa.RecordBatch.from_arrays([pa.array(shard[a : a + rows]), pa.array(own), pa.array(block)], ["shard", "number", "block"])
 
-    return run
+    return arrays.tidy(run)
 
 
 def slots(plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -263,6 +263,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights: tuple[int, ...
     return out.select(*(back[c].alias(c) for c in docs.columns))
 
 
+@arrays.tidy
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in arrays.passes(batches, "text"):
         start, end, first = arrays.words(data, offsets)

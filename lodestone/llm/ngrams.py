@@ -68,6 +68,7 @@ def _unpack_counts(blob: bytes) -> np.ndarray:
     return x
 
 
+@arrays.tidy
 def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each pass, a shard of the tuning fold's rows, with an odd number, from which weights are learned, and one of the others."""
     number = TaskContext.get().partitionId() << 32
@@ -152,9 +153,10 @@ def _ask(parts: int):
                         out.append((offset + int(part[a]), s.number, _pack(keys[a:b] >> np.uint64(8 if offset else 0), True), _pack_counts(train[a:b]), _pack_counts(tuning[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "shard", "keys", "train", "tuning"])
 
-    return ask
+    return arrays.tidy(ask)
 
 
+@arrays.tidy
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[dict]] = {}
     for batch in batches:
@@ -228,7 +230,7 @@ def _histogram(parts: int, tokens: int, vocabulary: int):
                 cells, n = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-    return histogram
+    return arrays.tidy(histogram)
 
 
 def learned(cells: np.ndarray, n: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -275,7 +277,7 @@ def _score(parts: int, model: Model):
                 columns = [pa.array(s.doc_id, mask=~s.known), pa.array(s.folds == HELD_OUT), pa.array(s.lengths), pa.array(np.add.reduceat((word > 0)[s.token].astype(np.int64), at)), pa.array(np.add.reduceat(base[s.token], at)), pa.array(np.add.reduceat(np.log10(likely), at))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return score
+    return arrays.tidy(score)
 
 
 def score(docs: DataFrame, bytes_each: int = 24 << 20) -> DataFrame:
@@ -321,6 +323,7 @@ def _stored(shards: DataFrame, buckets: int) -> DataFrame:
     return table
 
 
+@arrays.tidy
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in zip(batch.column("folds").to_pylist(), batch.column("lengths").to_pylist()):

@@ -191,7 +191,7 @@ def _pack(path: str, size: int, end_id: int):
         for i in range(0, len(placed), 1000):
             yield batch(placed[i : i + 1000])
 
-    return pack
+    return arrays.tidy(pack)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:

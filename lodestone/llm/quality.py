@@ -78,7 +78,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``doc_id``, the counts and the features of each row's whole text; a null or empty text has zeros."""
     arrays.session_limits(docs)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_statistics, f"doc_id bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, {', '.join(f'{c} double' for c in FEATURES)}")
+    return slim.mapInArrow(arrays.tidy(_statistics), f"doc_id bigint, {', '.join(f'{c} bigint' for c in COUNTS)}, {', '.join(f'{c} double' for c in FEATURES)}")
 
 
 def train(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> boosting.Forest:
@@ -131,4 +131,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
             good = forest.probability(np.stack([stats.column(c).to_numpy() for c in FEATURES], axis=1)) >= keep_at
             yield batch.filter(pa.array((n >= 20) & (100 * again <= 30 * n) & good))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(arrays.tidy(judge), docs.schema)

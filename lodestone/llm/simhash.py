@@ -66,7 +66,7 @@ def _fingerprint(width: int):
             found = _fingerprints(data, offsets, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "bits"])
 
-    return run
+    return arrays.tidy(run)
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -129,6 +129,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+@arrays.tidy
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("members")

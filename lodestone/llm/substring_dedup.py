@@ -70,7 +70,7 @@ def _cut(width: int):
             columns = [batch.column("doc_id"), texts, pa.array(np.diff(first)), pa.array(removed), pa.array(gone, _SPANS), pa.array(sources, _FACTORS)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_words", "n_removed", "spans", "factors"])
 
-    return cut
+    return arrays.tidy(cut)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

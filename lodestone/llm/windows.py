@@ -170,7 +170,7 @@ def _send(units: Units, width: int, parts: int, within: bool, sourced: bool, sen
             out += [_packed(p, hashes[:0], row[found[i]], at[found[i]], row_owner, row_key, True, tuple(x[i] for x in source)) for p, i in _by_part(home)]
             yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
-    return send
+    return arrays.tidy(send)
 
 
 def _resolve(parts: int, within: bool, sourced: bool):
@@ -191,9 +191,10 @@ def _resolve(parts: int, within: bool, sourced: bool):
             for a in range(0, len(out), 500):
                 yield pa.RecordBatch.from_pylist(out[a : a + 500], _SCHEMA)
 
-    return resolve
+    return arrays.tidy(resolve)
 
 
+@arrays.tidy
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each document with hits."""
     held: dict[int, list] = {}
