@@ -49,7 +49,7 @@ class Index:
 
 def counted(docs: DataFrame, key: str, content: str) -> DataFrame:
     """``doc, dl, terms``: each document's tokens with their counts, by sorting them within the row."""
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.array_sort(text.tokenize(F.col(content))).alias("s")).withColumn("dl", F.size("s"))
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.sort_array(text.tokenize(F.col(content))).alias("s")).withColumn("dl", F.size("s"))
     places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(places, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
     rows = rows.withColumn("a", starts)
@@ -59,8 +59,10 @@ def counted(docs: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def build(docs: DataFrame, key: str = "doc_id", content: str = "text") -> Index:
-    """Tokenises ``docs`` once."""
-    terms = stored(counted(docs, key, content))
+    """Tokenises ``docs`` once. A table of fewer files than there are cores is spread first, as making tokens outweighs moving so little."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.select(key, content)
+    terms = stored(counted(docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs, key, content))
     n, total = terms.agg(F.count(F.lit(1)), F.sum("dl")).first()
     df = terms.select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return Index(terms, stored(_with_idf(df, n)), n, (total or 0) / n if n else 0.0)
