@@ -2,7 +2,7 @@
 
 The index holds each document's tokens with their counts, made where the document is read, and the vocabulary. It is stored once; a search
 reads nothing else. The terms of a query set of bounded size go to every task and documents stream past them; those of a larger one meet the
-postings in a join, in which a token that very many documents hold is split.
+postings in a join, in which each token is split by document.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from lodestone.operators.stages import stored
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Query terms that every task may hold.
 MOST_TERMS = 200_000
-#: Scores made at a time, and postings of a token in one part of the join.
-SCORES, HOT = 1 << 22, 100_000
+#: Scores made at a time, and parts of a token's postings in the join.
+SCORES, PARTS = 1 << 22, 64
 
 
 @dataclass(frozen=True)
@@ -152,11 +152,9 @@ def _passed(asked: pa.Table, avgdl: float, k: int):
 
 
 def _joined(index: Index, asked: DataFrame) -> DataFrame:
-    """Scores by a join of postings with query terms. Both sides of a token of many documents are dealt to parts by document."""
-    parts = lambda: F.ceil(F.col("df") / HOT)
-    terms = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts() - 1)))
-    hot = F.broadcast(asked.filter(F.col("df") > HOT).select("token", "df").distinct())  # at most tokens of the whole corpus over HOT
-    each = index.terms.select("doc", "dl", F.explode("terms").alias("t")).select("doc", "dl", "t.token", "t.tf").join(hot, "token", "left")
-    each = each.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), parts()), F.lit(0)))
-    value = _saturated(F.col("tf"), F.col("dl"), index.avgdl)
-    return each.select("doc", "token", "part", value.alias("value")).join(terms.drop("df"), ["token", "part"]).groupBy("query", F.col("doc").alias("point")).agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+    """Scores by a join of postings with query terms. A token's postings are dealt to ``PARTS`` by document, and its query terms go to each part."""
+    terms = asked.drop("df").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    each = index.terms.select("doc", "dl", F.explode("terms").alias("t"), F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int").alias("part"))
+    value = _saturated(F.col("t.tf"), F.col("dl"), index.avgdl)
+    scored = each.select("doc", "t.token", "part", value.alias("value")).join(terms, ["token", "part"])
+    return scored.groupBy("query", F.col("doc").alias("point")).agg(F.sum(F.col("value") * F.col("weight")).alias("score"))

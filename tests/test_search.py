@@ -31,7 +31,6 @@ def rows(df):
 def test_bm25_both_ways(spark, texts, asked, tmp_path, monkeypatch):
     index = lexical.build(texts)
     one = rows(lexical.search(index, asked, 5))
-    monkeypatch.setattr(lexical, "HOT", 10)
     assert rows(lexical.search(index, asked, 5, most_terms=0)) == one and len(one) > 100
     monkeypatch.setattr(lexical, "SCORES", 64)
     assert rows(lexical.search(index, asked, 5)) == one
