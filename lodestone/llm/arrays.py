@@ -123,6 +123,11 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have
 
 
+def powers(n: int, down: bool = False) -> np.ndarray:
+    """The first ``n`` powers of the multiplier, or of its inverse."""
+    return _power("down" if down else "up", n)[:n]
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span (ascending, not overlapping); equal spans have equal hashes wherever they stand."""
     out = np.empty(len(start), np.uint64)
@@ -160,6 +165,14 @@ def covered(n: int, at: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def covered_spans(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``n`` bytes lie in one of the spans, which do not overlap."""
+    step = np.zeros(n + 1, np.int8)
+    np.add.at(step, start, 1)
+    np.add.at(step, end, -1)
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
 def planes(x: np.ndarray) -> bytes:
     """The array's bytes, all first bytes before all second ones: the shuffle's compression then finds the zeros."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()

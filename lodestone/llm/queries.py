@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html_extract, line_dedup, merkle, mixing, ngrams, packing, quality, secrets, simhash, substring_dedup
+from lodestone.llm import exact_dedup, fill_middle, html_extract, line_dedup, merkle, mixing, ngrams, packing, quality, secrets, simhash, spelling, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,20 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(_documents(spark, sf_dir))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.transform(_documents(spark, sf_dir))
+    back = fill_middle.restored(done.output, done.form)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of ``op1_quality_rules``."""
     return op1_quality_rules(spark, sf_dir).select("doc_id", *quality.COUNTS, "base_failed")
@@ -77,9 +91,48 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_html_extraction": op7_html_extraction, "op8_source_mixing": op8_source_mixing, "op10_secret_scan": op10_secret_scan, "quality_counts": quality_counts, "mixing_targets": mixing_targets, "secret_counts": secret_counts}
+QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules, "op3_line_dedup": op3_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op2_document_fingerprints": op2_document_fingerprints, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op5_lm_scoring": op5_lm_scoring, "op6_packing": op6_packing, "op7_html_extraction": op7_html_extraction, "op8_source_mixing": op8_source_mixing, "op10_secret_scan": op10_secret_scan, "op11_fill_middle": op11_fill_middle, "op12_exact_dedup": op12_exact_dedup, "op13_spelling_variants": op13_spelling_variants, "quality_counts": quality_counts, "mixing_targets": mixing_targets, "secret_counts": secret_counts}
+
+
+def _crc_sql(text: str) -> str:
+    """The crc32 of a text of ASCII and of U+00C0 to U+00FF, by a table that is made from its rule."""
+    table = []
+    for state in range(256):
+        for _ in range(8):
+            state = state >> 1 ^ 0xEDB88320 if state & 1 else state >> 1
+        table.append(state)
+    of_bytes = f"flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END FOR c IN string_split({text}, '')])"
+    return f"xor(4294967295, list_reduce({of_bytes}, lambda a, b: xor(a >> 8, {table}[xor(a & 255, b) + 1]), 4294967295))"
+
 
 SQL: dict[str, str] = {
+    "op11_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l, sha256('7:' || doc_id) AS x FROM documents),
+        c AS (SELECT *, len(l) - (l[len(l)] = '')::BIGINT AS n, [('0x' || substr(x, 8 * k + 1, 8))::UBIGINT::BIGINT FOR k IN range(4)] AS h FROM d),
+        r AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS i, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS j,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+        p AS (SELECT *, CASE WHEN i < len(l) THEN length(array_to_string(l[1:i] || [''], chr(10))) ELSE length(t) END AS a, CASE WHEN j < len(l) THEN length(array_to_string(l[1:j] || [''], chr(10))) ELSE length(t) END AS b FROM r),
+        o AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM p)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM o""",
+    "op12_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)""",
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE r AS MATERIALIZED (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+        c AS (SELECT run, n, {_crc_sql("doc_id || ':' || run")} AS h FROM r WHERE length(run) >= 6),
+        v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM c) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+        near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+            UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.less UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.less),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT w.word, w.next, f.form FROM walk w JOIN f ON f.word = w.next)
+        SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word AND walk.next IS NULL""",
     "op3_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
