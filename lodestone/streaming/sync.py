@@ -41,21 +41,23 @@ def transition_stream(states: DataFrame, key: str, time: str, online: str) -> Da
 
 
 def replicate_once(cloud: TableStore, local: TableStore, version: str | None = None) -> dict[str, int]:
-    """One run: pulls what is new or changed, drops what is stale, publishes once, and only if something changed."""
-    there, here = cloud.read(), local.read()
-    added = replicate.to_pull(there, here, "id", version).count()
-    deleted = replicate.stale(there, here).count()
-    if added or deleted:
-        local.publish(replicate.synced(there, here, "id", version))
-    return {"vectors_added": added, "vectors_deleted": deleted}
+    """One run, and one commit if something changed: pulls what is new (with ``version`` also what changed there), drops what is stale.
 
+    Rows that stay are neither moved nor written. A local change that comes between raises ``Conflict``.
+    """
+    there, state = cloud.read(), local.state()
+    here = local.places(state, ["id"] if version is None else ["id", version])
+    stale = replicate.stale(there, here).select("_file", "_pos")
+    done = local.change(replicate.to_pull(there, here, "id", version).dropDuplicates(["id"]), stale, "id", state)
+    return {"vectors_added": done["added"], "vectors_deleted": done["deleted"] - done["replaced"]}
 
-def replicate_on(trigger: DataFrame, cloud: TableStore, local: TableStore, checkpoint: str, once: bool = False) -> StreamingQuery:
+
+def replicate_on(trigger: DataFrame, cloud: TableStore, local: TableStore, checkpoint: str, once: bool = False, version: str | None = None) -> StreamingQuery:
     """Replicates whenever ``trigger`` has rows, at most every 20 minutes; one checkpoint runs one query at a time."""
 
     def run(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            replicate_once(cloud, local)
+            replicate_once(cloud, local, version)
 
     out = trigger.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=INTERVAL)).start()
