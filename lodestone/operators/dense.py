@@ -25,15 +25,15 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str, each: int) -> tuple
     """Rows gathered to blocks of about ``each``, with how many there are."""
     n = max(1, -(-df.count() // each))
     block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    rows = df.filter(F.col(vector).isNotNull()).groupBy(block.alias(name)).agg(F.collect_list(F.struct(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))).alias(f"{name}_rows"))
+    rows = df.filter(F.col(vector).isNotNull()).groupBy(block.alias(name)).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias(f"{name}_rows"))
     return rows, n
 
 
-def _unit(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def unit(ids: pa.Array, vectors: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Ids, and vectors scaled to length 1 as rows; one without length stays."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
     size = np.linalg.norm(flat, axis=1, keepdims=True)
-    return ids.to_numpy(zero_copy_only=False), np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
+    return ids, np.divide(flat, size, out=np.zeros_like(flat), where=size > 0)
 
 
 def _met(k: int):
@@ -42,21 +42,21 @@ def _met(k: int):
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (query, q), (point, p) = (_unit(rows.field("id"), rows.field("v")) for rows in (batch.column(c)[i].values for c in ("q_rows", "p_rows")))
+                (query, q), (point, p) = (unit(rows.field("id"), rows.field("v")) for rows in (batch.column(c)[i].values for c in ("q_rows", "p_rows")))
                 yield ranking.Best(query, k).candidates(point, q @ p.T)
 
     return met
 
 
-def _passed(query: np.ndarray, q: np.ndarray, k: int):
+def _passed(query: pa.Array, q: np.ndarray, k: int):
     """The best of the points that pass by."""
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, each = ranking.Best(query, k), max(1, SCORES // len(query))
         for batch in batches:
-            point, p = _unit(batch.column("id"), batch.column("v"))
+            point, p = unit(batch.column("id"), batch.column("v"))
             for a in range(0, len(point), each):
-                yield best.candidates(point[a : a + each], q @ p[a : a + each].T)
+                yield best.candidates(point.slice(a, each), q @ p[a : a + each].T)
 
     return passed
 
@@ -67,16 +67,17 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     Filter ``points`` beforehand for a filtered search. Up to ``most_queries`` queries are sent to all tasks, which return the candidates of
     their points; more are dealt to blocks that meet blocks of points in one matrix product each. Rows without a vector are no candidates.
     """
-    plain = lambda df, id_: df.filter(F.col(vector).isNotNull()).select(F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    plain = lambda df, id_: df.filter(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("v"))
+    schema = ranking.candidates(*(df.schema[c].dataType.simpleString() for df, c in ((queries, query_key or key), (points, key))))
     asked = plain(queries, query_key or key).limit(most_queries + 1).toArrow().combine_chunks()
     if asked.num_rows <= most_queries:
         if not asked.num_rows:
-            return ranking.ranked(points.sparkSession.createDataFrame([], ranking.CANDIDATES), k, "query_id", key)
-        query, q = _unit(*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (asked.column("id"), asked.column("v"))))
-        found = plain(points, key).mapInArrow(_passed(query, q, k), ranking.CANDIDATES)
+            return ranking.ranked(points.sparkSession.createDataFrame([], schema), k, "query_id", key)
+        query, q = unit(*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (asked.column("id"), asked.column("v"))))
+        found = plain(points, key).mapInArrow(_passed(query, q, k), schema)
     else:
         blocks, n = _blocks(queries, query_key or key, vector, "q", QUERY_BLOCK)
         held, _ = _blocks(points, key, vector, "p", POINT_BLOCK)
         pairs = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "q").select("q_rows", "p_rows")
-        found = pairs.mapInArrow(_met(k), ranking.CANDIDATES)
+        found = pairs.mapInArrow(_met(k), schema)
     return ranking.ranked(found, k, "query_id", key)

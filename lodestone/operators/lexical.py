@@ -23,8 +23,8 @@ from lodestone.operators.stages import stored
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Query terms that every task may hold.
 MOST_TERMS = 200_000
-#: Scores made at a time, and parts of a token's postings in the join.
-SCORES, PARTS = 1 << 22, 64
+#: Hits scored at a time, and parts of a token's postings in the join.
+HITS, PARTS = 1 << 22, 64
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ class Index:
 
 def counted(docs: DataFrame, key: str, content: str) -> DataFrame:
     """``doc, dl, terms``: each document's tokens with their counts, by sorting them within the row."""
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.sort_array(text.tokenize(F.col(content))).alias("s")).withColumn("dl", F.size("s"))
+    rows = docs.select(F.col(key).alias("doc"), F.sort_array(text.tokenize(F.col(content))).alias("s")).withColumn("dl", F.size("s"))
     places = F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(places, lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
     rows = rows.withColumn("a", starts)
@@ -107,16 +107,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", q
 def search(index: Index, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", content: str = "text", most_terms: int = MOST_TERMS) -> DataFrame:
     """``query_key, doc_key, score, rank`` from an index. Only documents that share a token with a query are scored."""
     asked = query_terms(queries, query_key, content).join(index.vocabulary, "token")
-    asked = asked.select(F.col(query_key).cast("bigint").alias("query"), "token", "df", (F.col("times") * F.col("idf")).alias("weight"))
+    asked = asked.select(F.col(query_key).alias("query"), "token", "df", (F.col("times") * F.col("idf")).alias("weight"))
     held = asked.limit(most_terms + 1).toArrow()
     if held.num_rows <= most_terms:
-        found = index.terms.mapInArrow(_passed(held, index.avgdl, k), ranking.CANDIDATES)
+        types = (df.schema[c].dataType.simpleString() for df, c in ((asked, "query"), (index.terms, "doc")))
+        found = index.terms.mapInArrow(_passed(held, index.avgdl, k), ranking.candidates(*types))
     else:
-        found = _joined(index, asked)
-    return ranking.ranked(found.filter("score > 0"), k, query_key, doc_key)
+        found = _joined(index, asked).filter("score > 0")
+    return ranking.ranked(found, k, query_key, doc_key)
 
 
-def _saturated(tf, dl, avgdl: float):
+def saturated(tf, dl, avgdl: float):
     """How much a token counts in a document, as numbers or as columns."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
@@ -125,28 +126,34 @@ def _passed(asked: pa.Table, avgdl: float, k: int):
     """Scores of the documents that pass by."""
     tokens = pc.unique(asked.column("token"))
     token = pc.index_in(asked.column("token"), value_set=tokens).to_numpy()
-    queries, query = np.unique(asked.column("query").to_numpy(), return_inverse=True)
+    queries = pc.unique(asked.column("query"))
+    query = pc.index_in(asked.column("query"), value_set=queries).to_numpy()
     order = np.argsort(token, kind="stable")
     query, weight = query[order], asked.column("weight").to_numpy()[order]
     first = np.searchsorted(token[order], np.arange(len(tokens) + 1))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, each = ranking.Best(queries, k, 0.0), max(1, SCORES // max(1, len(queries)))
-        for batch in batches:
-            for a in range(0, batch.num_rows if len(queries) else 0, each):
-                part = batch.slice(a, each)
-                lists, dl = part.column("terms"), part.column("dl").to_numpy()
-                flat = lists.flatten()
-                doc = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                at = pc.fill_null(pc.index_in(flat.field("token"), value_set=tokens), -1).to_numpy()
-                some = np.flatnonzero(at >= 0)
-                at, doc, tf = at[some], doc[some], flat.field("tf").to_numpy()[some]
-                value = _saturated(tf, dl[doc], avgdl)
-                n = first[at + 1] - first[at]
-                entry = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                cell = query[entry] * part.num_rows + np.repeat(doc, n)
-                scores = np.bincount(cell, np.repeat(value, n) * weight[entry], minlength=len(queries) * part.num_rows).astype(float).reshape(len(queries), part.num_rows)
-                yield best.candidates(part.column("doc").to_numpy(), scores)
+        best = ranking.Best(queries, k)
+        for batch in batches if len(queries) else ():
+            lists, dl = batch.column("terms"), batch.column("dl").to_numpy()
+            flat = lists.flatten()
+            doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            at = pc.fill_null(pc.index_in(flat.field("token"), value_set=tokens), -1).to_numpy()
+            some = np.flatnonzero(at >= 0)
+            at, doc = at[some], doc[some]
+            value = saturated(flat.field("tf").to_numpy()[some], dl[doc], avgdl)
+            n = first[at + 1] - first[at]
+            # Whole documents, as many as have about so many hits.
+            cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            hits = np.concatenate(([0], np.cumsum(n)))[cut]
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(hits, hits[a] + HITS, side="right")) - 1)
+                part = slice(cut[a], cut[b])
+                m = n[part]
+                entry = np.repeat(first[at[part]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield best.hits(batch.column("doc").slice(a, b - a), query[entry], np.repeat(doc[part] - a, m), np.repeat(value[part], m) * weight[entry])
+                a = b
 
     return passed
 
@@ -155,6 +162,6 @@ def _joined(index: Index, asked: DataFrame) -> DataFrame:
     """Scores by a join of postings with query terms. A token's postings are dealt to ``PARTS`` by document, and its query terms go to each part."""
     terms = asked.drop("df").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     each = index.terms.select("doc", "dl", F.explode("terms").alias("t"), F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int").alias("part"))
-    value = _saturated(F.col("t.tf"), F.col("dl"), index.avgdl)
+    value = saturated(F.col("t.tf"), F.col("dl"), index.avgdl)
     scored = each.select("doc", "t.token", "part", value.alias("value")).join(terms, ["token", "part"])
     return scored.groupBy("query", F.col("doc").alias("point")).agg(F.sum(F.col("value") * F.col("weight")).alias("score"))

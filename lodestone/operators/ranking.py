@@ -1,4 +1,7 @@
-"""The best candidates of each query as batches of points pass by, for searches that score a batch against a block of queries."""
+"""The best candidates of each query as batches of points pass by, for searches that score a batch against a block of queries.
+
+Ids of queries and points may be of any type that orders; they are carried as they are.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +12,45 @@ from pyspark.sql import functions as F
 
 #: Scores that agree to so many places are equal, and ordered by id.
 PLACES = 9
-CANDIDATES = "query bigint, point bigint, score double"
+_EQUAL = 2 * 10.0**-PLACES
+
+
+def candidates(query_type: str, point_type: str) -> str:
+    """The schema of candidates."""
+    return f"query {query_type}, point {point_type}, score double"
 
 
 class Best:
-    """Keeps, of each batch's scores (a row a query), those that may be among the ``k`` best of what a task has seen."""
+    """Keeps, of each batch's scores, those that may be among the ``k`` best of what a task has seen."""
 
-    def __init__(self, queries: np.ndarray, k: int, least: float = -np.inf):
+    def __init__(self, queries: pa.Array, k: int):
         self.queries, self.k = queries, k
-        self.reach = np.full(len(queries), least)
+        self.reach = np.full(len(queries), -np.inf)
+
+    def _rows(self, points: pa.Array, query: np.ndarray, point: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.queries.take(pa.array(query)), points.take(pa.array(point)), pa.array(score)], ["query", "point", "score"])
 
-    def candidates(self, points: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    def candidates(self, points: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
+        """Of scores of all ``points``, a row a query."""
         if scores.shape[1] >= self.k:
             self.reach = np.maximum(self.reach, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k])
         # Equal scores at the cut all stay, for the ranking by id to come.
-        row, column = np.nonzero(scores >= self.reach[:, None] - 2 * 10.0**-PLACES)
-        return pa.RecordBatch.from_arrays([pa.array(self.queries[row]), pa.array(points[column]), pa.array(scores[row, column])], ["query", "point", "score"])
+        row, column = np.nonzero(scores >= self.reach[:, None] - _EQUAL)
+        return self._rows(points, row, column, scores[row, column])
+
+    def hits(self, points: pa.Array, query: np.ndarray, point: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        """Of what each hit adds to the score of its query and point; only points of positive score are candidates."""
+        cell = query.astype(np.int64) * len(points) + point
+        cell, at = np.unique(cell, return_inverse=True)
+        score = np.bincount(at, part, minlength=len(cell))
+        some = np.flatnonzero(score > 0)
+        query, point, score = cell[some] // max(1, len(points)), cell[some] % max(1, len(points)), score[some]
+        order = np.lexsort((-score, query))
+        first = np.searchsorted(query, np.arange(len(self.queries) + 1))
+        full = np.flatnonzero(np.diff(first) >= self.k)
+        self.reach[full] = np.maximum(self.reach[full], score[order[first[full] + self.k - 1]])
+        some = np.flatnonzero(score >= self.reach[query] - _EQUAL)
+        return self._rows(points, query[some], point[some], score[some])
 
 
 def ranked(found: DataFrame, k: int, query_key: str, point_key: str) -> DataFrame:

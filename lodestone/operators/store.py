@@ -99,6 +99,13 @@ class TableStore:
             return self.spark.createDataFrame([], f"{self.schema}, _file string, _pos bigint").select(*wanted, "_file", "_pos")
         return reduce(DataFrame.unionByName, parts)
 
+    def added_since(self, version: int) -> DataFrame | None:
+        """The rows that have come since a version, or None if others have gone."""
+        old, now = self.state(version), self.state()
+        if any(n not in now.files or now.files[n].deleted > f.deleted for n, f in old.files.items()):
+            return None
+        return self.places(State(now.version, {n: f for n, f in now.files.items() if n not in old.files}, now.deletes)).select(*self.names)
+
     def _written(self, df: DataFrame, max_records: int) -> dict[str, File]:
         """Writes ``df`` as new files, clustered by source so that a filter on it skips files."""
         folder = str(uuid.uuid4())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import keys, models
 from lodestone.operators import chunking, replicate
+from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.stages import stored
 from lodestone.operators.store import TableStore
 
@@ -26,10 +27,12 @@ def points(blocks: DataFrame, *order: str, strategy: str = "hierarchical", embed
     return chunks.withColumns({"id": key, "vector": models.embed(F.col("content"), embedder)})
 
 
-def ingest(store: TableStore, blocks: DataFrame, *order: str, strategy: str = "hierarchical", embedder: str = "hashed_stand_in", urls: DataFrame | None = None) -> dict[str, int]:
-    """Replaces all chunks of the blocks' sources by new ones, in one commit. Returns counts of the version's new rows."""
+def ingest(store: TableStore, blocks: DataFrame, *order: str, strategy: str = "hierarchical", embedder: str = "hashed_stand_in", urls: DataFrame | None = None, index: InvertedIndex | None = None) -> dict[str, int]:
+    """Replaces all chunks of the blocks' sources by new ones, in one commit, which the ``index`` then follows. Returns counts of the version's new rows."""
     sources = stored(blocks.select("source").distinct())
     version = store.replace_sources(points(blocks, *order, strategy=strategy, embedder=embedder, urls=urls), sources)["version"]
+    if index is not None:
+        index.follow(store)
     new = store.read(version).join(sources, "source", "left_semi")
     counts = new.agg(F.count(F.lit(1)).alias("total_chunks"), F.count_distinct("parent_id").alias("total_parents"), F.count_distinct("source").alias("files")).first()
     return counts.asDict() | {"version": version}

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import keys, models, text
-from lodestone.operators import chunking, context, dense, fusion, history, lexical, replicate, tables
+from lodestone.operators import chunking, context, dense, fusion, history, lexical, replicate, stages, tables
+from lodestone.operators.inverted import InvertedIndex
 from lodestone.plans import retrieve
 from lodestone.schema import canonical
 from lodestone.streaming import sync
@@ -89,6 +90,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 20)
 
 
+@_query(f"WITH {_bm25_sql(20)} SELECT item_id, doc_id, round(score, 4) AS score, rank FROM bm25")
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an inverted index, which is made first."""
+    index = InvertedIndex(spark, stages.folder(spark))
+    index.append(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return index.search(_table(spark, sf_dir, "benchmark"), 20, "doc_id", "item_id")
+
+
 def _dense_sql(queries: str, points: str, k: int) -> str:
     return f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
     dense AS (SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank

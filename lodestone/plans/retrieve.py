@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.models import generate, overlap
-from lodestone.operators import context, dense, fusion, lexical
+from lodestone.operators import context, dense, fusion, inverted, lexical
 from lodestone.operators.stages import stored
 
+Index = lexical.Index | inverted.InvertedIndex
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -30,19 +33,21 @@ class Settings:
         return max(3 * self.top_k, 20)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), pin: Column | None = None, pin_scope: str = "both", index: lexical.Index | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), pin: Column | None = None, pin_scope: str = "both", index: Index | None = None) -> DataFrame:
     """Ranked chunks for a batch of queries; chunks of equal content are one, that of the smallest id.
 
-    ``chunks``: ``id bigint, content, vector`` and metadata; ``queries``: ``query_id bigint, text, vector``. ``pin`` filters the
-    chunks of both legs, or, with ``pin_scope="dense"``, of the dense leg only. Both tables are stored first, as vectors may have to be made;
-    a stored ``index`` of the chunks spares making one. It can't serve a pin of both legs.
+    ``chunks``: ``id, content, vector`` and metadata; ``queries``: ``query_id, text, vector``; ids of any type that orders. ``pin`` filters the
+    chunks of both legs, or, with ``pin_scope="dense"``, of the dense leg only. An ``index`` of the chunks spares making one (it can't serve a pin of
+    both legs), and tells that they are a stored table, such as a store's, which is then read and not written again. Without one the chunks
+    are stored first, as their vectors may have to be made.
     """
-    chunks, queries = stored(chunks), stored(queries)
+    chunks, queries = chunks if index is not None else stored(chunks), stored(queries)
     seen = chunks if pin is None else chunks.filter(pin)
     near = dense.top_k(seen, queries, settings.fetch, "id", "vector", "query_id")
     if index is None or not (pin is None or pin_scope == "dense"):
         index = lexical.build(chunks if pin_scope == "dense" else seen, "id", "content")
-    words = lexical.search(index, queries, settings.fetch, "id", "query_id")
+    search = index.search if isinstance(index, inverted.InvertedIndex) else partial(lexical.search, index)
+    words = search(queries, settings.fetch, "id", "query_id")
     # What the legs found meets its content; a content that a leg found more than once counts by its best rank.
     content = chunks.join(near.select("id").unionByName(words.select("id")).distinct(), "id", "left_semi").select("id", F.xxhash64(F.coalesce("content", F.lit(""))).alias("said"), "vector")
     content = stored(content.withColumn("one", F.min("id").over(Window.partitionBy("said"))))
@@ -53,9 +58,9 @@ def hybrid(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(
     return scored.join(chunks.drop("vector", "score"), "id")
 
 
-def answer_passages(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def answer_passages(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), index: Index | None = None) -> DataFrame:
     """``hybrid``, reranked, expanded to parents and reranked again: at most five passages a query."""
-    found = hybrid(chunks, queries, settings).join(queries.select("query_id", F.col("text").alias("question")), "query_id")
+    found = hybrid(chunks, queries, settings, index=index).join(queries.select("query_id", F.col("text").alias("question")), "query_id")
     first = fusion.rerank(found, overlap(F.col("question"), F.col("content")), settings.rerank_k)
     parents = fusion.expand_to_parents(first)
     again = parents.withColumn("score", F.col("retrieval_score"))
@@ -71,13 +76,13 @@ def prompts(passages: DataFrame, queries: DataFrame, limit: int = context.CONTEX
     return each.select("query_id", mode.alias("mode"), F.when(mode == "grounded", context.prompt(F.col("text"), F.col("context"))).otherwise(general(F.col("text"))).alias("prompt"))
 
 
-def ask(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), generator: str = "echo_stand_in") -> DataFrame:
+def ask(chunks: DataFrame, queries: DataFrame, settings: Settings = Settings(), generator: str = "echo_stand_in", index: Index | None = None) -> DataFrame:
     """``query_id, mode, prompt, answer, citations`` (numbered, as text) of every query, by a registered generator.
 
     Questions that are blank or longer than ``context.QUESTION_LENGTH`` are left out, as the service refuses them.
     """
     asked = stored(context.valid_questions(queries))
-    passages = stored(answer_passages(chunks, asked, settings))
+    passages = stored(answer_passages(chunks, asked, settings, index))
     cited = context.citations(passages).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "citation"))).alias("c"))
     said = prompts(passages, asked, general=context.general_prompt).withColumn("answer", generate(F.col("prompt"), generator)).join(cited, "query_id", "left")
     none = F.array().cast("array<string>")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.operators import replicate
+from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.store import TableStore
 
 INTERVAL = "20 minutes"
@@ -40,24 +41,26 @@ def transition_stream(states: DataFrame, key: str, time: str, online: str) -> Da
     return slim.groupBy("key").applyInPandasWithState(step, "key string, time timestamp", "online boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def replicate_once(cloud: TableStore, local: TableStore, version: str | None = None) -> dict[str, int]:
+def replicate_once(cloud: TableStore, local: TableStore, version: str | None = None, index: InvertedIndex | None = None) -> dict[str, int]:
     """One run, and one commit if something changed: pulls what is new (with ``version`` also what changed there), drops what is stale.
 
-    Rows that stay are neither moved nor written. A local change that comes between raises ``Conflict``.
+    Rows that stay are neither moved nor written. The ``index`` then follows, also where an earlier run was lost before it did. A local change that comes between raises ``Conflict``.
     """
     there, state = cloud.read(), local.state()
     here = local.places(state, ["id"] if version is None else ["id", version])
     stale = replicate.stale(there, here).select("_file", "_pos")
     done = local.change(replicate.to_pull(there, here, "id", version).dropDuplicates(["id"]), stale, "id", state)
+    if index is not None:
+        index.follow(local)
     return {"vectors_added": done["added"], "vectors_deleted": done["deleted"] - done["replaced"]}
 
 
-def replicate_on(trigger: DataFrame, cloud: TableStore, local: TableStore, checkpoint: str, once: bool = False, version: str | None = None) -> StreamingQuery:
+def replicate_on(trigger: DataFrame, cloud: TableStore, local: TableStore, checkpoint: str, once: bool = False, version: str | None = None, index: InvertedIndex | None = None) -> StreamingQuery:
     """Replicates whenever ``trigger`` has rows, at most every 20 minutes; one checkpoint runs one query at a time."""
 
     def run(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            replicate_once(cloud, local, version)
+            replicate_once(cloud, local, version, index)
 
     out = trigger.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=INTERVAL)).start()

@@ -32,7 +32,7 @@ def test_bm25_both_ways(spark, texts, asked, tmp_path, monkeypatch):
     index = lexical.build(texts)
     one = rows(lexical.search(index, asked, 5))
     assert rows(lexical.search(index, asked, 5, most_terms=0)) == one and len(one) > 100
-    monkeypatch.setattr(lexical, "SCORES", 64)
+    monkeypatch.setattr(lexical, "HITS", 64)
     assert rows(lexical.search(index, asked, 5)) == one
     index.save(f"{tmp_path}/index")
     assert rows(lexical.search(lexical.Index.load(spark, f"{tmp_path}/index"), asked, 5)) == one
