@@ -2,8 +2,9 @@
 
 A word's two halves are its segments. One edit leaves one of them whole: the first at the start of the other word, or the second at its end. Words
 are dealt to shards by their first and by their last three characters, so that each shard's automaton holds every segment that its words can
-show, and is scanned by those words; hits are checked for place and length, then for the distance. Words of an end that very many share
-are not dealt: they meet by hashes of what is left when a character is taken away, of which no more words share one than an alphabet allows.
+show, and is scanned by those words; hits are checked for place and length, the other half by its own halves, then the distance. Words of an end
+that very many share are not dealt: they meet by hashes of what is left when a character is taken away, of which no more words share one
+than an alphabet allows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from lodestone.llm import arrays, components
 
 #: Least characters and occurrences of a word, how much more often its form must occur, and which runs lose a character.
 LEAST_CHARS, LEAST_N, TIMES, EVERY = 6, 5, 5, 199
-#: Words of a shard, and of an end from which on it is not dealt to one.
-SHARD, HOT = 16_384, 4_096
+#: Words of a shard; the most words of an end, and those of one segment and length in it, that are dealt to one.
+SHARD, HOT, ALIKE = 16_384, 65_536, 8_192
 #: Ends that every task may hold; more are joined.
 MOST_ENDS = 1 << 17
 _END = 3
@@ -117,20 +118,40 @@ def meets(word: str, other: str, kind: int) -> bool:
     return word.startswith(half) if kind == 0 else not word.startswith(half) and word.endswith(other[len(half) :])
 
 
+def _segment(word: str, kind: int) -> tuple[str, str]:
+    """A word's segment of a kind, and its other half."""
+    h = len(word) // 2
+    return (word[h:], word[:h]) if kind else (word[:h], word[h:])
+
+
 def scanned(words: list[str], ns: list[int], kinds: list[int]) -> Iterator[tuple[str, int, int, str]]:
     """``word, n_near, best_n, best`` of a shard's words that have near ones."""
-    found, held = ahocorasick.Automaton(), defaultdict(list)
+    found, held = ahocorasick.Automaton(), defaultdict(lambda: (defaultdict(list), defaultdict(list)))
     for j, (w, kind) in enumerate(zip(words, kinds)):
-        segment = w[len(w) // 2 :] if kind else w[: len(w) // 2]
+        segment, other = _segment(w, kind)
         found.add_word(segment, len(segment))
-        held[kind, segment, len(w)].append(j)
+        # The other half holds the edit, which leaves one of its own halves whole.
+        first, second = held[kind, segment, len(w)]
+        first[other[: len(other) // 2]].append(j)
+        second[other[len(other) // 2 :]].append(j)
     found.make_automaton()
     for v, kind in zip(words, kinds):
         near, size = [], len(v)
         for at, length in found.iter(v):
-            if at + 1 == (size if kind else length):  # at the end, or at the start
-                segment = v[at + 1 - length : at + 1]
-                near += [(-ns[j], words[j]) for k in (size - 1, size, size + 1) for j in held.get((kind, segment, k), ()) if one_apart(words[j], v) and meets(v, words[j], kind)]
+            if at + 1 != (size if kind else length):  # not at the end, or not at the start
+                continue
+            segment, rest = (v[size - length :], v[: size - length]) if kind else (v[:length], v[length:])
+            for k in (size - 1, size, size + 1):
+                if (kind, segment, k) not in held:
+                    continue
+                (first, second), q = held[kind, segment, k], (k - length) // 2
+                head, tail = rest[:q], rest[len(rest) - (k - length - q) :]
+                for j in first.get(head, ()):
+                    if one_apart(words[j], v) and (not kind or meets(v, words[j], kind)):
+                        near.append((-ns[j], words[j]))
+                for j in second.get(tail, ()):
+                    if not _segment(words[j], kind)[1].startswith(head) and one_apart(words[j], v) and (not kind or meets(v, words[j], kind)):
+                        near.append((-ns[j], words[j]))
         if near:
             n, best = min(near)
             yield v, len(near), -n, best
@@ -148,7 +169,8 @@ def _by_automaton(ends: DataFrame, n_ends: int, shard: int) -> DataFrame:
         return pa.table(dict(zip(("word", "n_near", "best_n", "best"), map(list, zip(*rows)))) if rows else {"word": [], "n_near": [], "best_n": [], "best": []}, schema=pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("best_n", pa.int64()), ("best", pa.string())]))
 
     dealt = ends.withColumn("shard", F.pmod(F.xxhash64("kind", "end"), F.lit(shards)))
-    return dealt.select("shard", "word", "n", "kind").groupBy("shard").applyInArrow(scan, _NEAR)
+    # A number of its own, as words are few bytes and much work: they must not be put together to a few tasks.
+    return dealt.select("shard", "word", "n", "kind").repartition(shards, "shard").groupBy("shard").applyInArrow(scan, _NEAR)
 
 
 def _less_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +199,18 @@ def _by_deletion(ends: DataFrame) -> DataFrame:
     return pairs.filter(near("word", "best", "kind")).select("word", F.lit(1).cast("bigint").alias("n_near"), "best_n", "best")
 
 
-def near_words(words: DataFrame, shard: int = SHARD, hot: int = HOT, most_ends: int = MOST_ENDS) -> DataFrame:
+def near_words(words: DataFrame, shard: int = SHARD, hot: int = HOT, alike: int = ALIKE, most_ends: int = MOST_ENDS) -> DataFrame:
     """``word, n_near, best_n, best`` of the ``word, n`` that have near words: how many, and the most frequent (of those the smallest)."""
     components.ensure_checkpoint_dir(words)
     kept = words.select("word", "n", F.monotonically_increasing_id().alias("id")).checkpoint()
     ends = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.substring("word", 1, _END).alias("end")), F.struct(F.lit(1).alias("kind"), F.substring("word", -_END, _END).alias("end"))))
     ends = kept.select("id", "word", "n", ends.alias("e")).select("id", "word", "n", "e.kind", "e.end")
-    sizes = ends.groupBy("kind", "end").agg(F.count(F.lit(1)).alias("size")).checkpoint()
+    half = F.floor(F.length("word") / 2).cast("int")
+    segment = F.when(F.col("kind") == 0, F.substring("word", F.lit(1), half)).otherwise(F.substring("word", half + 1, F.length("word")))
+    groups = ends.groupBy("kind", "end", F.length("word").alias("length"), segment.alias("segment")).agg(F.count(F.lit(1)).alias("size"))
+    sizes = groups.groupBy("kind", "end").agg(F.sum("size").alias("size"), F.max("size").alias("most")).checkpoint()
     n_ends = sizes.agg(F.sum("size")).first()[0] or 0
-    large = sizes.filter(F.col("size") > hot).select("kind", "end")
+    large = sizes.filter((F.col("size") > hot) | (F.col("most") > alike)).select("kind", "end")
     n_large = large.count()
     if not n_large:
         found = _by_automaton(ends, n_ends, shard)
@@ -208,17 +233,17 @@ def roots(forms: DataFrame) -> DataFrame:
             return now
 
 
-def variants(docs: DataFrame, shard: int = SHARD, hot: int = HOT, most_ends: int = MOST_ENDS) -> DataFrame:
+def variants(docs: DataFrame, shard: int = SHARD, hot: int = HOT, alike: int = ALIKE, most_ends: int = MOST_ENDS) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of every word of the ``vocabulary``.
 
     Words are runs of ``[A-Za-z\\u00C0-\\u00FF]`` of whole texts, of which only A to Z are lower-cased; a run whose crc32 after its document's id divides
     by ``EVERY`` loses a character. A null text has no words, a null id counts as an empty one, repeated rows count as often as they are there, and
     other columns are not read. Ties are broken by the words' code points. Words of any length are compared, in time in proportion to it. A
-    table without words gives none. What meets in one task is bounded by ``shard`` and ``hot``, which change no result.
+    table without words gives none. What meets in one task is bounded by ``shard``, ``hot`` and ``alike``, which change no result.
     """
     components.ensure_checkpoint_dir(docs)
     words = vocabulary(docs).checkpoint()
-    found = words.join(near_words(words, shard, hot, most_ends), "word", "left")
+    found = words.join(near_words(words, shard, hot, alike, most_ends), "word", "left")
     fits = F.coalesce(F.col("best_n") >= TIMES * F.col("n"), F.lit(False))
     found = found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best")).alias("form"), F.when(fits, F.col("best_n")).alias("form_n")).checkpoint()
     ends = roots(found.filter("form IS NOT NULL"))

@@ -74,11 +74,11 @@ def test_counts(table, texts):
     assert {r.word: r.n for r in spelling.vocabulary(table).collect()} == brute_words(texts)
 
 
-@pytest.mark.parametrize("shard, hot, most_ends", [(spelling.SHARD, spelling.HOT, 1 << 17), (5, 4, 1 << 17), (40, 0, 1 << 17), (5, 3, 0)])
-def test_variants(table, texts, shard, hot, most_ends):
+@pytest.mark.parametrize("shard, hot, alike, most_ends", [(spelling.SHARD, spelling.HOT, spelling.ALIKE, 1 << 17), (5, 20, 3, 1 << 17), (40, 0, 99, 1 << 17), (5, 9, 99, 0), (10, 999, 999, 0)])
+def test_variants(table, texts, shard, hot, alike, most_ends):
     short = [(i, t) for i, t in texts if i != 152]
     expected = brute(short) + [("q" * 2999 + "z", None, "q" * 2999 + "z", 40, 1, None), ("q" * 3000, "q" * 2999 + "z", "q" * 2999 + "z", 6, 1, 40)]
-    got = sorted((tuple(r) for r in spelling.variants(table, shard, hot, most_ends).collect()), key=lambda r: r[0])
+    got = sorted((tuple(r) for r in spelling.variants(table, shard, hot, alike, most_ends).collect()), key=lambda r: r[0])
     assert got == sorted(expected, key=lambda r: r[0])
     assert sum(r[1] is not None for r in got) > 10 and any(r[1] != r[2] and r[1] for r in got)
 
@@ -104,6 +104,17 @@ def test_distance():
             assert spelling.meets(a, b, 0) + spelling.meets(a, b, 1) == 1
 
 
+def test_scan_finds_all():
+    draw = random.Random(9)
+    words = sorted({"".join(draw.choice("abc") for _ in range(draw.randint(6, 9))) for _ in range(400)})
+    ns = [draw.randrange(5, 50) for _ in words]
+    both = [(w, n, k) for w, n in zip(words, ns) for k in (0, 1)]
+    found = dict.fromkeys(words, 0)
+    for w, k, _, _ in spelling.scanned(*map(list, zip(*both))):
+        found[w] += k
+    assert found == {w: sum(distance(w, v) == 1 for v in words) for w in words}
+
+
 def test_crc():
     draw = random.Random(6)
     spans = [bytes(draw.randrange(256) for _ in range(draw.choice([0, 1, 5, 64, 65, 300]))) for _ in range(200)]
