@@ -30,13 +30,14 @@ class Best:
     def _rows(self, points: pa.Array, query: np.ndarray, point: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([self.queries.take(pa.array(query)), points.take(pa.array(point)), pa.array(score)], ["query", "point", "score"])
 
-    def candidates(self, points: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
-        """Of scores of all ``points``, a row a query."""
+    def candidates(self, points: pa.Array, scores: np.ndarray, queries: np.ndarray | None = None) -> pa.RecordBatch:
+        """Of scores of all ``points``, a row a query; ``queries`` are the rows' numbers if they are not all."""
+        queries = np.arange(len(self.queries)) if queries is None else queries
         if scores.shape[1] >= self.k:
-            self.reach = np.maximum(self.reach, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k])
+            self.reach[queries] = np.maximum(self.reach[queries], np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k])
         # Equal scores at the cut all stay, for the ranking by id to come.
-        row, column = np.nonzero(scores >= self.reach[:, None] - _EQUAL)
-        return self._rows(points, row, column, scores[row, column])
+        row, column = np.nonzero(scores >= self.reach[queries][:, None] - _EQUAL)
+        return self._rows(points, queries[row], column, scores[row, column])
 
     def hits(self, points: pa.Array, query: np.ndarray, point: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
         """Of what each hit adds to the score of its query and point; only points of positive score are candidates."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import keys, models, text
 from lodestone.operators import chunking, context, dense, fusion, history, lexical, replicate, stages, tables
+from lodestone.operators.cells import VectorIndex
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.plans import retrieve
 from lodestone.schema import canonical
@@ -110,6 +111,26 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.top_k(points, points.filter("vec_id % 20 = 0"), 20)
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
+    """A vector index of all embeddings, and the query set."""
+    index, points = VectorIndex(spark, stages.folder(spark)), _table(spark, sf_dir, "embeddings")
+    index.build(points, "vec_id", "embedding")
+    return index, points.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@_query()
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest by an index that reads a few lists; a test holds its recall."""
+    index, asked = _cells(spark, sf_dir)
+    return index.search(asked, 20)
+
+
+@_query(f"WITH {_dense_sql('vec_id % 20 = 0', 'true', 20)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM dense")
+def dense_cells_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked = _cells(spark, sf_dir)
+    return index.search(asked, 20, exact=True)
+
+
 @_query(f"WITH {_dense_sql('vec_id % 20 = 0', 'label = 3', 5)} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM dense")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _table(spark, sf_dir, "embeddings")
