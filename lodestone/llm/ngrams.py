@@ -313,9 +313,11 @@ def score(docs: DataFrame, bytes_each: int = 24 << 20) -> DataFrame:
 def _stored(shards: DataFrame, buckets: int) -> DataFrame:
     """The shards as files in the shared checkpoint folder, bucketed so that joins by shard do not move them.
 
-    Only a named table can be bucketed; the name goes once the plan knows the files and their buckets.
+    Only a named table can be bucketed; the name goes once the plan knows the files and their buckets. Spark bounds the buckets of a table; a
+    larger input has larger ones, which the join sorts with spills.
     """
     spark, name = shards.sparkSession, f"shards_{uuid.uuid4().hex}"
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     shards.write.format("parquet").bucketBy(buckets, "shard").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
     table = spark.table(name)
     table.schema  # resolves the name

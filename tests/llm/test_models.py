@@ -124,6 +124,19 @@ def test_language_model_leaves_no_table(spark, docs):
     assert "SortMergeJoin" not in out._jdf.queryExecution().toString() or out._jdf.queryExecution().toString().count("Exchange") <= 2  # shards are not moved
 
 
+def test_more_partitions_than_buckets(spark, docs):
+    key = lambda df: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in df.collect())
+    whole = key(ngrams.score(docs, bytes_each=2000))
+    name = "spark.sql.sources.bucketing.maxBuckets"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        assert key(ngrams.score(docs, bytes_each=2000)) == whole
+    finally:
+        spark.conf.set(name, before)
+
+
+
 def test_language_model_edges(nulls, empty):
     assert ngrams.score(empty).count() == 0
     assert sorted(r.n_tokens for r in ngrams.score(nulls).collect()) == [1, 1, 3, 5, 5]
