@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,9 +21,14 @@ MOST_DELETED = 1 << 20
 SHORT_COMMITS = 16
 
 
+def id_bucket(digits: int, key: str = "id") -> Column:
+    """The first hex digits of the md5 of an id."""
+    return F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, digits)
+
+
 @dataclass(frozen=True)
 class File:
-    """A file by its path under ``data``, its rows, how many of them are deleted, and the range of its sources."""
+    """A file by its path under ``data``, its rows, how many of them are deleted, and the range of what it is clustered by."""
 
     path: str
     rows: int
@@ -50,11 +56,13 @@ class TableStore:
     Spark's own file index does; rows, also those that go, stay in Spark.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str = POINT):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, schema: str = POINT, bucket: int = 0):
+        """Files are clustered by ``source``, or, with ``bucket`` n, by the first n hex digits of the id's md5 and in that order."""
+        self.spark, self.root, self.schema, self.bucket = spark, root.rstrip("/"), schema, bucket
         self.commits = Commits(spark, root)
         self.types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
         self.names = list(self.types)
+        self.cluster = id_bucket(bucket) if bucket else F.col("source") if "source" in self.types else F.lit(None).cast("string")
 
     def version(self) -> int:
         """The newest version; 0 before the first."""
@@ -80,9 +88,18 @@ class TableStore:
     def read(self, version: int | None = None) -> DataFrame:
         return self.places(self.state(version)).select(*self.names)
 
-    def places(self, state: State, columns: list[str] | None = None, source: str | None = None) -> DataFrame:
-        """Live rows with ``_file`` and ``_pos``; ``source`` leaves out files that can't hold it."""
-        files = [f for f in state.files.values() if source is None or (f.low is not None and f.low <= source <= f.high)]
+    def files_within(self, state: State, within: list[str]) -> dict[str, File]:
+        """Files that can hold rows of some of these sources or buckets."""
+        wanted, found = sorted(within), {}
+        for name, f in state.files.items():
+            i = bisect_left(wanted, f.low) if f.low is not None else len(wanted)
+            if i < len(wanted) and wanted[i] <= f.high:
+                found[name] = f
+        return found
+
+    def places(self, state: State, columns: list[str] | None = None, within: list[str] | None = None) -> DataFrame:
+        """Live rows with ``_file`` and ``_pos``; ``within`` leaves out files that can't hold rows of some sources or buckets."""
+        files = list((state.files if within is None else self.files_within(state, within)).values())
         wanted = self.names if columns is None else columns
         parts = []
         for dirty in (False, True):
@@ -107,13 +124,14 @@ class TableStore:
         return self.places(State(now.version, {n: f for n, f in now.files.items() if n not in old.files}, now.deletes)).select(*self.names)
 
     def _written(self, df: DataFrame, max_records: int) -> dict[str, File]:
-        """Writes ``df`` as new files, clustered by source so that a filter on it skips files."""
+        """Writes ``df`` as new files, clustered so that a filter on source or bucket skips files."""
         folder = str(uuid.uuid4())
         have = df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in self.types.items()))
-        out = have.sortWithinPartitions("source") if "source" in self.names else have
+        if self.bucket:
+            have = have.repartitionByRange(self.cluster)
+        out = have.sortWithinPartitions(self.cluster) if self.bucket or "source" in self.names else have
         out.write.option("maxRecordsPerFile", max_records).parquet(f"{self.root}/data/{folder}")
-        source = F.col("source") if "source" in self.names else F.lit(None).cast("string")
-        each = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{folder}").groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.min(source).alias("low"), F.max(source).alias("high"))
+        each = self.spark.read.schema(self.schema).parquet(f"{self.root}/data/{folder}").groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"), F.min(self.cluster).alias("low"), F.max(self.cluster).alias("high"))
         return {r.name: File(f"{folder}/{r.name}", r.rows, 0, r.low, r.high) for r in each.toLocalIterator()}
 
     def change(self, add: DataFrame | None = None, gone: DataFrame | None = None, replace: str | None = None, state: State | None = None, max_records: int = 1_000_000) -> dict[str, int]:
@@ -166,7 +184,9 @@ class TableStore:
     def delete_by_source(self, source: str) -> int:
         """How many rows went. Only files whose range of sources holds it are read."""
         state = self.state()
-        return self.change(gone=self.places(state, ["source"], source).filter(F.col("source") == F.lit(source)).select("_file", "_pos"), state=state)["deleted"]
+        if source is None:
+            return 0
+        return self.change(gone=self.places(state, ["source"], None if self.bucket else [source]).filter(F.col("source") == F.lit(source)).select("_file", "_pos"), state=state)["deleted"]
 
     def delete_by_ids(self, ids: DataFrame) -> int:
         state = self.state()
@@ -186,7 +206,7 @@ class TableStore:
         old = State(state.version, {f.path.rpartition("/")[2]: f for f in worn.values()}, state.deletes)
         tasks = max(1, sum(f.rows - f.deleted for f in worn.values()) // max_records)
         rows = self.places(old).select(*self.names)
-        new = self._written(rows.repartitionByRange(tasks, "source") if "source" in self.names else rows.repartition(tasks), max_records)
+        new = self._written(rows.repartitionByRange(tasks, self.cluster) if self.bucket or "source" in self.names else rows.repartition(tasks), max_records)
         kept = [f for f in state.files.values() if f.path not in worn]
         # Places in files that are no longer named match nothing, so a folder stays only while one of its files does.
         deletes = state.deletes if any(f.deleted for f in kept) else {}

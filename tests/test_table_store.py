@@ -63,7 +63,7 @@ def test_second_writer_and_failed_writer(spark, store):
 
 def test_deletes_read_only_files_of_the_source(spark, store):
     store.publish(rows(spark, *range(100), source=lambda i: f"s{i // 10}").repartitionByRange(10, "source"))
-    places = store.places(store.state(), ["source"], "s3")
+    places = store.places(store.state(), ["source"], ["s3"])
     assert places.select("_file").distinct().count() < 10
     assert store.delete_by_source("s3") == 10 and store.delete_by_source("s3") == 0 and store.version() == 2
     assert store.delete_by_ids(rows(spark, 1, 2, 31, 500)) == 2 and store.count() == 88 and store.read().count() == 88
