@@ -18,6 +18,8 @@ ATOMIC = ("table", "image")
 #: How much larger than body text a heading's font is, for any heading and for levels 1 and 2.
 HEADING_RATIO, LEVEL_RATIOS = 1.15, (1.8, 1.4)
 HEADING_LENGTH = 200
+#: Rows' places that every task may hold; more are joined.
+MOST_PLACES = 200_000
 
 
 def body_size(spans: DataFrame) -> DataFrame:
@@ -44,9 +46,28 @@ def heading_level(ratio: Column) -> Column:
     return F.when(ratio >= LEVEL_RATIOS[0], 1).when(ratio >= LEVEL_RATIOS[1], 2).otherwise(3)
 
 
-def _ranged(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` in ranges of (source, order), each numbered in ``_part``, so that a large source is many ranges and no task's alone."""
-    return stored(rows.repartitionByRange("source", *order).withColumn("_part", F.spark_partition_id()))
+def _places(rows: DataFrame, order: tuple[str, ...], **more: Column) -> DataFrame:
+    """What orders and tells apart the rows of a source, without their texts, in ranges of (source, order), each numbered in ``_part``, so that a large
+    source is many ranges and no task's alone. Rows that agree in all of this are one place."""
+    told = rows.select("source", *order, _said(rows).alias("_said"), *(c.alias(n) for n, c in more.items()))
+    # Ranges are found by a sample, which must not read the texts again. What is ranged by source and order needs no other shuffle to lose its repeats.
+    return stored(stored(told).repartitionByRange("source", *order).distinct().withColumn("_part", F.spark_partition_id()))
+
+
+def _filled(rows: DataFrame) -> Column:
+    return F.coalesce(strip(F.col("content")) != "", F.lit(False)) if "content" in rows.columns else F.lit(True)
+
+
+def _said(rows: DataFrame) -> Column:
+    return F.xxhash64("content") if "content" in rows.columns else F.lit(0).cast("bigint")
+
+
+def _placed(rows: DataFrame, places: DataFrame, order: tuple[str, ...], *found: str) -> DataFrame:
+    """``rows`` with what was ``found`` for their places; texts stay where they are if the places are few enough to be sent to all tasks."""
+    places = stored(places.select(F.col("source").alias("_source"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col("_said"), *found))
+    same = [F.col("source").eqNullSafe(F.col("_source")), *(F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)), _said(rows).eqNullSafe(F.col("_said"))]
+    sent = F.broadcast(places) if places.count() <= MOST_PLACES else places
+    return rows.drop(*found).join(sent, reduce(and_, same)).drop("_source", "_said", *(f"_o{i}" for i in range(len(order))))
 
 
 def _carried(ranged: DataFrame, columns: dict[str, Column], over: Callable[[str], Column]) -> DataFrame:
@@ -57,22 +78,58 @@ def _carried(ranged: DataFrame, columns: dict[str, Column], over: Callable[[str]
     return ranged.join(tails, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_of")), "left").drop("_source", "_of")
 
 
-def breadcrumbs(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` (``source, level, content``) with ``heading`` and ``section_path``, the headings that hold at each row.
+def outline(rows: DataFrame, *order: str) -> DataFrame:
+    """``source``, what orders its rows, ``heading, section_path, section`` of every place (``source, level, type, page, content``).
 
-    A heading holds until one of its level or a higher one follows; pages do not end it. Each range of a source is walked alone; what holds
-    at its start comes from a row for each range before it.
+    A heading holds until one of its level or a higher one follows; pages do not end it. A heading, another path or another page begins a
+    section; tables and images are in the one before and begin none. Sections are numbered from 0. Each range of a source is walked alone;
+    what holds at its start comes from a row for each range before it. Of texts only those of headings move.
     """
-    so_far = Window.partitionBy("source", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = {f"_h{k}": F.max(F.when(F.col("level") == k, F.struct(F.struct(*order).alias("at"), F.col("content").alias("said")))) for k in (1, 2, 3)}
-    rows = _carried(_ranged(rows, *order), last, F.max)
-    rows = rows.withColumns({n: F.coalesce(c.over(so_far), F.col(n)) for n, c in last.items()})
-    later = lambda k, j: F.col(f"_h{j}").isNull() | (F.col(f"_h{k}.at") > F.col(f"_h{j}.at"))
-    holds = {k: F.col(f"_h{k}").isNotNull() & reduce(and_, (later(k, j) for j in range(1, k)), F.lit(True)) for k in (1, 2, 3)}
-    parts = F.array(*(F.when(holds[k], F.col(f"_h{k}.said")) for k in (1, 2, 3)))
-    shown = F.filter(parts, lambda x: x.isNotNull())
-    heading = F.coalesce(F.try_element_at(shown, F.lit(-1)), F.lit(""))
-    return rows.withColumns({"section_path": F.array_join(shown, " > "), "heading": heading}).drop("_part", *last)
+    return _outlined(_headed(rows, order), order).drop("_said", "_n")
+
+
+def _headed(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Places with all that an outline needs."""
+    atomic, heading = (F.coalesce(c, F.lit(False)) for c in (F.col("type").isin(*ATOMIC), F.col("type") == "heading"))
+    return _places(rows, order, level=F.col("level"), page=F.col("page"), _atomic=atomic, _whole=atomic & _filled(rows), _begin=heading, _head=F.when(F.col("level").isNotNull(), F.col("content")))
+
+
+def _path(last: dict[int, Column]) -> tuple[Column, Column]:
+    """The path and the innermost heading of the last headings of each level (``at, said``)."""
+    later = lambda k, j: last[j].isNull() | (last[k]["at"] > last[j]["at"])
+    holds = {k: last[k].isNotNull() & reduce(and_, (later(k, j) for j in range(1, k)), F.lit(True)) for k in last}
+    shown = F.filter(F.array(*(F.when(holds[k], last[k]["said"]) for k in last)), lambda x: x.isNotNull())
+    return F.array_join(shown, " > "), F.coalesce(F.try_element_at(shown, F.lit(-1)), F.lit(""))
+
+
+def _outlined(places: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    over = Window.partitionBy("source", "_part").orderBy(*order, "_said")
+    so_far, earlier = over.rowsBetween(Window.unboundedPreceding, 0), over.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order, "_said").alias("at")
+    last = {f"_h{k}": F.max(F.when(F.col("level") == k, F.struct(at, F.col("_head").alias("said")))) for k in (1, 2, 3)}
+    before = {"_text": F.max(F.when(~F.col("_atomic"), F.struct(at, "page")))}
+    rows = _carried(places, last | before, F.max)
+    start = _path({k: F.col(f"_h{k}") for k in (1, 2, 3)})[0]
+    rows = rows.withColumns({f"_n{k}": F.coalesce(last[f"_h{k}"].over(so_far), F.col(f"_h{k}")) for k in (1, 2, 3)} | {"_start": start, "_text": F.coalesce(before["_text"].over(earlier), F.col("_text"))})
+    path, heading = _path({k: F.col(f"_n{k}") for k in (1, 2, 3)})
+    rows = rows.withColumns({"section_path": path, "heading": heading})
+    # Only headings change the path, and they are texts: the row before tells that of the text before.
+    other = ~F.col("section_path").eqNullSafe(F.coalesce(F.lag("section_path").over(over), F.col("_start"))) | ~F.col("page").eqNullSafe(F.col("_text.page"))
+    begins = F.when(F.col("_atomic") | F.col("_text").isNull(), 0).otherwise((F.col("_begin") | other).cast("int"))
+    rows = rows.select("source", *order, "_said", "_part", "section_path", "heading", begins.alias("_begins"), F.col("_whole").cast("int").alias("_whole"))
+    rows = _carried(rows, {"_earlier": F.sum("_begins"), "_wholes": F.sum("_whole")}, F.sum)
+    running = lambda c, start, frame: F.coalesce(start, F.lit(0)) + F.coalesce(F.sum(c).over(frame), F.lit(0))
+    section, n = running("_begins", "_earlier", so_far), running("_whole", "_wholes", earlier)
+    return rows.select("source", *order, "_said", "heading", "section_path", section.cast("bigint").alias("section"), n.cast("bigint").alias("_n"))
+
+
+def breadcrumbs(rows: DataFrame, *order: str, numbered: bool = False) -> DataFrame:
+    """``rows`` with the ``heading`` and ``section_path`` of their ``outline``; ``numbered``: with ``_section`` and ``_n`` too, which spare a chunker walks of its own."""
+    need = {c: F.lit(None).cast("string") for c in ("type", "page") if c not in rows.columns}
+    found = _outlined(_headed(rows.withColumns(need) if need else rows, order), order).groupBy("source", *order, "_said").agg(F.max(F.struct("section", "_n", "section_path", "heading")).alias("o"))
+    numbers = [F.col("o.section").alias("_section"), F.col("o._n").alias("_n")] if numbered else []
+    found = found.select("source", *order, "_said", "o.section_path", "o.heading", *numbers)
+    return _placed(rows, found, order, "section_path", "heading", *(["_section", "_n"] if numbered else []))
 
 
 def sections(rows: DataFrame, *order: str) -> DataFrame:
@@ -80,22 +137,31 @@ def sections(rows: DataFrame, *order: str) -> DataFrame:
 
     Each range of a source is walked alone: its first row is compared with the last one of the range before, and its sections follow those.
     """
-    over = Window.partitionBy("source", "_part").orderBy(*order)
-    ranged = _carried(_ranged(rows, *order), {"_last": F.max(F.struct(F.struct(*order).alias("at"), "section_path", "page"))}, F.max)
+    places = _places(rows, order, page=F.col("page"), _head=F.col("type") == "heading", _path=F.xxhash64("section_path"))
+    over = Window.partitionBy("source", "_part").orderBy(*order, "_said")
+    ranged = _carried(places, {"_last": F.max(F.struct(F.struct(*order, "_said").alias("at"), "_path", "page"))}, F.max)
     before = lambda c: F.when(F.row_number().over(over) == 1, F.col(f"_last.{c}")).otherwise(F.lag(c).over(over))
     first = (F.row_number().over(over) == 1) & F.col("_last").isNull()
-    begins = (F.col("type") == "heading") | ~F.col("section_path").eqNullSafe(before("section_path")) | ~F.col("page").eqNullSafe(before("page"))
+    begins = F.coalesce("_head", F.lit(False)) | ~F.col("_path").eqNullSafe(before("_path")) | ~F.col("page").eqNullSafe(before("page"))
     ranged = ranged.withColumn("_begins", F.when(first, 0).otherwise(begins.cast("int"))).drop("_last")
     counted = _carried(ranged, {"_earlier": F.sum("_begins")}, F.sum)
     section = F.coalesce("_earlier", F.lit(0)) + F.sum("_begins").over(over.rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("section", section.cast("bigint")).drop("_begins", "_earlier", "_part")
+    counted = counted.withColumn("section", section.cast("bigint"))
+    return _placed(rows, counted.groupBy("source", *order, "_said").agg(F.max("section").alias("section")), order, "section")
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``_n``, their number in their source from 0."""
+    over = Window.partitionBy("source", "_part").orderBy(*order, "_said").rowsBetween(Window.unboundedPreceding, 0)
+    counted = _carried(_places(rows, order), {"_earlier": F.count(F.lit(1))}, F.sum)
+    return _placed(rows, counted.withColumn("_n", F.coalesce("_earlier", F.lit(0)) + F.row_number().over(over) - 1), order, "_n")
 
 
 def _atomic(rows: DataFrame, strategy: str, *order: str) -> DataFrame:
     """Tables and images, whole: each its own parent."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1
-    index = F.lit(keys.ATOMIC_START) + n
+    index = F.lit(keys.ATOMIC_START) + F.col("_n")
     kept = rows.filter(F.col("type").isin(*ATOMIC) & (strip(F.col("content")) != ""))
+    kept = kept if "_n" in rows.columns else _numbered(kept, *order)
     return kept.select("content", "page", "type", "source", "heading", "section_path", F.col("content").alias("parent_content"), keys.parent_id(F.col("source"), F.col("page"), F.col("section_path"), index).alias("parent_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.lit(strategy).alias("strategy"))
 
 
@@ -105,9 +171,12 @@ def hierarchical(rows: DataFrame, *order: str, child: tuple[int, int] = (512, 80
     A section's texts are cut to parents and each parent to children, which carry it; tables and images stay whole. Metadata is
     that of a section's first block.
     """
-    text = sections(rows.filter(~F.col("type").isin(*ATOMIC)), *order)
+    text = rows.filter(~F.col("type").isin(*ATOMIC))
+    text = text.withColumnRenamed("_section", "section") if "_section" in rows.columns else sections(text, *order)
     each = F.struct(*order, "content", "page", "type", "heading", "section_path")
-    grouped = text.groupBy("source", "section").agg(F.array_sort(F.collect_list(each)).alias("b"))
+    # A number of its own: cutting is much work for few bytes, so partitions must not be put together by their size.
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = text.repartition(spread, "source", "section").groupBy("source", "section").agg(F.array_sort(F.collect_list(each)).alias("b"))
     joined = F.array_join(F.transform("b", lambda x: x["content"]), "\n\n")
     grouped = grouped.select("source", "section", joined.alias("whole"), F.col("b")[0].alias("m"))
     parents = grouped.select("source", "section", "m", F.posexplode(split_column(F.col("whole"), "recursive", *parent)).alias("p", "parent_content"))
@@ -121,7 +190,10 @@ def hierarchical(rows: DataFrame, *order: str, child: tuple[int, int] = (512, 80
 
 def flat(rows: DataFrame, how: str, size: int, overlap: int, *order: str) -> DataFrame:
     """Each text block cut alone, by ``recursive`` or ``fixed``; tables and images pass. No parents."""
-    cut = rows.filter(~F.col("type").isin(*ATOMIC)).withColumn("c", split_column(F.col("content"), how, size, overlap)).withColumn("total_chunks", F.size("c"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    text = rows.filter(~F.col("type").isin(*ATOMIC))
+    text = text.repartition(cores) if len(rows.inputFiles()) < cores else text
+    cut = text.withColumn("c", split_column(F.col("content"), how, size, overlap)).withColumn("total_chunks", F.size("c"))
     none = F.lit(None).cast("string")
     out = cut.select(F.posexplode("c").alias("chunk_index", "content"), "page", "type", "source", "heading", "section_path", none.alias("parent_content"), none.alias("parent_id"), "total_chunks", F.lit(how).alias("strategy"))
     return out.select("content", "page", "type", "source", "heading", "section_path", "parent_content", "parent_id", "chunk_index", "total_chunks", "strategy").unionByName(_atomic(rows, "none", *order).withColumns({"parent_content": none, "parent_id": none}))

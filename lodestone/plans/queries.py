@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import keys, models, text
 from lodestone.operators import chunking, context, dense, fusion, history, lexical, replicate, stages, tables
 from lodestone.operators.cells import VectorIndex
+from lodestone.operators.digests import Digests, replicate_by_digests
 from lodestone.operators.inverted import InvertedIndex
+from lodestone.operators.pages import Pages
+from lodestone.operators.store import TableStore
 from lodestone.plans import retrieve
 from lodestone.schema import canonical
 from lodestone.streaming import sync
@@ -275,6 +278,48 @@ def export_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate.page_of(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100, 50)
 
 
+_PAGE = "SELECT doc_id, source, (SELECT count(*) FROM documents) AS total, 150 < (SELECT count(*) FROM documents) AS has_more FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100"
+
+
+@_query(f"SELECT * FROM ({_PAGE}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1")
+def export_page_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page less what repeats a source in it; ``total`` and ``has_more`` are of all rows."""
+    return replicate.export_page(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "source", 100, 50)
+
+
+@_query(_PAGE)
+def export_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page from ordered files, which are written first."""
+    pages = Pages(spark, stages.folder(spark))
+    pages.write(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return pages.page(100, 50)
+
+
+@_query(f"WITH {_REPLICAS} SELECT * FROM cloud")
+def sync_by_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The local store after a replication that reads differing buckets only."""
+    sides = []
+    for rows in _replicas(spark, sf_dir):
+        folder, schema = stages.folder(spark), ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+        sides.append((TableStore(spark, f"{folder}/store", schema, bucket=2), Digests(spark, f"{folder}/tree", ("id", "version"))))
+        sides[-1][0].publish(rows)
+    (cloud, there), (local, here) = sides
+    replicate_by_digests(cloud, local, there, here, "version")
+    return local.read()
+
+
+@_query(f"WITH {_REPLICAS}, kept AS (SELECT * FROM local WHERE label <> 1) SELECT * FROM kept k WHERE NOT EXISTS (SELECT 1 FROM cloud c WHERE c.label = 5 AND c.id = k.id) UNION ALL SELECT * FROM cloud WHERE label = 5")
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after an upsert of rows that changed, a delete and a compaction."""
+    cloud, local = _replicas(spark, sf_dir)
+    store = TableStore(spark, stages.folder(spark), ", ".join(f"{n} {t}" for n, t in local.dtypes))
+    store.publish(local)
+    store.upsert(cloud.filter("label = 5"))
+    store.delete_where(F.col("label") == 1)
+    store.compact()
+    return store.read()
+
+
 @_query(f"""WITH {_CHUNKS}, p AS (SELECT md5(source || '|' || page || '|' || substr(content, 1, 80)) AS hash, max_by(e.embedding, id) AS embedding FROM c JOIN embeddings e ON e.vec_id = c.id GROUP BY 1)
     SELECT c.id, p.embedding IS NOT NULL AS has_vector, coalesce(round(p.embedding[1]::DOUBLE, 6), 0) AS first FROM c LEFT JOIN p ON md5(source || '|' || page || '|' || substr(content, 1, 80)) = p.hash""")
 def export_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,12 +381,12 @@ _BLOCK_SQL = """d AS (SELECT *, split_part(text, chr(10), 1) AS line, coalesce(s
 
 @_query(f"WITH {_BLOCK_SQL} SELECT source, ord, heading, section_path FROM p")
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.breadcrumbs(_blocks(spark, sf_dir), "ord").select("source", "ord", "heading", "section_path")
+    return chunking.outline(_blocks(spark, sf_dir), "ord").drop("section")
 
 
 @_query(f"WITH {_BLOCK_SQL} SELECT source, ord, section::BIGINT AS section FROM s")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.sections(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord"), "ord").select("source", "ord", "section")
+    return chunking.outline(_blocks(spark, sf_dir), "ord").select("source", "ord", "section")
 
 
 @_query(f"WITH {_BLOCK_SQL} SELECT CASE WHEN head THEN 'heading' ELSE 'text' END AS type, count(*) AS n FROM b GROUP BY 1")
@@ -448,17 +493,17 @@ def rag_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunker("recursive")(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord"), "ord")
+    return chunking.chunker("recursive")(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord", numbered=True), "ord")
 
 
 @_query()
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunker("fixed")(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord"), "ord")
+    return chunking.chunker("fixed")(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord", numbered=True), "ord")
 
 
 @_query()
 def chunk_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunker("hierarchical")(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord"), "ord")
+    return chunking.chunker("hierarchical")(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord", numbered=True), "ord")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Golden cases and invariants of the retrieval operators."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,6 +116,32 @@ def test_sections_and_breadcrumbs(spark):
     assert [r.section_path for r in got] == ["X", "X > Y", "X > Z", "X > Z", "W"] and [r.heading for r in got] == ["X", "Y", "Z", "Z", "W"]
 
 
+def test_numbered_walk_is_that_of_the_chunkers(spark):
+    draw = random.Random(7)
+    rows = []
+    for i in range(400):
+        kind = draw.choice(["heading", "text", "text", "table", "image", "bullet"])
+        rows.append((draw.choice(["a", "b", None]), i, draw.choice([1, 1, 2, None]), kind, draw.choice([1, 2, 3]) if kind == "heading" else None, draw.choice(["", "  ", None, "word", "some words"])))
+    table = spark.createDataFrame(rows, "source string, ord int, page int, type string, level int, content string").repartition(5)
+    plain, walked = chunking.breadcrumbs(table, "ord"), chunking.breadcrumbs(table, "ord", numbered=True)
+    for strategy in chunking.available_strategies():
+        a, b = (sorted(map(str, chunking.chunker(strategy)(x, "ord").collect())) for x in (plain, walked))
+        assert a == b and len(a) > 50
+    section = {(r.source, r.ord): r.section for r in chunking.sections(plain.filter("type NOT IN ('table', 'image')"), "ord").collect()}
+    outline = {(r.source, r.ord): r.section for r in chunking.outline(table, "ord").collect()}
+    assert len(outline) == 400 and all(outline[k] == v for k, v in section.items())
+    # The plain walk.
+    last, begun = {}, {}
+    crumbs = {(r.source, r.ord): r.section_path for r in plain.collect()}
+    for source, i, page, kind, level, _ in rows:
+        if kind in chunking.ATOMIC:
+            continue
+        here = (crumbs[source, i], page)
+        begun[source] = 0 if source not in last else begun[source] + (kind == "heading" or last[source] != here)
+        last[source] = here
+        assert section[source, i] == begun[source]
+
+
 def test_blocks_from_spans(spark):
     spans = [(1, 0, 0, 0, "Title", 20.0), (1, 1, 0, 0, "some body ", 10.0), (1, 1, 0, 1, "text", 10.0), (1, 2, 0, 0, "- an item", 10.0), (1, 3, 0, 0, "Sub", 12.0), (1, 4, 0, 0, "  ", 10.0), (1, 5, 0, 0, "more", 10.0)]
     table = spark.createDataFrame([("s", *x) for x in spans], "source string, page int, block int, line int, span int, text string, size double")
