@@ -53,6 +53,11 @@ def preview(text: Column) -> Column:
     return F.when((F.size(lines) > 3) | (F.length(text) > 300), F.array_join(F.slice(lines, 1, 3), "\n")).otherwise(text)
 
 
+def short_section(section: Column) -> Column:
+    """A section's first 22 characters, and that more follow."""
+    return F.when(F.length(section) > 22, F.concat(F.substring(section, 1, 22), F.lit("…"))).otherwise(section)
+
+
 def breadcrumb(section: Column) -> Column:
     return F.split(section, r"\s*[>/]\s*")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.numbers import round_binary
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -31,6 +33,11 @@ def highlight_box(bbox: Column, width: Column, height: Column) -> Column:
     return F.array(*(F.round(bbox[i] / (width if i % 2 == 0 else height), 4) for i in range(4)))
 
 
+def rounded_box(bbox: Column) -> Column:
+    """A box of four numbers to two places; what has not four is null."""
+    return F.when(F.size(bbox) == 4, F.transform(bbox, lambda v: round_binary(v.cast("double"), 2)))
+
+
 def box_text(bbox: Column) -> Column:
     """A box as JSON, as payloads keep it; null stays."""
     return F.to_json(bbox)

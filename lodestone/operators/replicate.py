@@ -135,6 +135,12 @@ def downloads(sources: DataFrame, manifest: DataFrame, files: DataFrame) -> Data
     return named.join(sources.select(F.col("source").alias("filename")).distinct(), "filename", "left_semi").join(files.select("filename"), "filename", "left_anti")
 
 
+def membership(names: DataFrame, points: DataFrame, key: str = "source") -> tuple[DataFrame, DataFrame]:
+    """``names`` that some point has, and those that none has."""
+    have = points.select(key).distinct()
+    return names.join(have, key, "left_semi"), names.join(have, key, "left_anti")
+
+
 def last_log(log: DataFrame, keep: int = 50) -> DataFrame:
     return log.orderBy(F.col("timestamp").desc()).limit(keep)
 

@@ -38,10 +38,14 @@ def ingest(store: TableStore, blocks: DataFrame, *order: str, strategy: str = "h
     return counts.asDict() | {"version": version}
 
 
-def delete_file(stores: dict[str, TableStore], source: str) -> dict[str, int]:
-    """Removes a file from each store; raises if none has it. Returns how many rows went from each."""
+def delete_file(stores: dict[str, TableStore | None], source: str, online: bool = True) -> dict[str, int]:
+    """Removes a file from each store; raises if none has it, if a store is not configured (None), or offline. Returns how many rows went from each."""
     if not source:
         raise ValueError("a file name is needed")
+    if not online:
+        raise ConnectionError("files are deleted online only")
+    if missing := [name for name, store in stores.items() if store is None]:
+        raise ConnectionError(f"not configured: {', '.join(missing)}")
     gone = {name: store.delete_by_source(source) for name, store in stores.items()}
     if not any(gone.values()):
         raise LookupError(f"no chunks of {source}")

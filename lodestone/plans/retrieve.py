@@ -67,6 +67,13 @@ def answer_passages(chunks: DataFrame, queries: DataFrame, settings: Settings =
     return fusion.rerank(again, overlap(F.col("question"), F.col("content")), settings.rerank_k)
 
 
+def offline(chunks: DataFrame, queries: DataFrame, reranker: bool = True, k: int = 5, settings: Settings = Settings(), index: Index | None = None) -> DataFrame:
+    """What an answer without a generator shows: with a ``reranker`` the passages that ``answer_passages`` picks, else the first ``k`` chunks as retrieved."""
+    if reranker:
+        return answer_passages(chunks, queries, settings, index)
+    return hybrid(chunks, queries, settings, index=index).filter(F.col("rank") <= k)
+
+
 def prompts(passages: DataFrame, queries: DataFrame, limit: int = context.CONTEXT_LIMIT, general: Callable[[Column], Column] = lambda question: question) -> DataFrame:
     """``query_id, mode, prompt`` of every query, also of those without a passage; ``general`` makes theirs of the question."""
     packed = context.packed(context.within_limit(context.blocks(passages), limit))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.numbers import round_binary
+
 BLOCK = "content string, page int, type string, source string, heading string, section_path string, bbox array<double>, page_width double, page_height double, image_path string"
 CHUNK = BLOCK + ", parent_content string, parent_id string, chunk_index int, total_chunks int, strategy string, source_url string"
 SPAN = "source string, page int, block int, line int, span int, text string, size double"
@@ -39,6 +41,6 @@ def canonical(df: DataFrame, *keep: str) -> DataFrame:
     def value(name: str, kind: str, default: object) -> Column:
         have = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
         out = have if default is None else F.coalesce(have, F.lit(default))
-        return (F.round(out, 4) if name == "score" else out).alias(name)
+        return (round_binary(out, 4) if name == "score" else out).alias(name)
 
     return df.select(*keep, *(value(n, k, d) for n, (k, d) in CANONICAL.items() if n not in keep))

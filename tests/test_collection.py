@@ -41,6 +41,15 @@ def test_ask_and_cite(spark, filled):
     assert said["q1"]["mode"] == "grounded" and said["q1"].citations[0].startswith("[1] pumps.pdf, p. 1")
 
 
+def test_offline_with_and_without_a_reranker(spark, filled):
+    _, store, index = filled
+    queries = asked(spark, q1="when does the pump need grease")
+    plain = retrieve.offline(store.read(), queries, reranker=False, k=2, index=index).collect()
+    first = retrieve.hybrid(store.read(), queries, index=index).filter("rank <= 2").collect()
+    assert sorted((r.id, r["rank"]) for r in plain) == sorted((r.id, r["rank"]) for r in first) and len(plain) == 2
+    assert retrieve.offline(store.read(), queries, index=index).filter("rank = 1").first().source == "pumps.pdf"
+
+
 def test_the_index_follows_the_store(spark, filled):
     _, store, index = filled
     queries, find = asked(spark, q="anchor grease rudder"), lambda: {(r.id, r.score) for r in index.search(asked(spark, q="anchor grease rudder"), 10).collect()}
