@@ -32,6 +32,9 @@ SECTION = 4
 REACH = 2
 LONG_WORD, INNER, LEAST_INNER = 48, 16, 24
 LONGEST_LEAF = 0xFFFF
+#: Ranges of documents at most: the driver samples some 32 keys for each, and every task holds the key that each starts at.
+MOST_RANGES = 1 << 16
+_BRANCHES = pa.list_(pa.struct([("section", pa.int32()), ("paragraph", pa.int32())]))
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 
@@ -196,11 +199,11 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edited.append((text[: len(text) - half] + after[:half]).encode())
         new = trees(edited)
         out = [
-            {"doc_id": a[0][2], "n_chars": len(a[0][3]), "edited_sha256": hashlib.sha256(e).hexdigest(), "fingerprint": str(a[1]), "edited_fingerprint": str(t), "near_edited": likeness(a[1], t), "near_next": likeness(a[1], b[1])}
+            {"doc_id": a[0][2], "n_chars": len(a[0][3]), "edited_sha256": hashlib.sha256(e).hexdigest(), "fingerprint": str(a[1]), "edited_fingerprint": str(t), "near_edited": likeness(a[1], t), "near_next": likeness(a[1], b[1]), "edited_branches": [{"section": i, "paragraph": j} for i, j in edits(t, a[1])]}
             for (a, b), e, t in zip(pairs, edited, new)
         ]
         if out:
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edited_branches", _BRANCHES)]))
 
 
 def _bounds(docs: DataFrame, rows: int, parts: int, each: int = 32) -> tuple[tuple[int, int] | None, list[tuple[int, int]]]:
@@ -219,23 +222,25 @@ def _bounds(docs: DataFrame, rows: int, parts: int, each: int = 32) -> tuple[tup
 def compare_with_next(docs: DataFrame, bytes_each: int = 12 << 20) -> DataFrame:
     """Fingerprints each document and its edited text (its last half replaced from the next document) and compares them.
 
-    One row per input row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Documents
+    One row per input row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_branches`` (sections and
+    paragraphs of the edited text that the document's tree does not have: where the edit is). Documents
     follow each other by ``doc_id``, null last, rows of one id by a hash of their text; the last is followed by the first, a
     single one by itself. Null text is empty; an empty text is edited to an empty one. Columns besides ``doc_id`` and
     ``text`` are ignored. An empty table gives an empty result.
 
     Documents are dealt to ranges of (``doc_id``, hash) in one shuffle; the first document of each range also goes to the range before, so each
-    range can be walked in order alone. As ranges start at keys of documents, it is known by its key. The driver holds a key a range.
+    range can be walked in order alone. As ranges start at keys of documents, it is known by its key. There are at most ``MOST_RANGES``, whatever the input: a larger one
+    has larger ranges, which are sorted with spills and walked as a stream.
     """
     arrays.session_limits(docs)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumns({"rank": F.coalesce("doc_id", F.lit(int(LAST))), "tie": F.coalesce(F.xxhash64("text"), F.lit(0))})
     rows, total = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((total or 0) // bytes_each) + 1)
+    parts = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((total or 0) // bytes_each) + 1))
     dealt = docs.withColumn("place", F.explode(_places(*_bounds(docs, rows, parts))("rank", "tie")))
     dealt = dealt.select("doc_id", "text", "rank", "tie", F.shiftright("place", 1).alias("bucket"), (F.col("place") % 2 == 1).alias("guest"))
     ordered = dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "guest", "rank", "tie")
-    return ordered.select("bucket", "guest", "doc_id", "text").mapInArrow(_with_next, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.select("bucket", "guest", "doc_id", "text").mapInArrow(_with_next, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_branches array<struct<section:int,paragraph:int>>")
 
 
 def _places(first: tuple[int, int] | None, bounds: list[tuple[int, int]]):

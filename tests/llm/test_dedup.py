@@ -217,6 +217,54 @@ def test_merkle(docs, rows):
     assert len(got) == len(rows)
 
 
+def plain_tree(text):
+    """The fingerprint by plain loops (for texts without very long words)."""
+    whole, times, step = 1 << 64, 0x9E3779B97F4A7C15, []
+
+    def hashed(data):
+        x = (sum((b + 1) * pow(times, k, whole) for k, b in enumerate(data)) + len(data)) % whole
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor % whole
+        return x ^ (x >> 31)
+
+    digest = lambda data, n: hashlib.blake2b(data, digest_size=n).hexdigest()
+    found = list(re.finditer(rb"[^\x20\x09-\x0D]+", text))
+    h = [hashed(m[0]) for m in found]
+    for i, m in enumerate(found[:-1]):
+        least = all(h[i] < h[j] for j in range(max(0, i - 2), i)) and all(h[i] <= h[j] for j in range(i + 1, min(len(h), i + 3)))
+        if least or m[0][-1:] in b".!?":
+            step.append(m.end())
+    cuts = sorted({0, *step, *(m.end() for m in re.finditer(b"\n", text))} - {len(text)}) if text else []
+    leaves = {a: text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])}
+    sections, held, at = [], [], 0
+    lines = re.findall(rb"[^\n]*\n|[^\n]+", text)
+    for k, line in enumerate(lines):
+        d = digest(line, 8)
+        held.append((d, "".join(f"{hashed(x) >> 32:08x}{len(x):04x}" for a, x in leaves.items() if at <= a < at + len(line))))
+        at += len(line)
+        if k == len(lines) - 1 or int(d[8:], 16) % 4 == 0:
+            sections.append((digest("".join(x for x, _ in held).encode(), 16), held))
+            held = []
+    return digest("".join(x for x, _ in sections).encode(), 16) + "/" + ";".join(x[:8] + ":" + ",".join(d[:8] + below for d, below in ps) for x, ps in sections)
+
+
+def test_merkle_by_a_plain_tree(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    some = [t for t in texts if all(len(w) <= merkle.LONG_WORD for w in t.split())]
+    assert len(some) > 100 and [str(t) for t in merkle.trees(some)] == [plain_tree(t) for t in some]
+
+
+def test_merkle_tells_edited_branches(docs, rows, monkeypatch):
+    monkeypatch.setattr(merkle, "MOST_RANGES", 3)
+    some = 0
+    for r in merkle.compare_with_next(docs, bytes_each=500).collect():
+        own, new = merkle.parse(r.fingerprint), merkle.parse(r.edited_fingerprint)
+        assert [(x.section, x.paragraph) for x in r.edited_branches] == merkle.edits(new, own)
+        assert (r.edited_branches == []) == (own.root == new.root) or not set(new.sections) - set(own.sections)
+        some += len(r.edited_branches) > 0
+    assert some > 50
+
+
 def test_merkle_locates_edits():
     text = "\n".join(f"paragraph {i} says something of its own here" for i in range(40)).encode()
     a, b = merkle.trees([text, text.replace(b"paragraph 17 says", b"paragraph 17 sang")])
