@@ -496,7 +496,18 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunker("recursive")(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord", numbered=True), "ord")
 
 
-@_query()
+#: Lines gathered to chunks, told by the numbers of their first and last line; ``c`` has the lengths of all lines before one.
+_FIXED = r"""k AS MATERIALIZED (SELECT ord, page, source, CASE WHEN head THEN 'heading' ELSE 'text' END AS type, heading, section_path, [x FOR x IN string_split(content, chr(10)) IF x <> ''] AS w FROM p WHERE content IS NOT NULL),
+    z AS MATERIALIZED (SELECT *, len(w) AS n, [coalesce(list_sum([length(x) FOR x IN w[1:i]]), 0)::BIGINT FOR i IN range(0, len(w) + 1)] AS c FROM k),
+    walk AS (SELECT ord, 1::BIGINT AS i, 1::BIGINT AS s, NULL::BIGINT AS a, NULL::BIGINT AS b FROM z WHERE n > 0
+        UNION ALL SELECT ord, i + 1, CASE WHEN full_ THEN coalesce(list_min([j FOR j IN range(s + 1, i) IF c[i] - c[j] + i - j - 1 <= 50 AND c[i + 1] - c[j] + i - j <= 500]), i) ELSE s END, CASE WHEN full_ THEN s END, CASE WHEN full_ THEN i - 1 END
+            FROM (SELECT walk.ord, i, s, c, s < i AND c[i + 1] - c[s] + i - s > 500 AS full_ FROM walk JOIN z USING (ord) WHERE i <= n)),
+    told AS (SELECT ord, a, b FROM walk WHERE a IS NOT NULL UNION ALL SELECT z.ord, s, n FROM walk JOIN z USING (ord) WHERE i = n + 1 AND s <= n),
+    said AS (SELECT z.*, a, regexp_replace(array_to_string(w[a:b], chr(10)), '^\s+|\s+$', '', 'g') AS content FROM told JOIN z USING (ord))"""
+
+
+@_query(f"""WITH RECURSIVE {_BLOCK_SQL}, {_FIXED} SELECT content, page::INTEGER AS page, type, source, heading, section_path, NULL::VARCHAR AS parent_content, NULL::VARCHAR AS parent_id,
+    (row_number() OVER (PARTITION BY ord ORDER BY a) - 1)::INTEGER AS chunk_index, (count(*) OVER (PARTITION BY ord))::INTEGER AS total_chunks, 'fixed' AS strategy FROM said WHERE content <> ''""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunker("fixed")(chunking.breadcrumbs(_blocks(spark, sf_dir), "ord", numbered=True), "ord")
 
