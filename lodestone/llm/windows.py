@@ -6,7 +6,8 @@ planes, by hash, to the partition that knows the earliest owner of each window;
 an earlier window and, if asked for, where that one stands.
 
 Texts themselves are not sorted. Documents without a repeat stream through: a filter of bounded size tells them from those with
-one, which meet their positions in a hash join.
+one, which meet their positions in a hash join. It has as many partitions as the index, so that the positions which a task holds are
+those of ``bytes_each`` of text, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -229,10 +230,10 @@ def repeats(docs: DataFrame, units: Units, width: int, within: bool, sourced: bo
     sent = docs.select("owner", "row_key", "text").mapInArrow(_send(units, width, parts, within, sourced, sent_bytes), _PACKED)
     found = sent.repartitionById(parts, "part").mapInArrow(_resolve(parts, within, sourced), _PACKED)
     hits = found.repartitionById(parts, "part").mapInArrow(_gather, _HITS).checkpoint()
-    return _attached(docs, hits)
+    return _attached(docs, hits, parts)
 
 
-def _attached(docs: DataFrame, hits: DataFrame) -> DataFrame:
+def _attached(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame:
     """``docs`` with their ``hits``. Only rows that the filter can't rule out are shuffled; of others it says with certainty that they have none."""
     columns = docs.columns
     bit = F.pmod(F.xxhash64("owner", "row_key"), F.lit(FILTER_BITS))
@@ -240,7 +241,8 @@ def _attached(docs: DataFrame, hits: DataFrame) -> DataFrame:
     marked = docs.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(words), "_word", "left")
     marked = marked.withColumn("_maybe", F.expr("coalesce(_bits & shiftleft(1L, cast(_bit % 64 AS int)), 0L) <> 0"))
     without = marked.filter(~F.col("_maybe")).select(*columns, F.lit(None).cast("binary").alias("hits"))
-    rest = marked.filter("_maybe").select(*columns).join(hits.hint("shuffle_hash"), ["owner", "row_key"], "left")
+    dealt = lambda df: df.repartition(parts, "owner", "row_key")
+    rest = dealt(marked.filter("_maybe").select(*columns)).join(dealt(hits).hint("shuffle_hash"), ["owner", "row_key"], "left")
     return without.unionByName(rest)
 
 
