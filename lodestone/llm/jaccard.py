@@ -1,8 +1,11 @@
 """Near-dedup by the Jaccard similarity of word shingles, exact: every pair of at least ``SHARE`` is found and no other is linked.
 
-Texts of equal shingle sets are one class. A class's shingles are put in one order for all (rare first, by a sketch of bounded size),
-and two classes of similarity s share one of the first ``n - ceil(s * n) + 1`` of each. Classes meet by these; pairs whose sizes or places
-rule out the similarity are discarded, and all others are verified on their whole sets.
+Texts of equal shingle sets are one class. Classes meet by SimHash: those of one fingerprint, and those whose fingerprints the buckets and pivot
+tables of ``simhash`` link. These pairs are verified on their whole sets.
+
+SimHash of so few bits misses some pairs, so classes also meet in an exact way. A class's shingles are put in one order for all (rare first, by a sketch
+of bounded size), and two classes of similarity s share one of the first ``n - ceil(s * n) + 1`` of each. Classes meet by these; pairs whose sizes or
+places rule out the similarity are discarded, and all others are verified on their whole sets.
 
 Of a shingle that more than ``MOST`` classes have in front, first those two are compared with all others that stand in front of most such
 shingles: of a group of near copies these are the least changed. Of the other pairs, those that links have joined by then are left out, as
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import arrays, components
+from lodestone.llm import arrays, components, simhash
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
@@ -74,8 +77,8 @@ def _nodes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in arrays.passes(batches, "text"):
             sets = shingle_sets(data, offsets, width)
-            columns = [batch.column("doc_id"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bits"])
+            columns = [batch.column("doc_id"), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary()), pa.array(simhash.of_texts(data, offsets, width).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bits", "print"])
 
     return arrays.tidy(run)
 
@@ -297,6 +300,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
     return whole.select("a", "b", "x", "y").mapInArrow(_similar, "a bigint, b bigint").checkpoint()
 
 
+def met_by_simhash(classes: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` (``node`` of ``classes``) by SimHash's rule: classes of one fingerprint (``print``) with the first of them, first ones with those that links connect them to."""
+    prints = classes.groupBy("print").agg(F.min("node").alias("one"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    same = components.of_class(classes.select("node", "print"), prints, "print").filter("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    end = lambda c: prints.select(F.col("print").alias(f"print_{c}"), F.col("one").alias(f"one_{c}"))
+    links = simhash.links(prints.select(F.col("print").alias("bits"))).select(F.col("a").alias("print_a"), F.col("b").alias("print_b")).distinct()
+    far = links.join(end("a"), "print_a").join(end("b"), "print_b").select(F.col("one_a").alias("a"), F.col("one_b").alias("b"))
+    return same.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _gathered(fronts: DataFrame, classes: int, most: int, gathered: int) -> tuple[DataFrame, DataFrame]:
     """Of shingles in front of 2 to ``most`` classes ``members``; of those in front of more, a row a class: ``token, node, place, total``.
 
@@ -352,14 +365,15 @@ def groups(docs: DataFrame, width: int = SHINGLE, most: int = MOST, gathered: in
     Texts without words (or null) are one class. Classes are compared by a 64-bit hash of their sets, shingles by a 64-bit hash; a chance
     collision of two classes joins them wrongly with a probability of 2^-64 a pair. Repeated ids are one document for the caller.
     Sets are made again from the texts for each use: they are larger than the texts, and few are needed at once.
+    What SimHash links has one root when the blocks of common shingles meet, which then leave its pairs out.
     ``most``, ``gathered`` and ``block`` (see the module) choose how classes meet, not what is found.
     """
     components.ensure_checkpoint_dir(docs)
     arrays.session_limits(docs)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     texts = slim.select("text")
-    every = slim.mapInArrow(_nodes(width), "doc_id bigint, node bigint, n bigint, bits binary").checkpoint()
-    classes = every.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")).checkpoint()
+    every = slim.mapInArrow(_nodes(width), "doc_id bigint, node bigint, n bigint, bits binary, print bigint").checkpoint()
+    classes = every.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("print").alias("print")).checkpoint()
     levels = _sketch(texts.mapInArrow(_count_shingles(width), "part bigint, counts binary"))
     fronts = texts.mapInArrow(_fronts(levels, width), "token bigint, node bigint, place bigint")
     few, large = _gathered(fronts, classes.count(), most, gathered)
@@ -367,7 +381,7 @@ def groups(docs: DataFrame, width: int = SHINGLE, most: int = MOST, gathered: in
     large = large.select("token", "node", "place", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"))
     first = few.mapInArrow(_pairs(_small), "a bigint, b bigint")
     stars = _with_stars(large).mapInArrow(_pairs(_stars), "a bigint, b bigint")
-    found = _verified(first.unionByName(stars), texts, classes, width)
+    found = _verified(met_by_simhash(classes).unionByName(first).unionByName(stars), texts, classes, width)
     roots = components.connected(found)
     if not large.isEmpty():
         wide = classes.join(large.select("node").distinct(), "node", "left_semi")

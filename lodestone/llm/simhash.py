@@ -29,7 +29,8 @@ MOST = 1024
 PIVOTS = 24
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+def of_texts(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """Each row's fingerprint."""
     data = arrays.LOWER[data]
     data = np.where(arrays.SPACE[data], np.uint8(0x20), data)
     start, end, first = arrays.words(data, offsets)
@@ -63,7 +64,7 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarr
 def _fingerprint(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in arrays.passes(batches, "text"):
-            found = _fingerprints(data, offsets, width).view(np.int64)
+            found = of_texts(data, offsets, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "bits"])
 
     return arrays.tidy(run)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import jaccard
+from lodestone.llm import components, jaccard, simhash
 
 
 def shingles(text, width=5):
@@ -78,6 +78,28 @@ def test_stage_removes_copies_of_four_fifths(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in brute_groups(table).items() if i == r)
 
 
+def test_classes_meet_by_simhash(spark, rows, monkeypatch):
+    """Candidates connect exactly the texts that SimHash of the stage's width connects, and the stage verifies them."""
+    table = rows + [(1000 + i, t) for i, t in near_copies()]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    linked = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, jaccard.SHINGLE).collect()}
+    asked, verified, made, meet = [], jaccard._verified, [], jaccard.met_by_simhash
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *others: asked.append(pairs) or verified(pairs, *others))
+    monkeypatch.setattr(jaccard, "met_by_simhash", lambda classes: made.append((classes, meet(classes))) or made[0][1])
+    groups = {r.doc_id: r.component_id for r in jaccard.groups(docs).collect()}
+    (classes, pairs), = made
+    assert pairs.count() and not pairs.exceptAll(asked[0]).count()
+    least = {r.node: r.least for r in classes.collect()}
+    roots = {r.node: r.root for r in components.connected(pairs).collect()}
+    met, together = {}, {}
+    for node, doc in least.items():
+        met.setdefault(roots.get(node, node), set()).add(doc)
+        together.setdefault(linked[doc], set()).add(doc)
+    assert sorted(map(sorted, met.values())) == sorted(map(sorted, together.values()))
+    # SimHash alone would leave similar texts apart; the stage does not.
+    assert groups == brute_groups(table) and any(groups[a] == groups[b] and linked[a] != linked[b] for a in least.values() for b in least.values())
+
+
 def test_fingerprints_rule_out_no_similar_pair():
     """Sets around the least similarity, of many sizes: every similar pair stays open, and most of the others do not."""
     draw = np.random.default_rng(4)
