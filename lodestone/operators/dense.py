@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import batches as held
 from lodestone.operators import ranking
 
 QUERY_BLOCK, POINT_BLOCK = 1024, 4096
@@ -44,6 +45,7 @@ def _met(k: int):
             for i in range(batch.num_rows):
                 (query, q), (point, p) = (unit(rows.field("id"), rows.field("v")) for rows in (batch.column(c)[i].values for c in ("q_rows", "p_rows")))
                 yield ranking.Best(query, k).candidates(point, q @ p.T)
+        held.give_back()
 
     return met
 
@@ -57,6 +59,7 @@ def _passed(query: pa.Array, q: np.ndarray, k: int):
             point, p = unit(batch.column("id"), batch.column("v"))
             for a in range(0, len(point), each):
                 yield best.candidates(point.slice(a, each), q @ p[a : a + each].T)
+        held.give_back()
 
     return passed
 
@@ -67,6 +70,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     Filter ``points`` beforehand for a filtered search. Up to ``most_queries`` queries are sent to all tasks, which return the candidates of
     their points; more are dealt to blocks that meet blocks of points in one matrix product each. Rows without a vector are no candidates.
     """
+    held.bounded(points.sparkSession)
     plain = lambda df, id_: df.filter(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("v"))
     schema = ranking.candidates(*(df.schema[c].dataType.simpleString() for df, c in ((queries, query_key or key), (points, key))))
     asked = plain(queries, query_key or key).limit(most_queries + 1).toArrow().combine_chunks()
@@ -77,7 +81,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
         found = plain(points, key).mapInArrow(_passed(query, q, k), schema)
     else:
         blocks, n = _blocks(queries, query_key or key, vector, "q", QUERY_BLOCK)
-        held, _ = _blocks(points, key, vector, "p", POINT_BLOCK)
-        pairs = held.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "q").select("q_rows", "p_rows")
+        rows, _ = _blocks(points, key, vector, "p", POINT_BLOCK)
+        pairs = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "q").select("q_rows", "p_rows")
         found = pairs.mapInArrow(_met(k), schema)
     return ranking.ranked(found, k, "query_id", key)

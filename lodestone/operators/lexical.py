@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import batches as held
 from lodestone.functions import text
 from lodestone.operators import ranking
 from lodestone.operators.stages import stored
@@ -24,7 +25,7 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Query terms that every task may hold.
 MOST_TERMS = 200_000
 #: Hits scored at a time, and parts of a token's postings in the join.
-HITS, PARTS = 1 << 22, 64
+HITS, PARTS = 1 << 20, 64
 
 
 @dataclass(frozen=True)
@@ -108,10 +109,11 @@ def search(index: Index, queries: DataFrame, k: int, doc_key: str = "doc_id", qu
     """``query_key, doc_key, score, rank`` from an index. Only documents that share a token with a query are scored."""
     asked = query_terms(queries, query_key, content).join(index.vocabulary, "token")
     asked = asked.select(F.col(query_key).alias("query"), "token", "df", (F.col("times") * F.col("idf")).alias("weight"))
-    held = asked.limit(most_terms + 1).toArrow()
-    if held.num_rows <= most_terms:
+    held.bounded(asked.sparkSession)
+    few = asked.limit(most_terms + 1).toArrow()
+    if few.num_rows <= most_terms:
         types = (df.schema[c].dataType.simpleString() for df, c in ((asked, "query"), (index.terms, "doc")))
-        found = index.terms.mapInArrow(_passed(held, index.avgdl, k), ranking.candidates(*types))
+        found = index.terms.mapInArrow(_passed(few, index.avgdl, k), ranking.candidates(*types))
     else:
         found = _joined(index, asked).filter("score > 0")
     return ranking.ranked(found, k, query_key, doc_key)
@@ -154,6 +156,7 @@ def _passed(asked: pa.Table, avgdl: float, k: int):
                 entry = np.repeat(first[at[part]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 yield best.hits(batch.column("doc").slice(a, b - a), query[entry], np.repeat(doc[part] - a, m), np.repeat(value[part], m) * weight[entry])
                 a = b
+        held.give_back()
 
     return passed
 

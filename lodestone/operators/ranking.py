@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Scores that agree to so many places are equal, and ordered by id.
 PLACES = 9
 _EQUAL = 2 * 10.0**-PLACES
+#: Scores that a task remembers of all its batches, about.
+REMEMBERED = 1 << 20
 
 
 def candidates(query_type: str, point_type: str) -> str:
@@ -26,6 +28,23 @@ class Best:
     def __init__(self, queries: pa.Array, k: int):
         self.queries, self.k = queries, k
         self.reach = np.full(len(queries), -np.inf)
+        self._query, self._score, self._due = np.zeros(0, np.int64), np.zeros(0), 0
+
+    def _seen(self, query: np.ndarray, score: np.ndarray) -> None:
+        """Raises ``reach`` to the ``k``-th best of all batches, also where no batch has ``k`` of a query by itself. Each query and point comes once."""
+        if len(self.queries) * self.k > REMEMBERED:
+            return
+        self._query, self._score = np.concatenate([self._query, query]), np.concatenate([self._score, score])
+        if len(self._query) < self._due:
+            return
+        order = np.lexsort((-self._score, self._query))
+        query, score = self._query[order], self._score[order]
+        first = np.searchsorted(query, np.arange(len(self.queries) + 1))
+        full = np.flatnonzero(np.diff(first) >= self.k)
+        self.reach[full] = np.maximum(self.reach[full], score[first[full] + self.k - 1])
+        best = np.arange(len(query)) - first[query] < self.k
+        self._query, self._score = query[best], score[best]
+        self._due = 2 * len(self._query) + 4096
 
     def _rows(self, points: pa.Array, query: np.ndarray, point: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([self.queries.take(pa.array(query)), points.take(pa.array(point)), pa.array(score)], ["query", "point", "score"])
@@ -37,7 +56,10 @@ class Best:
             self.reach[queries] = np.maximum(self.reach[queries], np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k])
         # Equal scores at the cut all stay, for the ranking by id to come.
         row, column = np.nonzero(scores >= self.reach[queries][:, None] - _EQUAL)
-        return self._rows(points, queries[row], column, scores[row, column])
+        query, score = queries[row], scores[row, column]
+        self._seen(query, score)
+        some = np.flatnonzero(score >= self.reach[query] - _EQUAL)
+        return self._rows(points, query[some], column[some], score[some])
 
     def hits(self, points: pa.Array, query: np.ndarray, point: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
         """Of what each hit adds to the score of its query and point; only points of positive score are candidates."""
@@ -51,6 +73,9 @@ class Best:
         full = np.flatnonzero(np.diff(first) >= self.k)
         self.reach[full] = np.maximum(self.reach[full], score[order[first[full] + self.k - 1]])
         some = np.flatnonzero(score >= self.reach[query] - _EQUAL)
+        query, point, score = query[some], point[some], score[some]
+        self._seen(query, score)
+        some = np.flatnonzero(score >= self.reach[query] - _EQUAL)
         return self._rows(points, query[some], point[some], score[some])
 
 
