@@ -11,9 +11,10 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import batches
 from lodestone.functions.text import QUERY_PREFIX, tokenize
 
 Embed = Callable[[list[str]], np.ndarray]
@@ -56,6 +57,7 @@ def embed(text: Column, name: str = "hashed_stand_in", query: bool = False) -> C
         raise LookupError(f"no embedder {name!r}; there are {', '.join(sorted(_EMBEDDERS))}")
     load, size = _EMBEDDERS[name]
     prefix = QUERY_PREFIX if query else ""
+    batches.bounded(SparkSession.active())
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -66,6 +68,7 @@ def embed(text: Column, name: str = "hashed_stand_in", query: bool = False) -> C
             m = np.concatenate(rows) if rows else np.zeros((0, 1), np.float32)
             length = np.linalg.norm(m, axis=1, keepdims=True)
             yield pd.Series(list(np.divide(m, length, out=np.zeros_like(m), where=length > 0)), dtype=object)
+        batches.give_back()
 
     return run(text)
 
@@ -81,11 +84,13 @@ def generate(prompt: Column, name: str = "echo_stand_in") -> Column:
     if name not in _GENERATORS:
         raise LookupError(f"no generator {name!r}; there are {', '.join(sorted(_GENERATORS))}")
     load = _GENERATORS[name]
+    batches.bounded(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for part in parts:
             yield pd.Series(model([p or "" for p in part]), dtype=object)
+        batches.give_back()
 
     return run(prompt)
