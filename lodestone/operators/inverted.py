@@ -9,11 +9,16 @@ columns of its tokens' buckets, scores each query's most promising blocks, and t
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import batches as held
 from lodestone.operators import lexical, ranking
 from lodestone.operators.commits import Commits
 from lodestone.operators.stages import stored
@@ -109,8 +114,10 @@ class InvertedIndex:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), n_postings // PART + 1)
         # One shuffle: what is ranged by token and block needs no other to be gathered by them. A block bounds what is gathered.
         ranged = each.repartitionByRange(parts, "bucket", "token", "block")
-        postings = ranged.groupBy("bucket", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("doc", "row", "tf", "dl")).alias("docs"))
-        postings.sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{self.root}/postings/{segment}")
+        held.bounded(self.spark)
+        # Sorted by one number, which takes no comparisons. Should two keys share it, one may come as several rows, which searches add up.
+        postings = ranged.sortWithinPartitions(F.xxhash64("token", "block")).mapInArrow(_gathered, f"bucket int, token string, block bigint, n bigint, max_tf int, min_dl int, docs array<struct<doc:{rows.schema['doc'].dataType.simpleString()},row:bigint,tf:int,dl:int>>")
+        postings.write.partitionBy("bucket").parquet(f"{self.root}/postings/{segment}")
         known = self.spark.read.parquet(f"{self.root}/postings/{segment}").groupBy("bucket", "token").agg(F.sum("n").alias("df"))
         known.repartitionByRange(max(1, parts // 16), "bucket", "token").write.partitionBy("bucket").parquet(f"{self.root}/vocabulary/{segment}")
         return n_docs, n_tokens
@@ -171,6 +178,44 @@ class InvertedIndex:
         return ranking.ranked(self.scored(at, asked, pairs, buckets, most_terms), k, query_key, doc_key)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings that follow each other and are of one token and block as one row. The last ones of a batch may go on in the next."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest and _key(rest[0], 0) == _key(batch, batch.num_rows - 1):
+            rest.append(batch)
+            continue
+        whole = pa.concat_batches([*rest, batch])
+        new = np.zeros(whole.num_rows - 1, bool)
+        for c in ("block", "token", "bucket"):
+            column = whole.column(c)
+            new |= pc.not_equal(column.slice(1), column.slice(0, whole.num_rows - 1)).to_numpy(zero_copy_only=False)
+        at = np.concatenate(([0], np.flatnonzero(new) + 1))
+        rest = [whole.slice(int(at[-1]))]
+        if len(at) > 1:
+            yield _rows(whole.slice(0, int(at[-1])), at)
+    if rest:
+        whole = pa.concat_batches(rest)
+        yield _rows(whole, np.array([0, whole.num_rows]))
+    held.give_back()
+
+
+def _key(batch: pa.RecordBatch, row: int) -> list:
+    return [batch.column(c)[row].as_py() for c in ("bucket", "token", "block")]
+
+
+def _rows(postings: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of ``postings`` that starts at one of ``at`` (the last is their end)."""
+    first, names = pa.array(at[:-1]), ("doc", "row", "tf", "dl")
+    tf, dl = postings.column("tf").to_numpy(), postings.column("dl").to_numpy()
+    docs = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([postings.column(c) for c in names], names))
+    keys = [postings.column(c).take(first) for c in ("bucket", "token", "block")]
+    most = [pa.array(np.maximum.reduceat(tf, at[:-1]), pa.int32()), pa.array(np.minimum.reduceat(dl, at[:-1]), pa.int32())]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(at), pa.int64()), *most, docs], ["bucket", "token", "block", "n", "max_tf", "min_dl", "docs"])
+
+
 def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 

@@ -118,3 +118,21 @@ def test_candidates_never_above_hits(spark, asked):
     held = lexical.query_terms(one_word, "query_id", "text").join(index.vocabulary, "token").select(F.col("query_id").alias("query"), "token", "df", (F.col("times") * F.col("idf")).alias("weight")).toArrow()
     found = index.terms.mapInArrow(lexical._passed(held, index.avgdl, 20), "query bigint, point bigint, score double")
     assert found.count() == 50
+
+
+def test_postings_of_a_token_and_block_are_one_row_across_batches():
+    """Runs that end in a batch, go on in the next, or fill several."""
+    import pyarrow as pa
+
+    from lodestone.operators import inverted
+
+    sizes = [3, 1, 4, 30, 2, 2, 7, 1]
+    rows = [{"bucket": k % 2, "token": f"t{k // 2}", "block": k, "doc": f"d{i}", "row": i, "tf": i % 5 + 1, "dl": 90 - i} for k, n in enumerate(sizes) for i in range(n)]
+    schema = pa.schema([("bucket", pa.int32()), ("token", pa.string()), ("block", pa.int64()), ("doc", pa.string()), ("row", pa.int64()), ("tf", pa.int32()), ("dl", pa.int32())])
+    for each in (1, 3, 10, 100):
+        got = [r for b in inverted._gathered(iter(pa.Table.from_pylist(rows, schema).to_batches(each))) for r in b.to_pylist()]
+        assert [r["n"] for r in got] == sizes and [r["block"] for r in got] == list(range(len(sizes)))
+        for r in got:
+            mine = [x for x in rows if x["block"] == r["block"]]
+            assert r["docs"] == [{c: x[c] for c in ("doc", "row", "tf", "dl")} for x in mine]
+            assert (r["max_tf"], r["min_dl"]) == (max(x["tf"] for x in mine), min(x["dl"] for x in mine))
