@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import models
-from lodestone.operators import lexical, ranking
+from lodestone.operators import dense, lexical, ranking
 
 
 def test_best_learns_from_batches_smaller_than_k():
@@ -41,3 +41,12 @@ def test_searches_bound_their_batches(spark):
     found = lexical.bm25(docs, spark.createDataFrame([(1, "apple pear")], "item_id bigint, text string"), 3)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert [r.doc_id for r in found.orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_dense_search_bounds_its_batches(spark):
+    """By itself, where no embedder has set a bound before it."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    points = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    found = dense.top_k(points, points.filter("vec_id = 3"), 2)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert [r.vec_id for r in found.orderBy("rank").collect()] == [3, 4]
