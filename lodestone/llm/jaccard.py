@@ -13,8 +13,11 @@ they change no group, and the rest meet by fingerprints of ``WIDE`` bits, each t
 many shingles as their fingerprints in bits. Hamming distances to pivots are tabulated, pairs whose table rows differ by more shingles than the
 similarity allows are discarded (triangle inequality), then those whose fingerprints do; survivors are verified. None of this loses a link.
 
-No shingle's classes meet in one place. They are gathered in parts of about ``GATHERED`` at most, and those of a shingle with more than ``BLOCK`` are
-dealt to blocks: its least changed classes go to each block, and of the rest each block meets each other block in a task's row of its own, unless links
+Nearly all shingles in front are those of one class. They travel as packets, sorted and packed by the partition where equal ones meet, which passes on
+those of two classes or more and drops the rest, so that nothing of the size of all fronts is stored or shuffled again.
+
+No shingle's classes meet in one place. Those of a shingle that the sketch counts more than ``GATHERED`` times are gathered in parts of about that many at
+most, and those of a shingle with more than ``BLOCK`` are dealt to blocks: its least changed classes go to each block, and of the rest each block meets each other block in a task's row of its own, unless links
 have made the shingle's classes one group by then.
 """
 
@@ -45,6 +48,11 @@ FILTER_BITS = 1 << 24
 SLOTS, ROW = 1 << 17, 1 << 10
 #: Pairs in one batch, and classes a task remembers to have seen.
 PAIRS = 1 << 16
+#: Entries of fronts that a task sends at a time, and those of a partition in which they meet, about.
+SENT, MET = 1 << 19, 1 << 20
+#: Bits of a shingle's hash by which classes meet: others that share them make candidates, not links.
+TOKEN_BITS = 48
+_MET = "token bigint, part int, members array<struct<node:bigint,place:bigint>>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -310,26 +318,112 @@ def met_by_simhash(classes: DataFrame) -> DataFrame:
     return same.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _gathered(fronts: DataFrame, classes: int, most: int, gathered: int) -> tuple[DataFrame, DataFrame]:
+def _packed(token: np.ndarray, node: np.ndarray, place: np.ndarray) -> bytes:
+    """Entries by token, of which a packet keeps the steps."""
+    order = np.argsort(token, kind="stable")
+    columns = np.diff(token[order], prepend=np.uint64(0)), node[order], place[order]
+    return pa.compress(b"".join(map(arrays.planes, columns)), codec="zstd", asbytes=True)
+
+
+def _unpacked(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blob = pa.decompress(blob, 24 * n, codec="zstd", asbytes=True)
+    step, node, place = (arrays.from_planes(blob[i : i + 8 * n], kind) for i, kind in ((0, np.uint64), (8 * n, np.int64), (16 * n, np.int64)))
+    return np.cumsum(step, dtype=np.uint64), node, place
+
+
+def _packets(parts: int, split: int, common: np.ndarray | None):
+    """Entries of fronts by the partition where they meet. Those of common shingles (by counter; without any, all) are dealt to ``split`` parts by class."""
+
+    def packets(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        token, node, place = (np.concatenate(x) for x in zip(*held))
+        short = token.view(np.uint64) & np.uint64((1 << TOKEN_BITS) - 1)
+        key = (short >> np.uint64(TOKEN_BITS - 32)) * np.uint64(parts) >> np.uint64(32)
+        if split > 1:
+            # Keys from `parts` on are of common shingles: a block of keys for each part, shifted so that a shingle's parts meet in different partitions.
+            dealt = node.view(np.uint64) % np.uint64(split)
+            wide = np.ones(len(token), bool) if common is None else common[(token.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)]
+            key = np.where(wide, np.uint64(parts) * (dealt + np.uint64(1)) + (key + dealt) % np.uint64(parts), key)
+        order = np.argsort(key, kind="stable")
+        some = np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+        columns = [pa.array([key[i[0]] for i in some], pa.int64()), pa.array([len(i) for i in some], pa.int32()), pa.array([_packed(short[i], node[i], place[i]) for i in some], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "n", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(c).to_numpy() for c in ("token", "node", "place")))
+                n += batch.num_rows
+            if n >= SENT:
+                yield packets(held)
+                held, n = [], 0
+        if held:
+            yield packets(held)
+
+    return arrays.tidy(run)
+
+
+def _met(parts: int):
+    """``token, part, members`` of shingles in front of several classes (``part`` -1), and of any common one's part."""
+
+    def rows(key: int, packets: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        token, node, place = (np.concatenate(x) for x in zip(*(_unpacked(*x) for x in packets)))
+        order = np.argsort(token, kind="stable")
+        if key < parts:
+            same = token[order][1:] == token[order][:-1]
+            order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        order = order[np.lexsort((place[order], node[order], token[order]))]
+        token, node, place = token[order], node[order], place[order]
+        # Copies of a class come from several tasks. Should two of its shingles share their bits, the first place rules out least.
+        one = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))[: len(token)]
+        token, node, place = token[one], node[one], place[one]
+        at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))[: len(token)])
+        size = np.diff(np.append(at, len(token)))
+        if key < parts:
+            left = np.repeat(size > 1, size)
+            token, node, place, size = token[left], node[left], place[left], size[size > 1]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + PAIRS, side="right")) - 1)
+            x, y = int(ends[i]), int(ends[j])
+            members = pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - x, pa.int32()), pa.StructArray.from_arrays([pa.array(node[x:y]), pa.array(place[x:y])], ["node", "place"]))
+            yield pa.RecordBatch.from_arrays([pa.array(token[ends[i:j]].view(np.int64)), pa.array(np.full(j - i, key // parts - 1), pa.int32()), members], ["token", "part", "members"])
+            i = j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for key, n, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "entries"))):
+                held.setdefault(key, []).append((n, blob))
+        for key in list(held):
+            yield from rows(key, held.pop(key))
+
+    return arrays.tidy(run)
+
+
+def _gathered(fronts: DataFrame, classes: int, most: int, gathered: int, entries: int = 0, levels: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
     """Of shingles in front of 2 to ``most`` classes ``members``; of those in front of more, a row a class: ``token, node, place, total``.
 
-    No row has more than about ``gathered`` members, and none of a shingle with more than that meets another in a task.
+    No row has more than about ``gathered`` members, and none of a shingle with more than that meets another in a task. ``entries``: how many rows
+    ``fronts`` has, about. ``levels``: the sketch that has counted the shingles (without it, any may be in front of more than ``gathered``).
     """
     split = -(-max(classes, 1) // gathered)
-    parts = fronts.groupBy("token", F.pmod("node", F.lit(split)).alias("part")).agg(F.collect_set(F.struct("node", "place")).alias("members")).checkpoint()
-    marked = parts.withColumn("total", F.size("members").cast("bigint"))
-    if split > 1:
-        sizes = marked.groupBy("token").agg(F.sum("total").alias("total")).filter("total > 1").checkpoint()
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(split - 1).cast("bigint"))).alias("part")
-        wide = sizes.filter(F.col("total") > gathered).select("token", F.col("total").alias("_total"), every)
-        told = parts.join(wide, ["token", "part"], "left")
-        others = told.filter("_total IS NULL").select("token", "members").join(sizes.filter(F.col("total") <= gathered), "token")
-        marked = told.filter("_total IS NOT NULL").select("token", "members", F.col("_total").alias("total")).unionByName(others)
-    few = marked.filter(F.col("total").between(2, most))
-    if split > 1:
-        few = few.groupBy("token").agg(F.flatten(F.collect_list("members")).alias("members"))
-    large = marked.filter(F.col("total") > most).select("token", "total", F.explode("members").alias("m")).select("token", "m.node", "m.place", "total")
-    return few.select("members"), large
+    common = None if levels is None else levels >= int(8 * np.log2(gathered + 1))
+    parts = max(int(fronts.sparkSession.conf.get("spark.sql.shuffle.partitions")), entries // MET + 1)
+    sent = fronts.mapInArrow(_packets(parts, split, common), "key bigint, n int, entries binary")
+    met = sent.repartitionById(parts, (F.col("key") % parts).cast("int")).mapInArrow(_met(parts), _MET).checkpoint()
+    whole = met.filter("part < 0").withColumn("total", F.size("members").cast("bigint"))
+    few = whole.filter(F.col("total") <= most).select("members")
+    large = whole.filter(F.col("total") > most).select("token", "members", "total")
+    wide = met.filter("part >= 0")
+    if split > 1 and not wide.isEmpty():
+        sizes = wide.groupBy("token").agg(F.sum(F.size("members").cast("bigint")).alias("total")).filter("total > 1")
+        every = F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part")
+        told = wide.join(sizes.select("token", "total", every), ["token", "part"]).checkpoint()
+        few = few.unionByName(told.filter(F.col("total") <= most).groupBy("token").agg(F.flatten(F.collect_list("members")).alias("members")).select("members"))
+        large = large.unionByName(told.filter(F.col("total") > most).select("token", "members", "total"))
+    return few, large.select("token", "total", F.explode("members").alias("m")).select("token", "m.node", "m.place", "total")
 
 
 def _members(rows: DataFrame, key: tuple[str, ...], *columns: str) -> DataFrame:
@@ -376,7 +470,10 @@ def groups(docs: DataFrame, width: int = SHINGLE, most: int = MOST, gathered: in
     classes = every.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("print").alias("print")).checkpoint()
     levels = _sketch(texts.mapInArrow(_count_shingles(width), "part bigint, counts binary"))
     fronts = texts.mapInArrow(_fronts(levels, width), "token bigint, node bigint, place bigint")
-    few, large = _gathered(fronts, classes.count(), most, gathered)
+    n_classes, total = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    total = total or 0
+    entries = total - total * SHARE[0] // SHARE[1] + n_classes
+    few, large = _gathered(fronts, n_classes, most, gathered, entries, levels)
     blocks = F.ceil(F.col("total") / block).cast("int")
     large = large.select("token", "node", "place", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"))
     first = few.mapInArrow(_pairs(_small), "a bigint, b bigint")

@@ -71,6 +71,36 @@ def test_no_row_holds_a_shingle_of_all_classes(spark):
     assert {len(r.members) for r in jaccard._by_blocks(rooted.withColumn("root", F.lit(1))).collect()} == {5}
 
 
+def test_fronts_of_one_class_are_neither_stored_nor_sent_again(spark):
+    """More classes than are gathered together: what a sketch does not count as common is whole after one shuffle, and only shingles of several classes are left."""
+    entries = [(i * 7919 % (1 << 62), i % 5000, (9 << 32) + 1) for i in range(20000)] + [(-5 - i // 3, i, i << 32) for i in range(60)] + [(-4, i, i << 32) for i in range(9)]
+    fronts = spark.createDataFrame(entries + entries[-50:], "token bigint, node bigint, place bigint")
+    few, large = jaccard._gathered(fronts, 5000, 3, 400, len(entries), np.zeros(jaccard.SLOTS, np.uint8))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (few, large)]
+    assert not any("Exchange" in p or "Join" in p for p in plans)
+    assert sorted(sorted((m.node, m.place) for m in r.members) for r in few.collect()) == [[(j, j << 32) for j in range(i, i + 3)] for i in range(0, 60, 3)]
+    assert sorted((r.node, r.place, r.total) for r in large.collect()) == [(i, i << 32, 9) for i in range(9)]
+
+
+@pytest.mark.parametrize("split", [1, 3])
+def test_packets_bring_classes_together(split):
+    """Packets of two tasks: only shingles of several classes are left, common ones by parts; two that share their bits count as one."""
+    import pyarrow as pa
+
+    high = 1 << jaccard.TOKEN_BITS
+    entries = [(100 + i, i, i) for i in range(50)] + [(7, i, i << 32) for i in range(40)] + [(5 + high, 60, 2), (5, 61, 3), (5, 60, 4)]
+    batches = [pa.table([pa.array(x, pa.int64()) for x in zip(*some)], ["token", "node", "place"]).to_batches() for some in (entries[::2], entries[1::2] + entries[:60])]
+    common = np.zeros(jaccard.SLOTS, bool)
+    common[7] = True
+    sent = [b for some in batches for b in jaccard._packets(4, split, common)(iter(some))]
+    got = [r for b in jaccard._met(4)(iter(sent)) for r in b.to_pylist()]
+    found = sorted((r["token"], r["part"], [(m["node"], m["place"]) for m in r["members"]]) for r in got)
+    whole = [(7, -1, [(i, i << 32) for i in range(40)])] if split == 1 else [(7, p, [(i, i << 32) for i in range(p, 40, 3)]) for p in range(3)]
+    assert found == [(5, -1, [(60, 2), (61, 3)]), *whole]
+    homes = {int(k) % 4 for b in sent for k, n, blob in zip(*(b.column(c).to_pylist() for c in ("key", "n", "entries"))) if k >= 4}
+    assert len(homes) == (0 if split == 1 else 3)
+
+
 def test_stage_removes_copies_of_four_fifths(spark, rows):
     table = rows + [(1000 + i, t) for i, t in near_copies()]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in table], "doc_id bigint, text string, lang string, source string, n_chars bigint")
