@@ -136,3 +136,49 @@ def test_postings_of_a_token_and_block_are_one_row_across_batches():
             mine = [x for x in rows if x["block"] == r["block"]]
             assert r["docs"] == [{c: x[c] for c in ("doc", "row", "tf", "dl")} for x in mine]
             assert (r["max_tf"], r["min_dl"]) == (max(x["tf"] for x in mine), min(x["dl"] for x in mine))
+
+
+def test_a_search_sends_postings_and_not_hits(asked, index):
+    """What is shuffled does not have a row for each hit, and sums of bounds are made by block."""
+    at = index.version()
+    terms, buckets = index.asked(at, asked, "query_id", "text")
+    bounds, pairs = index.reachable(at, terms, buckets, 5)
+    found = index.scored(at, terms, pairs, buckets)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Repartition" not in plan
+    joined = index.scored(at, terms, pairs, buckets, 0)
+    places = lambda df: sorted((r["query"], r.point, round(r.score, 9)) for r in df.collect())
+    assert places(found) == places(joined)
+    best = index.scored(at, terms, pairs, buckets, k=3)
+    assert best.count() <= found.count() and not best.exceptAll(found).count()
+    # A posting is a place in its block and a frequency: ids and lengths stand once, with the documents.
+    assert index.postings(at).schema["docs"].dataType.elementType.names == ["row", "tf"]
+    assert index.documents(at).count() == at.n_docs == 1540
+
+
+@pytest.mark.parametrize("parts", [3, 8, 20])
+def test_packets_hold_every_posting_by_bucket(spark, texts, parts, monkeypatch):
+    """Whatever a task sends at a time: the same postings, each in the partition that files its token's bucket as Spark tells it."""
+    from lodestone.operators import inverted
+
+    each = lexical.counted(texts.orderBy("id").limit(300), "id", "content").orderBy("doc").collect()
+    rows = [{"block": i // 64 * 64 + r.dl % 5, "row": i % 64, "dl": r.dl, "terms": [t.asDict() for t in r.terms]} for i, r in enumerate(each) if r.dl]
+    import pyarrow as pa
+
+    schema = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("dl", pa.int32()), ("terms", pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int32())])))])
+    expected = sorted((r["block"], t["token"], r["row"], t["tf"]) for r in rows for t in r["terms"])
+    bucket = {r.token: r.bucket for r in spark.createDataFrame([(t,) for t in {x[1] for x in expected}], "token string").select("token", inverted._bucket(F.col("token"), 8).alias("bucket")).collect()}
+    for sent, size in ((1 << 20, 1000), (400, 7)):
+        monkeypatch.setattr(inverted, "SENT", sent)
+        packets = list(inverted._sent(8, parts)(iter(pa.Table.from_pylist(rows, schema).to_batches(size))))
+        assert (len(packets) > 1) == (sent == 400)
+        found, home = [], {}
+        for packet in packets:
+            for part in packet.to_pylist():
+                for r in (r for b in inverted._filed(iter([pa.RecordBatch.from_pylist([part])])) for r in b.to_pylist()):
+                    assert r["bucket"] == bucket[r["token"]] and 0 <= part["part"] < parts
+                    assert home.setdefault(r["token"], part["part"]) == part["part"]
+                    mine = [x for x in rows if x["block"] == r["block"] and x["row"] in [d["row"] for d in r["docs"]]]
+                    assert r["n"] == len(r["docs"]) and r["max_tf"] == max(d["tf"] for d in r["docs"]) and r["min_dl"] == min(x["dl"] for x in mine)
+                    found += [(r["block"], r["token"], d["row"], d["tf"]) for d in r["docs"]]
+        assert sorted(found) == expected
